@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.values import bucket_50, is_true, relative_difference
-from claimspark.operators.joins import HOT_ROWS, lookup_join
+from claimspark.operators.joins import HOT_ROWS, hot_keys, lookup_join
 
 MAX_RATIO = 0.2
 
@@ -34,24 +34,36 @@ def _originals(pool: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     return kept.groupBy(*keys).agg(first.alias(name), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
-def with_duplicate_evidence(pool: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add `billed_bucket`, `dup_visit`, `dup_bucket`, `dup_similar` (evidence records or null).
+def duplicate_evidence_table(pool: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Claims that repeat another: `claim_id` and `dup_visit`, `dup_bucket`, `dup_similar` (records or null).
 
     A claim can match in three ways: same patient and visit day, same patient and amount
     bucket (both against the earliest billed claim of the group), or an amount within a
-    fifth of the patient's lowest. `pool` needs unique claim ids.
+    fifth of the patient's lowest. `pool` needs unique claim ids and should be a written
+    table; only six of its columns are read.
     """
-    rows = pool.withColumn("billed_bucket", bucket_50(F.col("billed_amount")))
+    narrow = pool.select(
+        "claim_id",
+        "patient_id",
+        "visit_dt",
+        bucket_50(F.col("billed_amount")).alias("billed_bucket"),
+        "billed_amount",
+        "claim_billing_dt",
+    )
     by_date = [F.col("claim_billing_dt").isNull(), F.col("claim_billing_dt"), F.col("claim_id")]
     by_amount = [F.col("billed_amount").isNull(), F.col("billed_amount"), F.col("claim_id")]
-    narrow = rows.select("claim_id", "patient_id", "visit_dt", "billed_bucket", "billed_amount", "claim_billing_dt")
+    rows = narrow.where(F.col("patient_id").isNotNull())
     for keys, order, name in (
         (["patient_id", "visit_dt"], by_date, "_visit"),
         (["patient_id", "billed_bucket"], by_date, "_bucket"),
         (["patient_id"], by_amount, "_lowest"),
     ):
         rows = lookup_join(
-            rows, _originals(narrow, keys, order, name), keys, spread_by=["claim_id"], hot_rows=hot_rows
+            rows,
+            _originals(narrow, keys, order, name),
+            keys,
+            spread_by=["claim_id"],
+            hot=hot_keys(narrow, keys, hot_rows),
         )
 
     def pair(original: str) -> Column:
@@ -81,9 +93,8 @@ def with_duplicate_evidence(pool: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
             F.col("billed_bucket").alias("bucket"),
         ),
     )
+    found = {"dup_visit": pair("_visit"), "dup_bucket": pair("_bucket"), "dup_similar": similar}
     return (
-        rows.withColumn("dup_visit", pair("_visit"))
-        .withColumn("dup_bucket", pair("_bucket"))
-        .withColumn("dup_similar", similar)
-        .drop("_visit", "_bucket", "_lowest")
+        rows.select("claim_id", *[c.alias(n) for n, c in found.items()])
+        .where(F.coalesce(*[F.col(n)["original_claim_id"] for n in found]).isNotNull())
     )

@@ -25,11 +25,21 @@ def _match(left: DataFrame, right: DataFrame, names: Sequence[tuple[str, str]],
     return reduce(lambda x, y: x & y, tests)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame:
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `hot_rows` rows: at most rows / hot_rows of them, so small by construction."""
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
 
 
+def hot_keys_through(df: DataFrame, key: str, via: DataFrame, target: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hot values of `target` that the rows of `df` will get from `via` (one row per `key`).
+
+    Rows are counted per key before they meet `via`, so the detection itself has no hot key.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    met = counts.join(via.select(key, target), key, "left")
+    return met.groupBy(target).agg(F.sum("_n").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,41 +47,42 @@ def lookup_join(
     suffix: str = "_r",
     null_safe: bool = False,
     spread_by: Sequence[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """`left` left-joined to `right`, which has at most one row per key.
+    """`left` left-joined to `right`, which has few rows per key (mostly one).
 
-    Rows of hot keys get a salt from `spread_by` and meet copies of their one right row,
+    Rows of the `hot` keys get a salt from `spread_by` and meet copies of their right row,
     so a key with a third of the rows is joined by many tasks. Rows with a null key cannot
-    match (unless `null_safe`) and are spread too. `hot_rows=None` skips this for keys
-    that are unique on the left.
+    match (unless `null_safe`) and are spread too. Without `hot` this is a plain join, for
+    keys that are unique on the left.
+
+    `hot` comes from `hot_keys` of a table that is cheap to read, not of `left`: a chain of
+    lookups would otherwise run its first part once more per lookup.
     """
     on = [on] if isinstance(on, str) else list(on)
     right = suffix_overlap(left, right, on, suffix)
     extra = [c for c in right.columns if c not in on]
     keyed = right.select(*[F.col(c).alias(f"_k_{c}") for c in on], *extra)
     pairs = [(c, f"_k_{c}") for c in on]
-    if hot_rows is None:
+    if hot is None:
         joined = left.join(keyed, _match(left, keyed, pairs, null_safe), "left")
         return joined.select(*left.columns, *extra)
 
-    hot = hot_keys(left, on, hot_rows).select(*[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_hot"))
-    hot_pairs = [(c, f"_h_{c}") for c in on]
-    marked = left.join(F.broadcast(hot), _match(left, hot, hot_pairs, null_safe), "left")
+    hot = hot.select(*[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_hot"))
+    hot_names = [f"_h_{c}" for c in on]
+    marked = left.join(F.broadcast(hot), _match(left, hot, list(zip(on, hot_names, strict=True)), null_safe), "left")
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by or left.columns]), F.lit(SPREAD)).cast("int")
     loose = F.coalesce(F.col("_hot"), F.lit(False))
     if not null_safe:
         loose = loose | reduce(lambda x, y: x | y, [F.col(c).isNull() for c in on])
-    salted = marked.withColumn("_salt", F.when(loose, spread).otherwise(F.lit(0))).drop("_hot", *[h for _, h in hot_pairs])
+    salted = marked.withColumn("_salt", F.when(loose, spread).otherwise(F.lit(0))).drop("_hot", *hot_names)
 
     copies_of = [(f"_k_{c}", f"_h_{c}") for c in on]
+    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     copies = (
         keyed.join(F.broadcast(hot), _match(keyed, hot, copies_of, null_safe), "left")
-        .withColumn(
-            "_slot",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot", *[h for _, h in hot_pairs])
+        .withColumn("_slot", F.explode(slots))
+        .drop("_hot", *hot_names)
     )
     joined = salted.join(copies, _match(salted, copies, pairs, null_safe) & (salted["_salt"] == copies["_slot"]), "left")
     return joined.select(*left.columns, *extra)

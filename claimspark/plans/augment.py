@@ -19,8 +19,8 @@ from claimspark.functions.draws import draw
 from claimspark.functions.text import row_json
 from claimspark.functions.values import days_between, format_date, parse_date
 from claimspark.operators.aggregates import diagnosis_profile, max_numeric_suffix, procedure_profile
-from claimspark.operators.duplicates import with_duplicate_evidence
-from claimspark.operators.joins import HOT_ROWS, keep_first, lookup_join
+from claimspark.operators.duplicates import duplicate_evidence_table
+from claimspark.operators.joins import HOT_ROWS, hot_keys, keep_first, lookup_join
 from claimspark.operators.ordering import exact_quantiles, global_rank
 from claimspark.operators.rules import (
     HIGH_COST_QUANTILE,
@@ -62,10 +62,16 @@ def claim_features(tables: ClaimTables, z_prefix: str = "Z", hot_rows: int = HOT
         "_enc",
         null_safe=True,
         spread_by=["claim_id"],
-        hot_rows=hot_rows,
+        hot=hot_keys(tables.claims, ["encounter_id"], hot_rows),
     )
     joined = lookup_join(
-        by_visit, people, "patient_id", "_pat", null_safe=True, spread_by=["claim_id"], hot_rows=hot_rows
+        by_visit,
+        people,
+        "patient_id",
+        "_pat",
+        null_safe=True,
+        spread_by=["claim_id"],
+        hot=hot_keys(tables.claims, ["patient_id"], hot_rows),
     )
     return joined.withColumns(
         {
@@ -104,13 +110,17 @@ def _sizes(claims: DataFrame, categories: int, ratio: float) -> Sizes:
 
 
 def candidate_pool(features: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Claims that may still be denied, one row per claim id, with duplicate evidence and draw; written once."""
+    """Claims that may still be denied, one row per claim id, with draw and duplicate evidence.
+
+    The wide rows are written once. Duplicates are found on a few of their columns and
+    come back as a table of the repeating claims only.
+    """
     open_claims = features.where(not_denied() & F.col("claim_id").isNotNull())
     order = [F.col(c).asc_nulls_last() for c in ("claim_billing_dt", "billed_amount", "encounter_id", "patient_id")]
-    unique = keep_first(open_claims, ["claim_id"], order)
-    return materialize(
-        with_duplicate_evidence(unique, hot_rows).withColumn("_draw", draw(F.col("claim_id"))), "claim-pool"
-    )
+    unique = keep_first(open_claims, ["claim_id"], order).withColumn("_draw", draw(F.col("claim_id")))
+    pool = materialize(unique, "claim-pool")
+    repeats = materialize(duplicate_evidence_table(pool, hot_rows), "repeats")
+    return lookup_join(pool, repeats, "claim_id")
 
 
 def pool_rules(
@@ -321,7 +331,7 @@ def apply_denials(claims: DataFrame, selected_ids: DataFrame, hot_rows: int = HO
         selected_ids.select("claim_id", F.lit(True).alias("_new")),
         "claim_id",
         spread_by=["encounter_id", "patient_id", "billed_amount"],
-        hot_rows=hot_rows,
+        hot=hot_keys(claims, ["claim_id"], hot_rows),
     )
     return marked.withColumns(
         {

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.text import normalize_text, strip
 from claimspark.operators.aggregates import child_summary
-from claimspark.operators.joins import HOT_ROWS, first_per_key, lookup_join, merge_on_key, rank_aligned_mapping
+from claimspark.operators.joins import (
+    HOT_ROWS,
+    first_per_key,
+    hot_keys,
+    hot_keys_through,
+    lookup_join,
+    merge_on_key,
+    rank_aligned_mapping,
+)
 from claimspark.operators.sampling import downsample_negatives, split_by_group
 from claimspark.session import materialize
 from claimspark.sources.tables import ClaimTables
@@ -61,9 +69,13 @@ def reconcile_reasons(
         mapping.select(F.col("long_value").alias("denial_reason_norm_denials"), "short_value"),
         "denial_reason_norm_denials",
         spread_by=["claim_id"],
-        hot_rows=hot_rows,
+        hot=hot_keys(
+            denials.select(F.col("denial_reason_norm").alias("denial_reason_norm_denials")),
+            ["denial_reason_norm_denials"],
+            hot_rows,
+        ),
     )
-    joined = lookup_join(claims, first, "claim_id", null_safe=True, hot_rows=None)  # ids are unique on both sides
+    joined = lookup_join(claims, first, "claim_id", null_safe=True)  # ids are unique on both sides
     other = F.coalesce(F.col("short_value"), F.col("denial_reason_norm_denials"), F.lit(""))
     reason = F.when(F.col("denial_reason_norm") != "", F.col("denial_reason_norm")).otherwise(other)
     cleaned = joined.withColumn("denial_reason_clean", F.when(denied, reason).otherwise("")).drop("short_value")
@@ -73,8 +85,8 @@ def reconcile_reasons(
 def clean_claims(claims: DataFrame, denials: DataFrame, balanced: bool = False) -> tuple[DataFrame, DataFrame]:
     """One row per claim id with a clean reason; `balanced` thins the paid claims. Also the mapping."""
     cleaned, mapping = reconcile_reasons(first_per_key(claims, "claim_id"), denials)
+    cleaned = materialize(cleaned, "cleaned")  # an output of its own, read several times from here on
     if balanced:
-        cleaned = materialize(cleaned, "cleaned")  # counted, ranked and filtered from one copy
         cleaned = downsample_negatives(cleaned, F.col("claim_status") == "Denied", "claim_id", TARGET_DENIAL_RATE)
     return cleaned, mapping
 
@@ -105,11 +117,19 @@ def encounter_side(tables: ClaimTables) -> DataFrame:
 def star_join(
     claims: DataFrame, encounters: DataFrame, patients: DataFrame, providers: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Claims with their encounter, patient and provider; clashing names get a suffix."""
-    spread = {"spread_by": ["claim_id"], "hot_rows": hot_rows}
-    joined = lookup_join(claims, encounters, "encounter_id", "_enc", **spread)
-    joined = lookup_join(joined, patients, "patient_id", "_pat", **spread)
-    return lookup_join(joined, providers, "provider_id", "_prov", null_safe=True, **spread)
+    """Claims with their encounter, patient and provider; clashing names get a suffix.
+
+    `claims` should be a written table: its key columns are also counted for hot keys.
+    """
+    spread = ["claim_id"]
+    hot_encounters = hot_keys(claims, ["encounter_id"], hot_rows)
+    hot_patients = hot_keys(claims, ["patient_id"], hot_rows)
+    hot_providers = hot_keys_through(claims, "encounter_id", encounters, "provider_id", hot_rows)
+    joined = lookup_join(claims, encounters, "encounter_id", "_enc", spread_by=spread, hot=hot_encounters)
+    joined = lookup_join(joined, patients, "patient_id", "_pat", spread_by=spread, hot=hot_patients)
+    return lookup_join(
+        joined, providers, "provider_id", "_prov", null_safe=True, spread_by=spread, hot=hot_providers
+    )
 
 
 def enrich(claims: DataFrame, tables: ClaimTables, encounters: DataFrame | None = None) -> DataFrame:
@@ -117,7 +137,7 @@ def enrich(claims: DataFrame, tables: ClaimTables, encounters: DataFrame | None
     keyed = claims.dropna(subset=["encounter_id", "patient_id"])
     joined = star_join(
         keyed,
-        encounter_side(tables) if encounters is None else encounters,
+        materialize(encounter_side(tables), "encounter-side") if encounters is None else encounters,
         first_per_key(tables.patients, "patient_id"),
         first_per_key(tables.providers, "provider_id"),
     )
