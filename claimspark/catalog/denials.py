@@ -262,7 +262,7 @@ def a10(spark, folder):
 
 @query("a10_train_eval_split", "select claim_id, patient_id, case when in_eval then 'eval' else 'train' end as split from enriched join split_groups using (patient_id)")
 def a10_split(spark, folder):
-    return C.split_train_eval(materialize(enriched(spark, folder), "enriched")).select("claim_id", "patient_id", "split")
+    return C.split_train_eval(enriched(spark, folder)).select("claim_id", "patient_id", "split")
 
 
 _KB = (

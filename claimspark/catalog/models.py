@@ -1 +1,378 @@
-"""to come"""
+"""Sources and sinks (S) and modelling jobs (M)."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from claimspark.catalog.registry import query, scratch
+from claimspark.catalog.relational import enriched, knowledge_base, scored
+from claimspark.catalog.scalar import _DESCRIPTION
+from claimspark.catalog.sql_parts import draw as draw_sql
+from claimspark.functions.text import PROMPT_HEAD, PROMPT_TAIL
+from claimspark.operators.metrics import SWEEP_COARSE, SWEEP_FINE, best_cost, confusion, cost_sweep, ranking_metrics
+from claimspark.operators.sampling import split_by_group
+from claimspark.plans import augment as A
+from claimspark.plans import enrichment as E
+from claimspark.plans import training as M
+from claimspark.plans.clean import split_train_eval
+from claimspark.plans.knowledge_base import split_holdout
+from claimspark.session import materialize
+from claimspark.sources import roles, sinks, tables
+
+FEW_TREES = 2  # boosting rounds of the registered queries; the settings themselves have hundreds
+
+
+# ---- S -------------------------------------------------------------------------------
+
+
+def _csv(df, spark, label):
+    path = scratch(spark, label)
+    sinks.write_table(df, path, "csv")
+    return path
+
+
+@query(
+    "s01_read_csv",
+    "select patient_id, age, insurance_type, phone, email, address, registration_date from patients",
+)
+def s01(spark, folder):
+    path = _csv(roles.patients(spark, folder), spark, "patients")
+    read = tables.typed(tables.read_csv_table(spark, path, "patients", tables.read_header(spark, path)))
+    return read.select("patient_id", "age", "insurance_type", "phone", "email", "address", "registration_date")
+
+
+_SPLIT = f"""select o_orderkey, o_custkey, case when place <= ceil(0.2::double * groups) then 'eval' else 'train' end as part from orders join
+ (select o_custkey, row_number() over (order by {draw_sql("o_custkey::varchar")}, o_custkey) as place, count(*) over () as groups
+  from (select distinct o_custkey from orders)) using (o_custkey)"""
+
+
+def _written_split(spark, folder):
+    path = scratch(spark, "split")
+    orders = roles.read(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    sinks.write_split(split_by_group(orders, "o_custkey"), path)
+    return path
+
+
+@query("s02_read_split", _SPLIT)
+def s02(spark, folder):
+    train, evaluation = tables.read_split(spark, _written_split(spark, folder))
+    return train.withColumn("part", F.lit("train")).unionByName(evaluation.withColumn("part", F.lit("eval")))
+
+
+@query(
+    "s03_resolve_sources",
+    "select claim_id, denial_id, false as used_augmented from denials",
+)
+def s03(spark, folder):
+    """Only one file of the augmented pair exists, so the raw pair is read."""
+    raw = _csv(roles.denials(spark, folder), spark, "denials")
+    missing = scratch(spark, "not-there")
+    _, denials, used = tables.resolve_sources(spark, (raw, raw), (raw, missing))
+    read = tables.read_csv_table(spark, denials, "denials", tables.read_header(spark, denials))
+    return read.select("claim_id", "denial_id", F.lit(used).alias("used_augmented"))
+
+
+@query("s04_default_training_input", f"select o_orderkey, o_custkey from ({_SPLIT}) where part = 'train'")
+def s04(spark, folder):
+    chosen = tables.default_training_folder(spark, scratch(spark, "not-there"), _written_split(spark, folder))
+    return tables.read_split(spark, chosen)[0]
+
+
+@query("s05_write_csv", "select claim_id, denial_id, denied_amount, appeal_filed from denials")
+def s05(spark, folder):
+    path = _csv(roles.denials(spark, folder), spark, "denials")
+    read = tables.typed(tables.read_csv_table(spark, path, "denials", tables.read_header(spark, path)))
+    return read.select("claim_id", "denial_id", "denied_amount", "appeal_filed")
+
+
+@query("s06_passthrough", "select claim_id, claim_status, paid_amount from claims")
+def s06(spark, folder):
+    result = A.augment(roles.load(spark, folder), ratio=0.01, words=roles.KEYWORDS, departments=roles.DEPARTMENTS)
+    return result.claims.select("claim_id", "claim_status", "paid_amount")
+
+
+@query(
+    "s07_augmentation_summary",
+    """select total_claims, current_denied, target_denied, need_new as new_denials_added, current_denied + need_new as final_denied from sizes""",
+)
+def s07(spark, folder):
+    result = A.augment(roles.load(spark, folder), words=roles.KEYWORDS, departments=roles.DEPARTMENTS)
+    path = scratch(spark, "summary")
+    sinks.write_report(result.summary, path)
+    return spark.read.schema(result.summary.schema).json(path)
+
+
+@query(
+    "s08_metrics_json",
+    """select 'confusion' as section, null::double as threshold, metric, value::double as value from
+    (select count(*) filter (where score < 0.5::double and label = 0) as tn, count(*) filter (where score >= 0.5::double and label = 0) as fp,
+     count(*) filter (where score < 0.5::double and label = 1) as fn, count(*) filter (where score >= 0.5::double and label = 1) as tp from scored)
+    unpivot (value for metric in (tn, fp, fn, tp))""",
+)
+def s08(spark, folder):
+    report = M.tidy(confusion(scored(spark, folder), 0.5), "confusion")
+    path = scratch(spark, "metrics")
+    sinks.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query(
+    "s09_holdout_markdown",
+    f"""select '### Claim ' || claim_id || ' — Expected: Denied — Reason: ' || denial_reason || ' — Payer: ' || insurance_provider
+    || ' — Patient: Pat ' || last_name as header from kb order by {draw_sql("claim_id")}, claim_id limit 50""",
+)
+def s09(spark, folder):
+    held, _ = split_holdout(knowledge_base(spark, folder), 50)
+    path = scratch(spark, "holdout")
+    sinks.write_holdout_markdown(held, path)
+    lines = spark.read.text(path).where(F.col("value").startswith("### Claim "))
+    return lines.select(F.col("value").alias("header"))
+
+
+@query("s10_persist_model")
+def s10(spark, folder):
+    train, evaluation = model_input(spark, folder)
+    model = M.fit_model(train, M.LEAFWISE, FEW_TREES)
+    path = scratch(spark, "model")
+    sinks.save_model(model.pipeline, path)
+    again = replace(model, pipeline=PipelineModel.load(path))
+    return again.score(evaluation).select("claim_id", F.round("score", 6).alias("score"))
+
+
+_PROMPT = f"'{PROMPT_HEAD}' || {_DESCRIPTION} || '{PROMPT_TAIL}'"
+_REASONED = f"""select claim_id, 'Denial risk: HIGH. Denial factors: late; code. Approval factors: none. Summary: ' || md5({_PROMPT}) as reasoning
+ from claims c left join encounters e on c.encounter_id = e.encounter_id left join patients p on c.patient_id = p.patient_id"""
+
+
+def _predict():
+    """A stand-in for a language model that answers with the digest of the prompt."""
+
+    def predict(prompts: list[str]) -> list[str]:
+        import hashlib
+        import json as j
+
+        base = {"denial_reasons": ["late", "code"], "approval_reasons": ["none"], "risk_level": "HIGH"}
+        return [j.dumps({**base, "reasoning_summary": hashlib.md5(p.encode()).hexdigest()}) for p in prompts]
+
+    return predict
+
+
+def _no_predict():
+    def predict(prompts: list[str]) -> list[str]:
+        raise RuntimeError("asked again")
+
+    return predict
+
+
+def _describable(spark, folder):
+    visits = roles.encounters(spark, folder).drop("patient_id")
+    people = roles.patients(spark, folder)
+    joined = roles.claims(spark, folder).join(visits, "encounter_id", "left").join(people, "patient_id", "left")
+    return materialize(joined, "describable")
+
+
+@query("s11_reasoning_cache", _REASONED)
+def s11(spark, folder):
+    """The second run finds every claim in the table and asks nothing."""
+    claims, path = _describable(spark, folder), scratch(spark, "reasonings")
+    E.reasonings(claims, path, _predict(), rounds=2)
+    return E.reasonings(claims, path, _no_predict(), tries=1)
+
+
+def _encode():
+    """A stand-in for a text encoder: size and two letter counts."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("a")), float(t.count("e"))] for t in texts]
+
+    return encode
+
+
+def _no_encode():
+    def encode(texts: list[str]) -> list[list[float]]:
+        raise RuntimeError("encoded again")
+
+    return encode
+
+
+_ENCODED = """select doc_id, length(text)::double as size, (length(text) - length(replace(text, 'a', '')))::double as a,
+ (length(text) - length(replace(text, 'e', '')))::double as e from documents"""
+
+
+def _documents(spark, folder):
+    return roles.read(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("claim_id"), "text")
+
+
+def _vector_columns(vectors):
+    return vectors.select(
+        F.col("claim_id").cast("bigint").alias("doc_id"),
+        *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("size", "a", "e"))],
+    )
+
+
+@query("s12_embedding_cache", _ENCODED)
+def s12(spark, folder):
+    texts, path = _documents(spark, folder), scratch(spark, "embeddings")
+    E.embeddings(texts, path, _encode(), "text")
+    return _vector_columns(E.embeddings(texts, path, _no_encode(), "text"))
+
+
+# ---- M -------------------------------------------------------------------------------
+
+
+def model_input(spark, folder, balanced=False):
+    """Training and evaluation rows of the enriched claims."""
+    rows = materialize(split_train_eval(enriched(spark, folder, balanced)), "split")
+    return tuple(rows.where(F.col("split") == part).drop("split") for part in ("train", "eval"))
+
+
+@query(
+    "m01_preprocess",
+    """with modes as (select 'insurance_type' as name, insurance_type as v, count(*) as n from patients where insurance_type is not null group by all
+     union all select 'gender', gender, count(*) from patients group by all union all select 'ethnicity', ethnicity, count(*) from patients group by all)
+    select name, v as mode, null::double as median from (select *, row_number() over (partition by name order by n desc, v) as rn from modes) where rn = 1
+    union all select 'age', null, round(quantile_cont(age, 0.5), 4) from patients""",
+)
+def m01(spark, folder):
+    people = roles.patients(spark, folder)
+    fills = M.learn_fills(people, ["insurance_type", "gender", "ethnicity"], ["age"])
+    rows = [(n, v, None) for n, v in fills.modes.items()] + [(n, None, round(v, 4)) for n, v in fills.medians.items()]
+    return spark.createDataFrame(rows, "name string, mode string, median double")
+
+
+@query("m01_encode")
+def m01_encode(spark, folder):
+    """The encoded feature vectors, as their sizes and number of entries."""
+    train, _ = model_input(spark, folder)
+    text, numbers = M.feature_columns(train)
+    fills = M.learn_fills(train, text, numbers)
+    ready = M.filled(train, fills, text, numbers)
+    fitted = Pipeline(stages=M.encoder_stages(text, numbers, fills, "one_hot", M.LABEL)).fit(ready)
+    dense = vector_to_array("features")
+    return fitted.transform(ready).select(
+        "claim_id", F.size(dense).alias("size"), F.size(F.filter(dense, lambda v: v != 0)).alias("entries")
+    )
+
+
+@query(
+    "m02_ranking_metrics",
+    """select round(sum(pos / total_pos * cum_pos / cum_n), 6) as ap,
+    round(2.0::double * sum(pos) filter (where score >= 0.1::double) / (sum(n) filter (where score >= 0.1::double) + sum(pos)), 6) as f1_at_threshold,
+    round((sum(n) - sum(n) filter (where score >= 0.1::double) - sum(pos) + 2 * sum(pos) filter (where score >= 0.1::double))::double / sum(n), 6) as accuracy_at_threshold,
+    round(arg_max(score, (f1, -score)), 6) as best_f1_threshold, round(max(f1), 6) as best_f1
+    from (select *, 2 * (cum_pos / cum_n) * (cum_pos / total_pos) / greatest(cum_pos / cum_n + cum_pos / total_pos, 1e-12::double) as f1 from pr_curve)""",
+)
+def m02(spark, folder):
+    metrics = ranking_metrics(scored(spark, folder), 0.1)
+    return metrics.select(*[F.round(c, 6).alias(c) for c in metrics.columns])
+
+
+_COSTS = """select threshold, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall,
+ round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, (fp + 5 * fn)::double as cost, round((fp + 5 * fn) / (tp + fp + fn + tn), 6) as cost_per_example
+ from (select threshold, count(*) filter (where score >= threshold and label = 1) as tp, count(*) filter (where score >= threshold and label = 0) as fp,
+  count(*) filter (where score < threshold and label = 1) as fn, count(*) filter (where score < threshold and label = 0) as tn
+  from scored cross join (select unnest([{0}]) as threshold) group by threshold)"""
+
+
+def _costs(thresholds):
+    return _COSTS.format(", ".join(f"{t}::double" for t in thresholds))
+
+
+def _rounded_sweep(spark, folder, thresholds):
+    sweep = cost_sweep(scored(spark, folder), thresholds)
+    exact = {"threshold", "tp", "fp", "fn", "tn", "cost"}
+    return sweep.select(*[c if c in exact else F.round(c, 6).alias(c) for c in sweep.columns])
+
+
+@query("m03_cost_sweep", _costs(SWEEP_FINE))
+def m03(spark, folder):
+    return _rounded_sweep(spark, folder, SWEEP_FINE)
+
+
+@query("m04_best_cost", f"select * from ({_costs(SWEEP_COARSE)}) order by cost, threshold limit 1")
+def m04(spark, folder):
+    return best_cost(_rounded_sweep(spark, folder, SWEEP_COARSE))
+
+
+def _fit(config):
+    return lambda df: M.fit_model(df, config, FEW_TREES)
+
+
+@query("m05_out_of_fold")
+def m05(spark, folder):
+    train, _ = model_input(spark, folder)
+    folded = materialize(M.with_folds(train, 3), "folds")
+    scores, _ = M.out_of_fold(folded, 3, _fit(M.LEAFWISE))
+    return scores.select("claim_id", "fold", F.round("score", 6).alias("score"))
+
+
+@query("m06_boosted_sweep")
+def m06(spark, folder):
+    """The shortest and the deepest of the settings, few rounds each."""
+    train, evaluation = model_input(spark, folder)
+    return M.train_sweep(train, evaluation, (M.SWEEP[0], M.SWEEP[4]), FEW_TREES, folds=(2, 2), calibration_folds=2).report
+
+
+@query("m07_boosted_single")
+def m07(spark, folder):
+    return M.train_single(*model_input(spark, folder), M.LEAFWISE, FEW_TREES).report
+
+
+@query("m08_boosted_categorical")
+def m08(spark, folder):
+    return M.train_single(*model_input(spark, folder), M.CATEGORICAL, FEW_TREES).report
+
+
+@query("m09_isotonic_calibration")
+def m09(spark, folder):
+    train, evaluation = model_input(spark, folder)
+    folded = materialize(M.with_stratified_folds(train, M.LABEL, "claim_id", 2), "folds")
+    return M.calibrate(folded, 2, _fit(M.LEAFWISE)).score(evaluation).select("claim_id", F.round("score", 6).alias("score"))
+
+
+@query("m10_variants")
+def m10(spark, folder):
+    splits = {"raw": model_input(spark, folder), "augmented": None, "balanced": model_input(spark, folder, balanced=True)}
+    return M.run_variants(splits, lambda train, evaluation: M.train_single(train, evaluation, M.LEAFWISE, 1, k=2))
+
+
+@query(
+    "m11_metrics_report",
+    """select 'events' as part, 'confusion_0_5' as section, null::double as threshold, metric, value::double as value from
+    (select count(*) filter (where score < 0.5::double and label = 0) as tn, count(*) filter (where score >= 0.5::double and label = 0) as fp,
+     count(*) filter (where score < 0.5::double and label = 1) as fn, count(*) filter (where score >= 0.5::double and label = 1) as tp from scored)
+    unpivot (value for metric in (tn, fp, fn, tp)) union all
+    select 'events', 'cost_sweep', threshold, metric, value from (select threshold, tp::double as tp, fp::double as fp, fn::double as fn, tn::double as tn, precision, recall, f1,
+     cost, cost_per_example from (""" + _costs(SWEEP_FINE) + """)) unpivot (value for metric in (tp, fp, fn, tn, precision, recall, f1, cost, cost_per_example))""",
+)
+def m11(spark, folder):
+    report = M.metrics_report(scored(spark, folder), "events", SWEEP_FINE, "label")
+    kept = report.where(F.col("section").isin("confusion_0_5", "cost_sweep"))
+    return kept.withColumn("value", F.round("value", 6))
+
+
+@query("m12_reasoning", _REASONED)
+def m12(spark, folder):
+    return E.reasonings(_describable(spark, folder), scratch(spark, "reasonings"), _predict())
+
+
+@query("m13_embedding", _ENCODED)
+def m13(spark, folder):
+    return _vector_columns(E.embeddings(_documents(spark, folder), scratch(spark, "embeddings"), _encode(), "text"))
+
+
+@query("m14_reasoning_model")
+def m14(spark, folder):
+    """Base features plus hashed embeddings of the reasoning texts."""
+    train, evaluation = model_input(spark, folder)
+    dims = 8
+    vectors = []
+    for part in (train, evaluation):
+        texts = E.reasonings(part, scratch(spark, "reasonings"), _predict())
+        vectors.append(materialize(E.hashed_embeddings(texts, dims=dims), "vectors"))
+    return E.train_with_reasoning(train, evaluation, *vectors, dims, M.CATEGORICAL, FEW_TREES).report
+

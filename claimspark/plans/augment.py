@@ -384,11 +384,13 @@ def augment(
 ) -> Augmented:
     """The whole augmentation. When the target is met already, claims and denials come back as they are."""
     sizes = _sizes(tables.claims, 9, ratio)
-    pool = candidate_pool(claim_features(tables, z_prefix))
     if sizes.need == 0:
-        nothing = Selection(pool, denial_rules(None, None, words, departments)).rows(pool)
-        claims, denials, selected = tables.claims, tables.denials, nothing
+        nothing = tables.claims.where(F.lit(False))
+        texts = {c: F.lit("") for c in ("category", "reason_text", "profile", "evidence")}
+        selected = nothing.withColumns({"category_no": F.lit(0), **texts})
+        claims, denials = tables.claims, tables.denials
     else:
+        pool = candidate_pool(claim_features(tables, z_prefix))
         selection = select_claims(pool, pool_rules(pool, words, departments), sizes.need)
         selected = materialize(selection.rows(pool), "selection")
         check_evidence(selected)

@@ -160,5 +160,5 @@ def with_labels(df: DataFrame) -> DataFrame:
 
 
 def split_train_eval(enriched: DataFrame, eval_share: float = EVAL_SHARE, seed: int = 42) -> DataFrame:
-    """Add `split`; a patient is in one part only."""
-    return split_by_group(enriched, "patient_id", eval_share, seed)
+    """Add `split`; a patient is in one part only. The enriched rows are written once."""
+    return split_by_group(materialize(enriched, "enriched"), "patient_id", eval_share, seed)
