@@ -105,56 +105,77 @@ def top_two(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def _counted(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Distinct non-null values per key with how often each occurs, as one sorted list."""
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(key)
-        .agg(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("value"), F.col("_n").alias("n")))).alias("_list"))
-        .select(key, F.array_sort("_list").alias(name))
-    )
+def _items(value: str) -> Column:
+    """Distinct non-null values of rows grouped per value, with how often each occurs, sorted."""
+    pair = F.struct(F.col(value).alias("value"), F.col("_n").alias("n"))
+    return F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), pair)))
+
+
+def _merged_set(c: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
 
 
 def diagnosis_profile(diagnoses: DataFrame, code_prefix: str = "Z") -> DataFrame:
-    """Codes, descriptions and flags per encounter."""
-    code = F.col("diagnosis_code")
-    flags = (
+    """Codes, descriptions and flags per encounter.
+
+    Rows are first grouped per encounter and code, so an encounter with very many rows is
+    small before it meets one task.
+    """
+    per_code = (
         diagnoses.where(F.col("encounter_id").isNotNull())
-        .groupBy("encounter_id")
+        .groupBy("encounter_id", "diagnosis_code")
         .agg(
-            sorted_set(F.col("diagnosis_description")).alias("diag_descs"),
-            F.coalesce(F.bool_or("chronic_flag"), F.lit(False)).alias("has_chronic"),
-            F.bool_or("primary_flag").alias("has_primary"),
-            F.coalesce(F.bool_or(F.coalesce(code.startswith(code_prefix), F.lit(False))), F.lit(False)).alias("has_z_code"),
+            F.count(F.lit(1)).alias("_n"),
+            F.collect_set("diagnosis_description").alias("_descs"),
+            F.bool_or("chronic_flag").alias("_chronic"),
+            F.bool_or("primary_flag").alias("_primary"),
         )
     )
-    return flags.join(_counted(diagnoses, "encounter_id", "diagnosis_code", "diag_items"), "encounter_id").withColumn(
-        "diag_codes", F.col("diag_items.value")
+    has_prefix = F.coalesce(F.col("diagnosis_code").startswith(code_prefix), F.lit(False))
+    return (
+        per_code.groupBy("encounter_id")
+        .agg(
+            _merged_set("_descs").alias("diag_descs"),
+            F.coalesce(F.bool_or("_chronic"), F.lit(False)).alias("has_chronic"),
+            F.bool_or("_primary").alias("has_primary"),
+            F.bool_or(has_prefix).alias("has_z_code"),
+            _items("diagnosis_code").alias("diag_items"),
+        )
+        .withColumn("diag_codes", F.col("diag_items.value"))
     )
 
 
 def procedure_profile(procedures: DataFrame) -> DataFrame:
-    """Codes, descriptions, text and the two largest costs per encounter."""
-    lower = F.lower("procedure_description")
-    base = (
+    """Codes, descriptions, text and the two largest costs per encounter; grouped per code first."""
+    per_code = (
         procedures.where(F.col("encounter_id").isNotNull())
-        .groupBy("encounter_id")
+        .groupBy("encounter_id", "procedure_code")
         .agg(
-            F.count("procedure_id").alias("proc_count"),
-            sorted_set(F.col("procedure_description")).alias("proc_descs"),
-            F.array_join(sorted_set(lower), " ").alias("proc_keywords"),
+            F.count(F.lit(1)).alias("_n"),
+            F.count("procedure_id").alias("_ids"),
+            F.collect_set("procedure_description").alias("_descs"),
+        )
+    )
+    base = (
+        per_code.groupBy("encounter_id")
+        .agg(
+            F.sum("_ids").alias("proc_count"),
+            _merged_set("_descs").alias("proc_descs"),
+            _items("procedure_code").alias("proc_items"),
+        )
+        .withColumns(
+            {
+                "proc_codes": F.col("proc_items.value"),
+                "proc_keywords": F.array_join(
+                    F.array_sort(F.array_distinct(F.transform("proc_descs", lambda d: F.lower(d)))), " "
+                ),
+            }
         )
     )
     costs = top_two(procedures, "encounter_id", "procedure_cost").select(
         "encounter_id", F.col("largest").alias("proc_max_cost"), F.col("second_largest").alias("proc_second_cost")
     )
-    return (
-        base.join(_counted(procedures, "encounter_id", "procedure_code", "proc_items"), "encounter_id")
-        .join(costs, "encounter_id", "left")
-        .withColumn("proc_codes", F.col("proc_items.value"))
-    )
+    return base.join(costs, "encounter_id", "left")
 
 
 def max_numeric_suffix(df: DataFrame, column: str, prefix: str = "DEN") -> DataFrame:

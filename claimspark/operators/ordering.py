@@ -74,10 +74,7 @@ def exact_quantiles_of(
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    steps = materialize(
-        running_totals(counts, [F.col("column"), F.col("value")], ["n"]).select("column", "value", "n", "cum_n"),
-        "quantile",
-    )
+    steps = running_totals(counts, [F.col("column"), F.col("value")], ["n"])
     sizes = {r["column"]: r["n"] for r in steps.groupBy("column").agg(F.sum("n").alias("n")).collect()}
     start, offset, hit, wanted = 0, {}, F.lit(False), {}
     for name in sorted(sizes):  # the order of the sort above
@@ -87,7 +84,7 @@ def exact_quantiles_of(
         for i in wanted[name]:
             hit = hit | ((F.col("cum_n") > i) & (F.col("cum_n") - F.col("n") <= i))
         start += sizes[name]
-    rows = steps.where(hit).collect()  # at most 2 per column and probability
+    rows = steps.where(hit).select("column", "value", "n", "cum_n").collect()  # at most 2 per column and probability
     result: dict[str, list[float | None]] = {}
     for name in columns:
         if name not in sizes:
