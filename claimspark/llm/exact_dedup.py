@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.llm.bloom import drop_listed
 from claimspark.llm.common import materialize, text_of
 
 FAN_IN = 8
@@ -88,18 +89,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
-        F.col(id_col).alias("id"),
-        F.unhex(F.sha2(normalized(F.col(text_col)), 256)).alias("digest"),
+        _row_key(F.col(id_col), F.unhex(F.sha2(normalized(F.col(text_col)), 256))).alias("key"),
     )
-    groups = materialize(exact_groups(docs, id_col, text_col), "exact-groups")
-    dropped = groups.groupBy(F.col(id_col).alias("gone_id"), F.col("digest").alias("gone")).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("rows"))
-    dropped = dropped.filter("not any_kept")
-    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone"))
-    kept = marked.join(dropped, same, "left_anti")
+    groups = exact_groups(docs, id_col, text_col).filter("group_size > 1")
+    groups = groups.groupBy(_row_key(F.col(id_col), F.col("digest")).alias("key")).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("rows"))
+    groups = materialize(groups, "exact-groups")
+    kept = drop_listed(marked, "key", groups.filter("not any_kept"))
     # Rows that repeat both identifier and text can't be told apart: one of them stays.
-    repeated = groups.groupBy(id_col, "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("any_kept")).filter("rows > 1 and any_kept")
-    if repeated.limit(1).count():
-        twice = repeated.select(F.col(id_col).alias("twice_id"), F.col("digest").alias("twice"))
-        again = F.col("id").eqNullSafe(F.col("twice_id")) & (F.col("digest") == F.col("twice"))
-        kept = kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["id", "digest"]))
+    twice = groups.filter("any_kept and rows > 1")
+    if twice.limit(1).count():
+        kept = drop_listed(kept, "key", twice).unionByName(kept.join(twice.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("doc", "key"))
     return kept.select([F.col("doc").getField(c).alias(c) for c in names])
+
+
+def _row_key(key: Column, digest: Column) -> Column:
+    return F.concat(digest, F.coalesce(key.cast("string"), F.lit("null")).cast("binary"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import bpe, compression, exact_dedup, mixing, url_filter
+from claimspark.llm import bpe, compression, exact_dedup, line_crf, mixing, near_dup, url_filter
 from claimspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)

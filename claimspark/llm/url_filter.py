@@ -1,8 +1,7 @@
 """Block listed URLs: a blocked Bloom filter passes possible hits to an exact hash join.
 
-The filter has a fixed number of 256-bit blocks, so the broadcast has a proven bound at
-any list length (65,536 blocks of four longs: 2 MB of bits). A longer list only raises
-the share of possible hits; the exact join decides, so the rows never change.
+Only possible hits are shuffled to the join; the exact join decides, so false positives of
+the filter never show.
 """
 
 from __future__ import annotations
@@ -12,13 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.llm.bloom import BLOCKS, build_filter, possible_hits
 from claimspark.llm.common import materialize
 
-BLOCKS = 65_536
-#: Upper bound of `blocks`: what a broadcast of the filter may hold.
-MOST_BLOCKS = 262_144
-_WORDS = 4
-_BITS_PER_WORD = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,39 +52,6 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _mask(key: Column, word: int) -> Column:
-    """The bits that a key sets in one word of its block."""
-    digest = F.xxhash64(F.lit(word + 1), key)
-    out = None
-    for j in range(_BITS_PER_WORD):
-        place = F.shiftrightunsigned(digest, 6 * j + 20).bitwiseAND(F.lit(63)).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-        out = bit if out is None else out.bitwiseOR(bit)
-    return out
-
-
-def build_filter(listed: DataFrame, key: str = "canonical", blocks: int = BLOCKS) -> DataFrame:
-    """One row per used block: block, w0 .. w3. At most `blocks` rows."""
-    if not 1 <= blocks <= MOST_BLOCKS:
-        raise ValueError(f"blocks must be between 1 and {MOST_BLOCKS}")
-    return listed.groupBy(_block(F.col(key), blocks).alias("block")).agg(*[F.bit_or(_mask(F.col(key), i)).alias(f"w{i}") for i in range(_WORDS)])
-
-
-def possible_hits(urls: DataFrame, bloom: DataFrame, key: str = "canonical", blocks: int = BLOCKS) -> DataFrame:
-    """`urls` with a boolean `possible`: false means that the key isn't listed."""
-    hit = F.col("w0").isNotNull()
-    for i in range(_WORDS):
-        mask = _mask(F.col(key), i)
-        hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    # At most MOST_BLOCKS rows of five numbers.
-    joined = urls.withColumn("block", _block(F.col(key), blocks)).join(F.broadcast(bloom), "block", "left")
-    return joined.withColumn("possible", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(_WORDS)])
-
-
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, listed.
 

@@ -7,16 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import bpe, exact_dedup, mixing
+from claimspark.llm import bpe, exact_dedup, line_crf, mixing, near_dup
 from claimspark.llm.common import shared_dir, table
 from claimspark.llm.queries import vocabulary_path
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return line_crf.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text the one with the smallest doc_id stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates one document stays."""
+    return near_dup.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their source take them."""
     return mixing.take_mix(docs)
@@ -28,7 +38,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("exact dedup", drop_copies), ("mixing", mix), ("bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix),
+    ("bpe", encode),
+]
 #: The classifier, the sketches and the tokens can't be written in SQL.
 ORACLE_SQL = None
 
