@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import bpe, compression, exact_dedup, line_crf, mixing, near_dup, url_filter
-from claimspark.llm.common import table
+from claimspark.llm import bpe, compression, exact_dedup, line_crf, mixing, near_dup, url_filter, warc
+from claimspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +34,35 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    return records.select(
+        warc.page_id_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        warc.page_id_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+SQL["op2_warc"] = r"""
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), h as (
+  select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as first from p
+)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), i ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), 'string_agg', '') as payload_digest,
+  case when page_id > first then 'revisit' else 'response' end as record_type,
+  case when page_id > first then first end as refers_to
+from h
+"""
+
+
 @query
 def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(table(spark, sf_dir, "documents"))
