@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize, shared_dir
 
-__all__ = ["WORD", "chunks", "materialize", "shared_dir", "table", "text_of", "union_all"]
+__all__ = ["WORD", "bounded_batches", "chunks", "in_training", "materialize", "shared_dir", "table", "text_of", "union_all"]
 
 #: A word of the contracts: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +24,25 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def chunks(texts: list[str], budget: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def in_training(id_col: str = "doc_id") -> Column:
+    """Rows whose labels may be learnt: crc32 of the identifier as text leaves 0 or 2 by 3."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
+
+
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps batches small enough for workers that hold several copies of one; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    digits = (now or "").rstrip("b")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def chunks(texts: list[str], budget: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about `budget` characters, so that work on a batch has bounded memory.
 
     One text is never divided: a longer one makes a range of its own.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from claimspark.llm.bloom import build_filter, drop_listed, possible_hits
-from claimspark.llm.common import WORD, chunks, materialize, text_of
+from claimspark.llm.common import WORD, bounded_batches, chunks, materialize, text_of
 from claimspark.llm.components import components
 
 SHINGLE = 5
@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = value
         return value
@@ -125,9 +125,13 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Probability Jaccard of two weighted sets; the plain one if all weights are equal."""
-    common, at, bt = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(common):
+    place = np.minimum(np.searchsorted(b, a), len(b) - 1) if len(b) else np.zeros(0, int)
+    at = np.flatnonzero(b[place] == a) if len(b) else place
+    if not len(at):
         return 0.0
+    bt = place[at]
+    if wa.max() == wb.max() == 1:
+        return len(at) / (len(a) + len(b) - len(at))
     ratio = wa[at] / wb[bt]
     order = np.argsort(ratio, kind="stable")
     ratio, x, y = ratio[order], wa[at][order], wb[bt][order]
@@ -209,27 +213,38 @@ def _with_size(rows: DataFrame) -> DataFrame:
     return rows.join(groups, "bucket")
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose nodes aren't in one component yet; only those can change the classes."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("low"))
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("high"))
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    return both.filter(F.coalesce("low", "a") != F.coalesce("high", "b")).select("a", "b")
+
+
 class _Verifier:
     """Verified links of proposed pairs. Shingle sets are only made for texts that may need them."""
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, threshold: float):
         self.texts, self.nodes, self.threshold = texts, nodes, threshold
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """Rows (a, b) of at least the threshold; None if the signatures leave no pair to look at."""
         left = self.nodes.select(F.col("node").alias("a"), F.col("slots").alias("left"))
         right = self.nodes.select(F.col("node").alias("b"), F.col("slots").alias("right"))
         close = pairs.join(left, "a").join(right, "b").filter(pandas_udf(_equal_slots, _EQUAL_SLOTS)("left", "right") >= LEAST_SLOTS)
         close = materialize(close.select("a", "b"), "close-pairs")
-        asked = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+        if not close.limit(1).count():
+            return None
+        asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(self.nodes.join(asked, "node").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
         # Texts that the filter holds back are certain not to be asked for.
-        some = possible_hits(self.texts, build_filter(wanted.select("key").distinct(), "key"), "key").filter("possible")
+        some = possible_hits(self.texts, build_filter(wanted, "key"), "key").filter("possible")
         made = some.select(pandas_udf(_sets, _SETS)("text").alias("s")).select("s.*")
         sets = made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = materialize(sets, "shingle-sets")
         both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-        return materialize(both.select("a", "b", pandas_udf(_verify, _VERIFY)("left", "right").alias("similarity")).filter(F.col("similarity") >= self.threshold), "links")
+        return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
 
 
 def _unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -239,16 +254,22 @@ def _unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(mixed.select("bucket"), "bucket").select("bucket", "node", "band")
 
 
+def _grown(links: DataFrame, more: DataFrame | None) -> DataFrame:
+    return links if more is None else materialize(links.unionByName(more), "links")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id_col, class_id, class_size, links, kept.
+    """One row per input row: id_col, class_id, class_size, kept.
 
     Classes are the connected components of texts with a probability Jaccard of at least
     `threshold`; copies belong to the class of their text. class_id is the smallest
-    identifier of the class, links the verified links of the row's text to other texts.
+    identifier of the class.
     The first row of the class with that identifier is kept (nulls come last). A null, an
     empty text or one without words is near to nothing and a class of its own. Ties and
     repeated rows are copies. Other input columns are ignored.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     texts = texts.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("null")))
     sketch = texts.select("id", F.col("key").alias("id_text"), F.monotonically_increasing_id().alias("row"), pandas_udf(_sketch, _SKETCH)("text").alias("s"))
@@ -260,25 +281,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = nodes.select("node", F.posexplode("bands").alias("band", "mark")).select("node", "band", F.xxhash64("band", "mark").alias("bucket"))
     buckets = materialize(_with_size(rows), "buckets")
     verifier = _Verifier(texts, nodes, threshold)
-    links = verifier.links(_pairs(buckets))
+    # First one pair per node, with the smallest hub of its buckets: it settles most large groups.
+    links = spark.createDataFrame([], "a long, b long")
+    closest = buckets.filter("node != hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    links = _grown(links, verifier.links(closest))
+    roots = materialize(components(links), "roots")
+    links = _grown(links, verifier.links(_across(_pairs(buckets), roots)))
+    marks = nodes.select("node", F.posexplode("bands").alias("next", "mark"))
+    gap = F.pmod(F.col("next") - F.col("band"), F.lit(BANDS))
     for _ in range(LEVELS):
-        roots = materialize(components(links.select("a", "b")), "roots")
+        roots = materialize(components(links), "roots")
         left = materialize(_unresolved(buckets, roots), "unresolved")
         if not left.limit(1).count():
             break
-        marks = nodes.select("node", F.posexplode("bands").alias("next", "mark"))
-        near = (F.pmod(F.col("next") - F.col("band"), F.lit(BANDS)) >= 1) & (F.pmod(F.col("next") - F.col("band"), F.lit(BANDS)) <= FAN)
-        deeper = left.join(marks, "node").filter(near).select("node", F.col("next").alias("band"), F.xxhash64("bucket", "next", "mark").alias("bucket"))
+        deeper = left.join(marks, "node").filter((gap >= 1) & (gap <= FAN)).select("node", F.col("next").alias("band"), F.xxhash64("bucket", "next", "mark").alias("bucket"))
         buckets = materialize(_with_size(deeper), "buckets")
-        fresh = _pairs(buckets).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        more = verifier.links(fresh)
-        links = materialize(links.unionByName(more), "links")
-    roots = materialize(components(links.select("a", "b")), "roots")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    known = owners.join(roots, "node", "left").join(degree, "node", "left")
-    known = known.select("set_key", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        links = _grown(links, verifier.links(_across(_pairs(buckets), roots)))
+    else:
+        roots = materialize(components(links), "roots")
+    known = owners.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     placed = sketch.join(known, "set_key", "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")).otherwise(-1 - F.col("row")))
-    placed = materialize(placed.select("id", "row", "root", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "placed")
+    placed = materialize(placed.select("id", "row", "root"), "placed")
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("first")
     classes = placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
     several = classes.filter("class_size > 1").select("root", "class_size", F.col("first.id").alias("class_id"), F.col("first.row").alias("first_row"))
@@ -287,7 +310,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col),
         F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        "links",
         (F.col("first_row").isNull() | (F.col("first_row") == F.col("row"))).alias("kept"),
     )
 
