@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from claimspark.llm.common import bounded_batches
+
 #: Words whose tokens a worker remembers; beyond it starts anew.
 WORD_CACHE = 400_000
 #: White space of the vocabulary's patterns: the Unicode property, without the separators 1C to 1F.
@@ -278,6 +280,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     Null and empty texts have no tokens and decode to the empty text. Repeated rows are
     encoded each; other input columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     column = digest_column(F.col("text"), path) if digests else encode_column(F.col("text"), path)
     return narrow.select(F.col("id").alias(id_col), column.alias("r")).select(id_col, "r.*")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from claimspark.llm.common import WORD
+from claimspark.llm.common import WORD, bounded_batches
 
 _WORDS = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -150,6 +150,7 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Empty and null texts have no words and fail the base rule. Repeated rows are judged each
     on their own. Other input columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     judged = narrow.select(F.col("id").alias(id_col), compression_columns(F.col("text"), **settings).alias("r"))
     return judged.select(id_col, "r.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from claimspark.llm.common import chunks
+from claimspark.llm.common import bounded_batches, chunks, in_training
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 64
@@ -254,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Gives the share of good rows instead (0.5 without any) if one of the two labels is missing.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(sample)  # bounded, so it may be sent to every task
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
@@ -285,11 +286,6 @@ def quality_column(text: Column, model: LineModel | float) -> Column:
     return scored(text)
 
 
-def in_training(id_col: str = "doc_id") -> Column:
-    """Rows whose labels may be learnt: crc32 of the identifier as text leaves 0 or 2 by 3."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> DataFrame:
     """One row per input row: id_col, held_out, score, predicted.
 

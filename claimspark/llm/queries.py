@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import bpe, compression, exact_dedup, line_crf, mixing, near_dup, url_filter, warc
+from claimspark.llm import bpe, compression, exact_dedup, line_crf, mixing, near_dup, site_tree, toxicity, url_filter, warc
 from claimspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
@@ -92,6 +97,11 @@ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from n window g as (partition by text_sha256)
 """
 
+@query
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract_text(table(spark, sf_dir, "pages"))
+
+
 #: Host and path of the contract's rules; `com/` is every host under `com`.
 RULES = [
     url_filter.Rule("allow", "com", "/"),
