@@ -10,8 +10,11 @@ latest slot. Two signatures agree in a slot with the probability Jaccard similar
 
 Groups never become all pairs. Texts with equal weighted sets are one node. In a bucket every
 node is paired with one hub; buckets of at most `SMALL` nodes also pair their nodes with each
-other. A larger bucket whose nodes are still in several components after verification is split
-by further bands, and so on, so that each round adds rows in proportion to the nodes left.
+other, where they are not connected yet. A larger bucket whose nodes are still in several
+components after verification is split by keys of two further bands, so that each round adds rows
+in proportion to the nodes left. A pair of similarity 0.8 shares eight bands on average and
+meets again in a split bucket with a chance of one in six per key, with six keys per shared band
+and level: that it is never compared has a chance of about 1e-4, for large mixed buckets alone.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ ROWS = 4
 BANDS = 20
 SLOTS = ROWS * BANDS
 #: Nodes of a bucket that are paired with each other, beside the hub.
-SMALL = 8
-#: Further bands that split a bucket with several components, and how often.
-FAN = 4
-LEVELS = 6
+SMALL = 32
+#: Keys of two further bands each that split a larger bucket with several components, and how often that is done.
+FAN = 6
+LEVELS = 3
 #: Equal slots that a pair of similarity 0.8 reaches but for a chance of 3e-7 (five standard deviations).
 LEAST_SLOTS = 46
 _WORD = re.compile(WORD)
@@ -198,12 +201,19 @@ def _verify(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similarity(*_unpack(a), *_unpack(b)) for a, b in zip(left, right)], dtype="float64")
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of nodes from rows (bucket, node, size, hub): all with the hub, and all in small buckets."""
-    hub = buckets.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    few = buckets.filter(f"size > 2 and size <= {SMALL} and node != hub").select("bucket", "node")
-    other = few.select("bucket", F.col("node").alias("b"))
-    inner = few.join(other, "bucket").filter("node < b").select(F.col("node").alias("a"), "b")  # at most SMALL rows per bucket
+def _with_roots(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (bucket, node, ...) with the component of the node and of the hub so far."""
+    hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    both = buckets.join(roots, "node", "left").join(hub_roots, "hub", "left")
+    return both.withColumns({"root": F.coalesce("root", "node"), "hub_root": F.coalesce("hub_root", "hub")})
+
+
+def _pairs(rooted: DataFrame) -> DataFrame:
+    """Pairs of nodes from `_with_roots`: all with the hub, and all in small buckets, if they are in two components."""
+    hub = rooted.filter("root != hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    few = rooted.filter(f"size > 2 and size <= {SMALL} and node != hub").select("bucket", "node", "root")
+    other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
+    inner = few.join(other, "bucket").filter("node < b and root != other").select(F.col("node").alias("a"), "b")  # fewer than SMALL rows per row
     return hub.unionByName(inner).distinct()
 
 
@@ -213,14 +223,6 @@ def _with_size(rows: DataFrame) -> DataFrame:
     return rows.join(groups, "bucket")
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose nodes aren't in one component yet; only those can change the classes."""
-    left = roots.select(F.col("node").alias("a"), F.col("root").alias("low"))
-    right = roots.select(F.col("node").alias("b"), F.col("root").alias("high"))
-    both = pairs.join(left, "a", "left").join(right, "b", "left")
-    return both.filter(F.coalesce("low", "a") != F.coalesce("high", "b")).select("a", "b")
-
-
 class _Verifier:
     """Verified links of proposed pairs. Shingle sets are only made for texts that may need them."""
 
@@ -239,7 +241,8 @@ class _Verifier:
         wanted = materialize(self.nodes.join(asked, "node").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
         # Texts that the filter holds back are certain not to be asked for.
         some = possible_hits(self.texts, build_filter(wanted, "key"), "key").filter("possible")
-        made = some.select(pandas_udf(_sets, _SETS)("text").alias("s")).select("s.*")
+        # Not deterministic in name, so that no test of its result moves below the filter and runs it on every text.
+        made = some.select(pandas_udf(_sets, _SETS).asNondeterministic()("text").alias("s")).select("s.*")
         sets = made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
         sets = materialize(sets, "shingle-sets")
         both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
@@ -247,13 +250,22 @@ class _Verifier:
         return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
 
 
-def _unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+def _unresolved(rooted: DataFrame) -> DataFrame:
     """Rows of large buckets whose nodes are in several components."""
-    rows = buckets.filter(f"size > {SMALL}").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.filter(f"size > {SMALL}")
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     return rows.join(mixed.select("bucket"), "bucket").select("bucket", "node", "band")
 
 
+def _split(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (bucket, node, band) of large buckets dealt to smaller ones: each by `FAN` keys of two further bands."""
+    joined = left.join(nodes.select("node", "bands"), "node")
+    at = lambda gap: F.element_at("bands", (F.pmod(F.col("band") + gap, F.lit(BANDS)) + 1).cast("int"))
+    keys = [F.xxhash64("bucket", F.lit(i), at(2 * i + 1), at(2 * i + 2)) for i in range(FAN)]
+    dealt = joined.select("node", (F.col("band") + 2 * FAN).alias("band"), F.explode(F.array(*keys)).alias("bucket"))
+    return materialize(_with_size(dealt), "buckets")
+
+
 def _grown(links: DataFrame, more: DataFrame | None) -> DataFrame:
     return links if more is None else materialize(links.unionByName(more), "links")
 
@@ -285,18 +297,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = spark.createDataFrame([], "a long, b long")
     closest = buckets.filter("node != hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = _grown(links, verifier.links(closest))
-    roots = materialize(components(links), "roots")
-    links = _grown(links, verifier.links(_across(_pairs(buckets), roots)))
-    marks = nodes.select("node", F.posexplode("bands").alias("next", "mark"))
-    gap = F.pmod(F.col("next") - F.col("band"), F.lit(BANDS))
-    for _ in range(LEVELS):
+    for level in range(LEVELS + 1):
         roots = materialize(components(links), "roots")
-        left = materialize(_unresolved(buckets, roots), "unresolved")
-        if not left.limit(1).count():
-            break
-        deeper = left.join(marks, "node").filter((gap >= 1) & (gap <= FAN)).select("node", F.col("next").alias("band"), F.xxhash64("bucket", "next", "mark").alias("bucket"))
-        buckets = materialize(_with_size(deeper), "buckets")
-        links = _grown(links, verifier.links(_across(_pairs(buckets), roots)))
+        if level:
+            left = materialize(_unresolved(_with_roots(buckets, roots)), "unresolved")
+            if not left.limit(1).count():
+                break
+            buckets = _split(left, nodes)
+        links = _grown(links, verifier.links(_pairs(_with_roots(buckets, roots))))
     else:
         roots = materialize(components(links), "roots")
     known = owners.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
