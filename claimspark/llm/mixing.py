@@ -70,7 +70,8 @@ def _source_key(source: Column) -> Column:
 def _rank(seed: int) -> Column:
     """Random odds divided by inclusion odds, for rows with id, size and share (the part of the source to sample)."""
     u = uniform(F.col("id"), seed)
-    return u / (F.lit(1.0) - u) / (F.col("share") / (F.lit(1.0) - F.col("share")) * F.sqrt(F.col("size").cast("double")))
+    # Null where nothing is to be sampled: a share of 0 or a document without words.
+    return F.try_divide(u / (F.lit(1.0) - u), F.col("share") / (F.lit(1.0) - F.col("share")) * F.sqrt(F.col("size").cast("double")))
 
 
 def _place(level: int) -> Column:
@@ -93,9 +94,9 @@ def source_cuts(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataF
     A document is in the sample if its (rank, id) is at most the cut. The document at the
     border is in if that brings the sum nearer to the target.
     """
-    plan = targets.withColumn("key", _source_key(F.col("source"))).withColumn("certain", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)))
+    plan = targets.withColumn("key", _source_key(F.col("source"))).withColumn("certain", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)))
     plan = plan.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = materialize(plan.withColumn("share", F.col("rest") / F.col("source_size")).drop("source"), "mixing-plan")
+    plan = materialize(plan.withColumn("share", F.coalesce(F.try_divide(F.col("rest"), F.col("source_size")), F.lit(0.0))).drop("source"), "mixing-plan")
     open_rows = plan.filter("rest > 0").select("key", "rest", "share")
     rows = sized.filter("size > 0").withColumn("key", _source_key(F.col("source"))).join(open_rows, "key")
     rows = rows.select("key", "rest", "id", "size", _rank(seed).alias("rank"), F.lit(0).cast("long").alias("base"))
