@@ -50,11 +50,15 @@ def features(text: str) -> Counter:
 
 @dataclass
 class Chain:
-    """Models in order: per category a weight per feature, per earlier category, and a constant."""
+    """Models in order: per category a weight per feature, per earlier category, and a constant.
+
+    A text without any of the features in `marks` is not toxic, whatever other words it lacks.
+    """
 
     categories: tuple[str, ...]
     index: dict[str, int]
     weights: list[np.ndarray]
+    marks: np.ndarray
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.index)), np.float32)
@@ -71,7 +75,7 @@ class Chain:
         out = np.zeros((len(x), 0))
         for w in self.weights:
             out = np.column_stack([out, _sigmoid(_inputs(x, out) @ w)])
-        return out
+        return out * (x[:, self.marks] > 0).any(1)[:, None]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -102,7 +106,7 @@ def _fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w.astype(np.float64)
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...], index: dict[str, int]) -> Chain:
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...], index: dict[str, int], marks: np.ndarray) -> Chain:
     """`labels` has a column per category, `folds` a number below `FOLDS` per row."""
     weights, held = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
@@ -114,7 +118,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories:
             if out.any():
                 fresh[out] = _sigmoid(inputs[out] @ _fit_linear(inputs[~out], y[~out]))
         held = np.column_stack([held, fresh])
-    return Chain(categories, index, weights)
+    return Chain(categories, index, weights, marks)
 
 
 def _feature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return float(share or 0.0)
     index = {name: i for i, (name, _) in enumerate(chosen)}
     marks = frozenset(name for name, lift in chosen if lift >= MARK_LIFT)
-    empty = Chain(CATEGORIES, index, [])
+    at = np.array([index[name] for name in marks], int)
+    empty = Chain(CATEGORIES, index, [], at)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -186,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = np.array([r["label"] for r in found]) == 1
     hits = np.array([r["marks"] for r in found])
     wanted = np.column_stack([toxic & (hits >= SEVERE), toxic & (hits >= REPEATED), toxic])
-    return fit_chain(x, wanted, np.arange(len(found)) % FOLDS, CATEGORIES, index)
+    return fit_chain(x, wanted, np.arange(len(found)) % FOLDS, CATEGORIES, index, at)
 
 
 def _marks(text: str, marks: frozenset[str]) -> int:
@@ -213,7 +218,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per input row: id_col, held_out, p_severe, p_repeated, score (of toxic), predicted, is_toxic.
 
     Labels are learnt only from rows whose crc32 of the identifier as text doesn't leave 1 by 3. Null
-    and empty texts have no features and score the models' constant. Repeated rows are scored each; other columns are ignored.
+    and empty texts, and texts without a mark of toxic text, score 0. Repeated rows are scored each; other columns are ignored.
     """
     chain = train(docs, labels.filter(in_training(id_col)), id_col, text_col, label_col)
     narrow = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -100,7 +100,7 @@ def test_later_models_use_earlier_probabilities():
     x = rng.integers(0, 2, (300, 5)).astype(np.float32)
     first = x[:, 0] == 1
     labels = np.column_stack([first, first])
-    chain = toxicity.fit_chain(x, labels, np.arange(300) % 3, ("a", "b"), {str(i): i for i in range(5)})
+    chain = toxicity.fit_chain(x, labels, np.arange(300) % 3, ("a", "b"), {str(i): i for i in range(5)}, np.arange(5))
     assert len(chain.weights[0]) == 6 and len(chain.weights[1]) == 7 and chain.weights[1][5] > 0
     assert ((chain.predict(x) >= 0.5) == labels).all()
 
