@@ -9,12 +9,12 @@ latest slot. Two signatures agree in a slot with the probability Jaccard similar
 (1 - 0.8^4)^20 = 3e-5. Pairs are then verified on the full weighted sets.
 
 Groups never become all pairs. Texts with equal weighted sets are one node. In a bucket every
-node is paired with one hub; buckets of at most `SMALL` nodes also pair their nodes with each
-other, where they are not connected yet. A larger bucket whose nodes are still in several
-components after verification is split by keys of two further bands, so that each round adds rows
-in proportion to the nodes left. A pair of similarity 0.8 shares eight bands on average and
-meets again in a split bucket with a chance of one in six per key, with six keys per shared band
-and level: that it is never compared has a chance of about 1e-4, for large mixed buckets alone.
+node is paired with one hub, first with the smallest of all its buckets alone, which connects most
+large groups; later pairs only count if their nodes are in two components. Buckets of three or more nodes
+in several components are split by `FAN` keys of two further bands each, and each part has a hub of its own.
+So pairs grow with the nodes. A pair of similarity 0.8 shares eight bands on average and meets
+again in a part of each with a chance of one in six per key, eight times on average in all; it is
+compared unless every one of these parts has another hub.
 """
 
 from __future__ import annotations
@@ -37,11 +37,8 @@ THRESHOLD = 0.8
 ROWS = 4
 BANDS = 20
 SLOTS = ROWS * BANDS
-#: Nodes of a bucket that are paired with each other, beside the hub.
-SMALL = 32
-#: Keys of two further bands each that split a larger bucket with several components, and how often that is done.
+#: Keys of two further bands each that split a bucket with several components.
 FAN = 6
-LEVELS = 3
 #: Equal slots that a pair of similarity 0.8 reaches but for a chance of 3e-7 (five standard deviations).
 LEAST_SLOTS = 46
 _WORD = re.compile(WORD)
@@ -209,17 +206,13 @@ def _with_roots(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _pairs(rooted: DataFrame) -> DataFrame:
-    """Pairs of nodes from `_with_roots`: all with the hub, and all in small buckets, if they are in two components."""
-    hub = rooted.filter("root != hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    few = rooted.filter(f"size > 2 and size <= {SMALL} and node != hub").select("bucket", "node", "root")
-    other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
-    inner = few.join(other, "bucket").filter("node < b and root != other").select(F.col("node").alias("a"), "b")  # fewer than SMALL rows per row
-    return hub.unionByName(inner).distinct()
+    """Pairs of a node and its bucket's hub from `_with_roots`, if they are in two components."""
+    return rooted.filter("root != hub_root").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def _with_size(rows: DataFrame) -> DataFrame:
+def _with_hub(rows: DataFrame, hub) -> DataFrame:
     """Rows (bucket, node, ...) of buckets with several nodes, with size and hub."""
-    groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1")
+    groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), hub.alias("hub")).filter("size > 1")
     return rows.join(groups, "bucket")
 
 
@@ -250,20 +243,18 @@ class _Verifier:
         return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
 
 
-def _unresolved(rooted: DataFrame) -> DataFrame:
-    """Rows of large buckets whose nodes are in several components."""
-    rows = rooted.filter(f"size > {SMALL}")
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    return rows.join(mixed.select("bucket"), "bucket").select("bucket", "node", "band")
-
+def _split(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets of three or more nodes in several components, dealt to smaller ones: by `FAN` keys of two further bands each.
 
-def _split(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (bucket, node, band) of large buckets dealt to smaller ones: each by `FAN` keys of two further bands."""
-    joined = left.join(nodes.select("node", "bands"), "node")
+    Every part has a hub of its own, drawn by a hash, so that a pair that meets in several parts meets other hubs.
+    """
+    rows = rooted.filter("size > 2")
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    joined = rows.join(mixed.select("bucket"), "bucket").select("bucket", "node", "band").join(nodes.select("node", "bands"), "node")
     at = lambda gap: F.element_at("bands", (F.pmod(F.col("band") + gap, F.lit(BANDS)) + 1).cast("int"))
     keys = [F.xxhash64("bucket", F.lit(i), at(2 * i + 1), at(2 * i + 2)) for i in range(FAN)]
-    dealt = joined.select("node", (F.col("band") + 2 * FAN).alias("band"), F.explode(F.array(*keys)).alias("bucket"))
-    return materialize(_with_size(dealt), "buckets")
+    dealt = joined.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    return _with_hub(dealt, F.min_by("node", F.xxhash64("bucket", "node")))
 
 
 def _grown(links: DataFrame, more: DataFrame | None) -> DataFrame:
@@ -291,21 +282,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = worded.withColumnRenamed("row", "node").join(owners.select("node"), "node", "left_semi")
     nodes = materialize(nodes.select("node", "id_text", "set_key", "slots", "bands"), "node-sketches")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "mark")).select("node", "band", F.xxhash64("band", "mark").alias("bucket"))
-    buckets = materialize(_with_size(rows), "buckets")
+    buckets = materialize(_with_hub(rows, F.min("node")), "buckets")
     verifier = _Verifier(texts, nodes, threshold)
     # First one pair per node, with the smallest hub of its buckets: it settles most large groups.
-    links = spark.createDataFrame([], "a long, b long")
     closest = buckets.filter("node != hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = _grown(links, verifier.links(closest))
-    for level in range(LEVELS + 1):
-        roots = materialize(components(links), "roots")
-        if level:
-            left = materialize(_unresolved(_with_roots(buckets, roots)), "unresolved")
-            if not left.limit(1).count():
-                break
-            buckets = _split(left, nodes)
-        links = _grown(links, verifier.links(_pairs(_with_roots(buckets, roots))))
-    else:
+    links = _grown(spark.createDataFrame([], "a long, b long"), verifier.links(closest))
+    roots = materialize(components(links), "roots")
+    # Then whatever may join two components: other hubs, and the nodes of mixed buckets among each other.
+    rooted = materialize(_with_roots(buckets, roots), "rooted-buckets")
+    parts = _with_roots(_split(rooted, nodes), roots)
+    more = verifier.links(_pairs(rooted.select("node", "hub", "root", "hub_root").unionByName(parts.select("node", "hub", "root", "hub_root"))))
+    if more is not None:
+        links = _grown(links, more)
         roots = materialize(components(links), "roots")
     known = owners.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     placed = sketch.join(known, "set_key", "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")).otherwise(-1 - F.col("row")))
