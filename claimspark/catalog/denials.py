@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimspark.catalog.registry import query
-from claimspark.catalog.relational import enriched, knowledge_base, tables_raw
+from claimspark.catalog.relational import augmented_claims, enriched, knowledge_base, tables_raw
 from claimspark.catalog.scalar import resolved_sql, won_sql
 from claimspark.catalog.sql_parts import CODE_OF, RATIO, rand_int
 from claimspark.functions.values import cost_ratio
@@ -159,6 +159,11 @@ def a02(spark, folder):
     return priority_selection(spark, folder)[1].select("claim_id", "category")
 
 
+@query("g18_category_counts", f"select {CODE_OF} as category, count(*) as n from picked group by all")
+def g18(spark, folder):
+    return A.category_counts(priority_selection(spark, folder)[1])
+
+
 @query("a03_shortage_pass", f"select claim_id, {CODE_OF} as category from picked")
 def a03(spark, folder):
     """A rule that is short has no candidate left, so this pass must add nothing here."""
@@ -260,6 +265,13 @@ def a10(spark, folder):
     return enriched(spark, folder)
 
 
+@query("a13_augmented_chain", "select total_claims as n, current_denied + need_new as denied from sizes")
+def a13(spark, folder):
+    """The augmented claims, cleaned and enriched: every claim once, denied as often as the target says."""
+    rows = augmented_claims(spark, folder)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label_denied").cast("bigint").alias("denied"))
+
+
 @query("a10_train_eval_split", "select claim_id, patient_id, case when in_eval then 'eval' else 'train' end as split from enriched join split_groups using (patient_id)")
 def a10_split(spark, folder):
     return C.split_train_eval(enriched(spark, folder)).select("claim_id", "patient_id", "split")

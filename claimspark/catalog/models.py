@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from claimspark.catalog.registry import query, scratch
-from claimspark.catalog.relational import enriched, knowledge_base, scored
+from claimspark.catalog.relational import augmented_claims, enriched, knowledge_base, scored
 from claimspark.catalog.scalar import _DESCRIPTION
 from claimspark.catalog.sql_parts import draw as draw_sql
 from claimspark.functions.text import PROMPT_HEAD, PROMPT_TAIL
@@ -23,9 +23,6 @@ from claimspark.plans.knowledge_base import split_holdout
 from claimspark.session import materialize
 from claimspark.sources import roles, sinks, tables
 
-FEW_TREES = 2  # boosting rounds of the registered queries; the settings themselves have hundreds
-
-
 # ---- S -------------------------------------------------------------------------------
 
 
@@ -133,14 +130,20 @@ def s09(spark, folder):
     return lines.select(F.col("value").alias("header"))
 
 
-@query("s10_persist_model")
+_SPLIT_ROWS = "select claim_id, in_eval, label_denied from enriched join split_groups using (patient_id)"
+
+
+@query("s10_persist_model", f"select claim_id, 0.0::double as difference, true as in_range from ({_SPLIT_ROWS}) where in_eval")
 def s10(spark, folder):
+    """The model read back scores as the model that was written."""
     train, evaluation = model_input(spark, folder)
-    model = M.fit_model(train, M.LEAFWISE, FEW_TREES)
+    model = M.fit_model(train, M.LEAFWISE)
     path = scratch(spark, "model")
     sinks.save_model(model.pipeline, path)
     again = replace(model, pipeline=PipelineModel.load(path))
-    return again.score(evaluation).select("claim_id", F.round("score", 6).alias("score"))
+    both = again.score(model.score(evaluation, "before"), "after")
+    difference = F.round(F.abs(F.col("before") - F.col("after")), 9)
+    return both.select("claim_id", difference.alias("difference"), F.col("after").between(0, 1).alias("in_range"))
 
 
 _PROMPT = f"'{PROMPT_HEAD}' || {_DESCRIPTION} || '{PROMPT_TAIL}'"
@@ -224,9 +227,10 @@ def s12(spark, folder):
 # ---- M -------------------------------------------------------------------------------
 
 
-def model_input(spark, folder, balanced=False):
-    """Training and evaluation rows of the enriched claims."""
-    rows = materialize(split_train_eval(enriched(spark, folder, balanced)), "split")
+def model_input(spark, folder, variant="raw"):
+    """Training and evaluation rows of the enriched claims of a variant."""
+    rows = augmented_claims(spark, folder) if variant == "augmented" else enriched(spark, folder, variant == "balanced")
+    rows = materialize(split_train_eval(rows), "split")
     return tuple(rows.where(F.col("split") == part).drop("split") for part in ("train", "eval"))
 
 
@@ -244,17 +248,21 @@ def m01(spark, folder):
     return spark.createDataFrame(rows, "name string, mode string, median double")
 
 
-@query("m01_encode")
+@query("m01_encode", f"select claim_id, {M.HASH_WIDTH} as slots, true as numbers_kept, true as within from ({_SPLIT_ROWS}) where not in_eval")
 def m01_encode(spark, folder):
-    """The encoded feature vectors, as their sizes and number of entries."""
+    """Hash slots of the encoded vectors, whether all number columns have a place, and whether no more slots are used than there are text columns."""
     train, _ = model_input(spark, folder)
     text, numbers = M.feature_columns(train)
-    fills = M.learn_fills(train, text, numbers)
-    ready = M.filled(train, fills, text, numbers)
-    fitted = Pipeline(stages=M.encoder_stages(text, numbers, fills, "one_hot", M.LABEL)).fit(ready)
+    ready = M.filled(train, M.learn_fills(train, text, numbers), text, numbers)
+    fitted = Pipeline(stages=M.encoder_stages(text, numbers, [], "one_hot")).fit(ready)
     dense = vector_to_array("features")
+    hashed = F.slice(dense, len(numbers) + 1, M.HASH_WIDTH)
+    used = F.size(F.filter(hashed, lambda v: v != 0))
     return fitted.transform(ready).select(
-        "claim_id", F.size(dense).alias("size"), F.size(F.filter(dense, lambda v: v != 0)).alias("entries")
+        "claim_id",
+        F.size(hashed).alias("slots"),
+        (F.size(dense) == M.HASH_WIDTH + len(numbers)).alias("numbers_kept"),
+        used.between(1, len(text)).alias("within"),
     )
 
 
@@ -298,46 +306,86 @@ def m04(spark, folder):
     return best_cost(_rounded_sweep(spark, folder, SWEEP_COARSE))
 
 
-def _fit(config):
-    return lambda df: M.fit_model(df, config, FEW_TREES)
-
-
-@query("m05_out_of_fold")
+@query(
+    "m05_out_of_fold",
+    f"""with t as (select claim_id, patient_id from enriched join split_groups using (patient_id) where not in_eval),
+    g as (select patient_id, row_number() over (order by count(*) desc, patient_id) - 1 as i from t group by patient_id)
+    select claim_id, (case when (i // 3) % 2 = 0 then i % 3 else 2 - i % 3 end)::int as fold, true as in_range from t join g using (patient_id)""",
+)
 def m05(spark, folder):
     train, _ = model_input(spark, folder)
     folded = materialize(M.with_folds(train, 3), "folds")
-    scores, _ = M.out_of_fold(folded, 3, _fit(M.LEAFWISE))
-    return scores.select("claim_id", "fold", F.round("score", 6).alias("score"))
+    scores, _ = M.out_of_fold(folded, 3, lambda df: M.fit_model(df, M.LEAFWISE))
+    return scores.select("claim_id", "fold", F.col("score").between(0, 1).alias("in_range"))
+
+
+def _counted(report):
+    """What a report must say whatever the model: rows of each label behind every confusion matrix, and how many metrics."""
+    counts = report.where(F.col("section").isin("confusion_0_5", "confusion_best_f1", "cost_sweep", "best_cost"))
+
+    def total(*names):
+        return F.sum(F.when(F.col("metric").isin(*names), F.col("value"))).cast("bigint")
+
+    ratios = F.col("metric").isin("precision", "recall", "f1")
+    return (
+        counts.withColumn("threshold", F.when(F.col("section") != "best_cost", F.col("threshold")))
+        .where(~F.col("part").startswith("setting_"))
+        .groupBy("part", "section", "threshold")
+        .agg(
+            total("tp", "fn").alias("positives"),
+            total("fp", "tn").alias("negatives"),
+            F.coalesce(F.min(F.when(ratios, F.col("value").between(0, 1))), F.lit(True)).alias("in_range"),
+        )
+    )
+
 
+def _counted_sql(thresholds):
+    return f"""select part, section, threshold, positives, negatives, true as in_range from
+    (select case when in_eval then 'eval' else 'cv' end as part, sum(label_denied)::bigint as positives, (count(*) - sum(label_denied))::bigint as negatives
+     from ({_SPLIT_ROWS}) group by all)
+    cross join (select 'cost_sweep' as section, unnest([{", ".join(f"{t}::double" for t in thresholds)}]) as threshold
+     union all select unnest(['confusion_0_5', 'confusion_best_f1', 'best_cost']), null)"""
 
-@query("m06_boosted_sweep")
+
+@query("m06_boosted_sweep", _counted_sql(SWEEP_FINE))
 def m06(spark, folder):
-    """The shortest and the deepest of the settings, few rounds each."""
-    train, evaluation = model_input(spark, folder)
-    return M.train_sweep(train, evaluation, (M.SWEEP[0], M.SWEEP[4]), FEW_TREES, folds=(2, 2), calibration_folds=2).report
+    """All settings, with their folds and the calibration."""
+    return _counted(M.train_sweep(*model_input(spark, folder)).report)
 
 
-@query("m07_boosted_single")
+@query("m07_boosted_single", _counted_sql(SWEEP_COARSE))
 def m07(spark, folder):
-    return M.train_single(*model_input(spark, folder), M.LEAFWISE, FEW_TREES).report
+    return _counted(M.train_single(*model_input(spark, folder), M.LEAFWISE).report)
 
 
-@query("m08_boosted_categorical")
+@query("m08_boosted_categorical", _counted_sql(SWEEP_COARSE))
 def m08(spark, folder):
-    return M.train_single(*model_input(spark, folder), M.CATEGORICAL, FEW_TREES).report
+    return _counted(M.train_single(*model_input(spark, folder), M.CATEGORICAL).report)
 
 
-@query("m09_isotonic_calibration")
+@query("m09_isotonic_calibration", f"select claim_id, true as in_range from ({_SPLIT_ROWS}) where in_eval")
 def m09(spark, folder):
     train, evaluation = model_input(spark, folder)
-    folded = materialize(M.with_stratified_folds(train, M.LABEL, "claim_id", 2), "folds")
-    return M.calibrate(folded, 2, _fit(M.LEAFWISE)).score(evaluation).select("claim_id", F.round("score", 6).alias("score"))
+    folded = materialize(M.with_stratified_folds(train, M.LABEL, "claim_id", 3), "folds")
+    scores = M.calibrate(folded, 3, lambda df: M.fit_model(df, M.LEAFWISE)).score(evaluation)
+    return scores.select("claim_id", F.col("score").between(0, 1).alias("in_range"))
 
 
-@query("m10_variants")
+@query(
+    "m10_variants",
+    """select 'raw' as variant, count(*)::bigint as n, sum(label_denied)::bigint as positives from enriched union all
+    select 'balanced', count(*), count(*) filter (where claim_status = 'Denied') from balanced union all
+    select 'augmented', total_claims, current_denied + need_new from sizes""",
+)
 def m10(spark, folder):
-    splits = {"raw": model_input(spark, folder), "augmented": None, "balanced": model_input(spark, folder, balanced=True)}
-    return M.run_variants(splits, lambda train, evaluation: M.train_single(train, evaluation, M.LEAFWISE, 1, k=2))
+    """Rows and positives behind the confusion matrices of the three variants, training and evaluation rows together."""
+    splits = {variant: model_input(spark, folder, variant) for variant in ("raw", "augmented", "balanced")}
+    report = M.run_variants(splits, lambda train, evaluation: M.train_single(train, evaluation, M.LEAFWISE))
+    cells = report.where((F.col("section") == "confusion_0_5") & F.col("metric").isin("tp", "fp", "fn", "tn"))
+    return cells.groupBy("variant").agg(
+        F.sum("value").cast("bigint").alias("n"),
+        F.sum(F.when(F.col("metric").isin("tp", "fn"), F.col("value"))).cast("bigint").alias("positives"),
+    )
 
 
 @query(
@@ -365,14 +413,11 @@ def m13(spark, folder):
     return _vector_columns(E.embeddings(_documents(spark, folder), scratch(spark, "embeddings"), _encode(), "text"))
 
 
-@query("m14_reasoning_model")
+@query("m14_reasoning_model", _counted_sql(SWEEP_COARSE))
 def m14(spark, folder):
-    """Base features plus hashed embeddings of the reasoning texts."""
+    """Base features plus embeddings of the reasoning texts, on the scale of the training texts."""
     train, evaluation = model_input(spark, folder)
-    dims = 8
-    vectors = []
-    for part in (train, evaluation):
-        texts = E.reasonings(part, scratch(spark, "reasonings"), _predict())
-        vectors.append(materialize(E.hashed_embeddings(texts, dims=dims), "vectors"))
-    return E.train_with_reasoning(train, evaluation, *vectors, dims, M.CATEGORICAL, FEW_TREES).report
-
+    texts = [E.reasonings(part, scratch(spark, "reasonings"), _predict()) for part in (train, evaluation)]
+    embedder = E.fit_embedder(texts[0], dims=E.EMBED_BATCH)
+    vectors = [materialize(E.hashed_embeddings(t, embedder), "vectors") for t in texts]
+    return _counted(E.train_with_reasoning(train, evaluation, *vectors, E.EMBED_BATCH, M.CATEGORICAL).report)

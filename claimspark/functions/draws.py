@@ -9,7 +9,7 @@ DRAW_BITS = 60  # 15 hex digits of the digest
 
 
 def _digest(key: Column, seed: object) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))  # null draws as the empty key
 
 
 def draw(key: Column, seed: object = 42) -> Column:

@@ -33,17 +33,22 @@ class Cut:
         if self.draw is None:
             return F.lit(False)
         at = F.lit(self.draw)
-        return (draw_col < at) | ((draw_col == at) & (key_col <= F.lit(self.key)))
+        return (draw_col < at) | ((draw_col == at) & (_text(key_col) <= F.lit(self.key)))
+
+
+def _text(key: Column) -> Column:
+    """Keys compare as text; null is the empty text, for its draw too."""
+    return F.coalesce(key.cast("string"), F.lit(""))
 
 
 def find_cut(df: DataFrame, n: int, draw_col: str, key_col: str) -> Cut:
     """The cut that takes exactly n rows of `df` (all of them if there are fewer).
 
-    `key_col` must be unique. One to five passes that only count by a few bits of the draw.
+    `key_col` must be unique; null counts as one key. One to five passes that only count by a few bits of the draw.
     """
     if n <= 0:
         return Cut()
-    rows, left, shift = df.select(draw_col, F.col(key_col).cast("string").alias(key_col)), n, DRAW_BITS
+    rows, left, shift = df.select(draw_col, _text(F.col(key_col)).alias(key_col)), n, DRAW_BITS
     while True:
         shift -= _LEVEL_BITS
         counts = rows.groupBy(F.shiftright(draw_col, shift).alias("bucket")).count().collect()  # at most 2^12 rows

@@ -21,7 +21,7 @@ from claimspark.functions.values import days_between, format_date, parse_date
 from claimspark.operators.aggregates import diagnosis_profile, max_numeric_suffix, procedure_profile
 from claimspark.operators.duplicates import duplicate_evidence_table
 from claimspark.operators.joins import HOT_ROWS, hot_keys, keep_first, lookup_join
-from claimspark.operators.ordering import exact_quantiles, global_rank
+from claimspark.operators.ordering import exact_quantiles, global_rank, running_totals
 from claimspark.operators.rules import (
     HIGH_COST_QUANTILE,
     NON_COVERED_QUANTILE,
@@ -37,7 +37,6 @@ from claimspark.session import materialize
 from claimspark.sources.tables import ClaimTables
 
 TARGET_RATIO = 0.30
-MAX_ROUNDS = 100
 
 
 def encounter_profiles(tables: ClaimTables, z_prefix: str = "Z") -> DataFrame:
@@ -149,6 +148,14 @@ class Selection:
         self.flags, self.rules = flags, list(rules)
         self._picks: list[tuple[int, Column, bool]] = []
         self._counts: list[int] | None = None
+        self._marks: DataFrame | None = None
+
+    def add_rows(self, picks: DataFrame) -> None:
+        """Give rules the claims of a table of claim_id and rule."""
+        self._marks = materialize(picks.select("claim_id", F.col("rule").alias("_picked")), "picked-rows")
+        self.flags = materialize(self.flags.join(self._marks, "claim_id", "left"), "rule-flags")
+        for i in range(len(self.rules)):
+            self.add(i, F.col("_picked") == i)
 
     def add(self, rule: int, predicate: Column, fallback: bool = False) -> None:
         self._picks.append((rule, predicate, fallback))
@@ -214,6 +221,8 @@ class Selection:
             return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("category_no") + 1)
 
         flagged = pool.withColumns({f"_rule{i}": rule.predicate for i, rule in enumerate(self.rules)})
+        if self._marks is not None:
+            flagged = flagged.join(self._marks, "claim_id", "left")
         evidence = F.when(F.col("_fallback"), row_json(F.lit(True).alias("fallback"), F.col("billed_amount")))
         for i, rule in enumerate(self.rules):
             evidence = evidence.when(F.col("category_no") == i, rule.evidence)
@@ -229,7 +238,7 @@ class Selection:
                     "evidence": evidence,
                 }
             )
-            .drop(*[f"_rule{i}" for i in range(len(self.rules))], "_fallback")
+            .drop(*[f"_rule{i}" for i in range(len(self.rules))], "_fallback", "_picked")
         )
 
 
@@ -256,45 +265,41 @@ def shortage_pass(selection: Selection, quota: int, need: int) -> None:
             selection.take(i, quota - selection.counts()[i])
 
 
-def round_robin_pass(selection: Selection, need: int, rounds: int = MAX_ROUNDS) -> None:
-    """One more claim per rule and round, at most `rounds` rounds.
+def round_robin_turns(candidates: DataFrame) -> DataFrame:
+    """Who gets a claim that several rules want, when each rule takes its next free candidate per round.
 
-    A round takes at most one claim per rule, so the first rounds * rules candidates of
-    each rule decide everything; only those ids come to the driver.
+    `candidates` has claim_id, _draw and rule; a rule's queue is in the order of draws. Gives one row per
+    claim: claim_id, rule and turn (the round). A rule reaches a claim one round after the earlier claims of
+    its queue that it gets itself, and a claim goes to the rule that reaches it first; both are
+    repeated, on the cluster, until no claim changes hands. The turns up to the k-th are right after k repeats.
     """
+    placed = global_rank(candidates, [F.col("rule"), F.col("_draw"), F.col("claim_id")], "place")
+    first = placed.groupBy("rule").agg(F.min("place").alias("_first"))  # one row per rule
+    turns = placed.join(F.broadcast(first), "rule").withColumns({"turn": F.col("place") - F.col("_first") + 1, "_had": F.lit(0)}).drop("_first")
+    of_claim = Window.partitionBy("claim_id")  # one row per rule
+    while True:
+        best = F.min(F.struct("turn", "rule")).over(of_claim)
+        owned = materialize(turns.withColumn("own", (best["rule"] == F.col("rule")).cast("int")), "robin-turns")
+        if not owned.where("own != _had").limit(1).count():
+            return owned.where("own = 1").select("claim_id", "rule", "turn")
+        totals = running_totals(owned.select("claim_id", "rule", "place", "own"), [F.col("place")], ["own"])
+        totals = totals.withColumn("_earlier", F.col("cum_own") - F.col("own"))
+        start = totals.groupBy("rule").agg(F.min("_earlier").alias("_start"))  # one row per rule
+        turns = totals.join(F.broadcast(start), "rule").select(
+            "claim_id", "rule", "place", (F.col("_earlier") - F.col("_start") + 1).alias("turn"), F.col("own").alias("_had")
+        )
+
+
+def round_robin_pass(selection: Selection, need: int) -> None:
+    """One more claim per rule and round, until the need is met or no rule has a candidate."""
     remaining = need - sum(selection.counts())
     if remaining <= 0:
         return
-    reach = rounds * len(selection.rules)
-    queues: dict[int, list[str]] = {i: [] for i, rule in enumerate(selection.rules) if not rule.by_filing_days}
-    matching = F.array_compact(F.array(*[F.when(F.col(f"_rule{i}"), F.lit(i)) for i in queues]))
-    in_rule = Window.partitionBy("rule").orderBy("_draw", "claim_id")
-    first = (
-        selection.left_over()
-        .select("claim_id", "_draw", F.explode(matching).alias("rule"))
-        .withColumn("place", F.row_number().over(in_rule))
-        .where(F.col("place") <= reach)  # also applied before the shuffle
-    )
-    for row in sorted(first.collect(), key=lambda r: (r["rule"], r["place"])):
-        queues[row["rule"]].append(row["claim_id"])
-    taken: set[str] = set()
-    picks: dict[int, list[str]] = {i: [] for i in queues}
-    for _ in range(rounds):
-        progress = False
-        for i, queue in queues.items():
-            if remaining <= 0:
-                break
-            claim = next((c for c in queue if c not in taken), None)
-            if claim is not None:
-                taken.add(claim)
-                picks[i].append(claim)
-                remaining -= 1
-                progress = True
-        if not progress or remaining <= 0:
-            break
-    for i, ids in picks.items():
-        if ids:
-            selection.add(i, F.col("claim_id").isin(ids))
+    rules = [i for i, rule in enumerate(selection.rules) if not rule.by_filing_days]
+    matching = F.array_compact(F.array(*[F.when(F.col(f"_rule{i}"), F.lit(i)) for i in rules]))
+    turns = round_robin_turns(selection.left_over().select("claim_id", "_draw", F.explode(matching).alias("rule")))
+    ordered = global_rank(turns, [F.col("turn"), F.col("rule")], "number")
+    selection.add_rows(ordered.where(F.col("number") <= remaining))
 
 
 def fallback_pass(selection: Selection, need: int, code: str = "CO50") -> None:
@@ -401,7 +406,7 @@ def augment(
         denials=denials,
         selected=selected,
         summary=augmentation_summary(tables.claims, selected, ratio),
-        category_counts=selected.groupBy("category").agg(F.count(F.lit(1)).alias("n")),
+        category_counts=category_counts(selected),
         samples=selection_samples(selected),
     )
 
@@ -422,6 +427,11 @@ def augmentation_summary(claims: DataFrame, selected: DataFrame, ratio: float =
     )
 
 
+def category_counts(selected: DataFrame) -> DataFrame:
+    """New denials per category."""
+    return selected.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def selection_samples(selected: DataFrame, n: int = 20) -> DataFrame:
     """The first n selected claims in category order."""
     return (

@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +131,8 @@ def embeddings(texts: DataFrame, cache_path: str, encode: Encode, text: str = "r
     return hashed.join(cache, ["claim_id", "text_hash"]).select("claim_id", "embedding")
 
 
-def hashed_embeddings(texts: DataFrame, text: str = "reasoning", dims: int = EMBED_BATCH) -> DataFrame:
-    """Offline stand-in for an encoder: hashed words weighted by rarity, without Python."""
+def fit_embedder(texts: DataFrame, text: str = "reasoning", dims: int = EMBED_BATCH) -> PipelineModel:
+    """Offline stand-in for an encoder: hashed words weighted by rarity in `texts`, without Python."""
     pipeline = Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_words", pattern="\\W+"),
@@ -140,7 +140,12 @@ def hashed_embeddings(texts: DataFrame, text: str = "reasoning", dims: int = EMB
             IDF(inputCol="_tf", outputCol="_tfidf"),
         ]
     )
-    return pipeline.fit(texts).transform(texts).select("claim_id", vector_to_array("_tfidf", "float32").alias("embedding"))
+    return pipeline.fit(texts)
+
+
+def hashed_embeddings(texts: DataFrame, embedder: PipelineModel) -> DataFrame:
+    """Vectors of texts on the scale of the texts that the embedder was fitted on."""
+    return embedder.transform(texts).select("claim_id", vector_to_array("_tfidf", "float32").alias("embedding"))
 
 
 def with_embedding_columns(claims: DataFrame, vectors: DataFrame, dims: int, prefix: str = "reasoning_emb_") -> DataFrame:
@@ -151,6 +156,13 @@ def with_embedding_columns(claims: DataFrame, vectors: DataFrame, dims: int, pre
     return claims.join(spread, "claim_id", "left")
 
 
+def with_embedding_vector(claims: DataFrame, vectors: DataFrame, dims: int, name: str = "reasoning_emb") -> DataFrame:
+    """Base features and the embedding as one vector column; zeros where a claim has none."""
+    none = F.array_repeat(F.lit(0.0), dims)
+    joined = claims.join(vectors.select("claim_id", F.col("embedding").cast("array<double>").alias("_embedding")), "claim_id", "left")
+    return joined.withColumn(name, array_to_vector(F.coalesce("_embedding", none))).drop("_embedding")
+
+
 def train_with_reasoning(
     train: DataFrame,
     evaluation: DataFrame,
@@ -158,12 +170,10 @@ def train_with_reasoning(
     eval_vectors: DataFrame,
     dims: int,
     config: TreeConfig = CATEGORICAL,
-    trees: int | None = None,
 ) -> TrainingResult:
     """The single-setting training on base features plus embeddings."""
     return train_single(
-        with_embedding_columns(train, train_vectors, dims),
-        with_embedding_columns(evaluation, eval_vectors, dims),
+        with_embedding_vector(train, train_vectors, dims),
+        with_embedding_vector(evaluation, eval_vectors, dims),
         config,
-        trees,
     )

@@ -26,22 +26,26 @@ class ClaimTables:
     providers: DataFrame
 
 
-def read_csv_table(spark: SparkSession, path: str, table: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession, path: str, table: str, columns: tuple[str, ...] | None = None, multi_line: bool = False
+) -> DataFrame:
     """A CSV file (or folder of files) as text columns, in the column order of its header.
 
-    `_order` gives the place of each row in its file, for keep-first rules.
+    A cell that goes over several lines needs `multi_line`, which reads each file in one task;
+    without it such a file is an error, never two rows. `_order` gives the place of each row in its file, for keep-first rules.
     """
     columns = columns or SOURCE_COLUMNS[table]
     lines = (
         spark.read.option("header", True)
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
+        .option("mode", "FAILFAST")
         .option("escape", '"')
         .option("enforceSchema", False)
         .schema(text_schema(columns))
         .csv(path)
     )
     ordered = lines.select(
-        "*",
+        *[F.col(f"`{c}`") for c in columns if c != "_order"],
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -69,12 +73,12 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def read_claim_tables(spark: SparkSession, folder: str) -> ClaimTables:
+def read_claim_tables(spark: SparkSession, folder: str, multi_line: bool = False) -> ClaimTables:
     """All nine tables from `<folder>/<table>.csv`."""
 
     def table(name: str) -> DataFrame:
         path = f"{folder}/{name}.csv"
-        return typed(read_csv_table(spark, path, name, read_header(spark, path)))
+        return typed(read_csv_table(spark, path, name, read_header(spark, path), multi_line))
 
     return ClaimTables(
         claims=table("claims_and_billing"),
