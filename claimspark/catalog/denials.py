@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimspark.catalog.registry import query
-from claimspark.catalog.relational import augmented_claims, enriched, knowledge_base, tables_raw
+from claimspark.catalog.relational import augmented_cleaned, enriched, knowledge_base, tables_raw
 from claimspark.catalog.scalar import resolved_sql, won_sql
 from claimspark.catalog.sql_parts import CODE_OF, RATIO, rand_int
 from claimspark.functions.values import cost_ratio
@@ -265,11 +265,14 @@ def a10(spark, folder):
     return enriched(spark, folder)
 
 
-@query("a13_augmented_chain", "select total_claims as n, current_denied + need_new as denied from sizes")
+@query("a13_augmented_chain", "select total_claims as n, current_denied + need_new as denied, (select count(*) from enriched) as enriched_rows from sizes")
 def a13(spark, folder):
-    """The augmented claims, cleaned and enriched: every claim once, denied as often as the target says."""
-    rows = augmented_claims(spark, folder)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label_denied").cast("bigint").alias("denied"))
+    """Augmented claims, cleaned: every claim once, denied as often as the target says; enriched: those with all keys."""
+    tables, cleaned = augmented_cleaned(spark, folder)
+    cleaned = materialize(cleaned, "augmented-cleaned")
+    counts = cleaned.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("claim_status") == "Denied").alias("denied"))
+    rows = C.enrich(cleaned, tables).agg(F.count(F.lit(1)).alias("enriched_rows"))
+    return counts.crossJoin(rows)  # one row each
 
 
 @query("a10_train_eval_split", "select claim_id, patient_id, case when in_eval then 'eval' else 'train' end as split from enriched join split_groups using (patient_id)")

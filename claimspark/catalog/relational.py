@@ -383,13 +383,19 @@ def enriched(spark, folder, balanced=False):
     return C.enrich(C.clean_claims(tables.claims, tables.denials, balanced)[0], tables)
 
 
-def augmented_claims(spark, folder):
-    """Augmentation, cleaning and enrichment in a row."""
+def augmented_cleaned(spark, folder):
+    """The tables and their claims after augmentation and cleaning."""
     from claimspark.plans import augment as A
 
     tables = roles.load(spark, folder)
     result = A.augment(tables, words=roles.KEYWORDS, departments=roles.DEPARTMENTS)
-    return C.enrich(C.clean_variant(tables, (result.claims, result.denials), "augmented"), tables)
+    return tables, C.clean_variant(tables, (result.claims, result.denials), "augmented")
+
+
+def augmented_claims(spark, folder):
+    """Augmentation, cleaning and enrichment in a row."""
+    tables, cleaned = augmented_cleaned(spark, folder)
+    return C.enrich(cleaned, tables)
 
 
 # ---- R -------------------------------------------------------------------------------
