@@ -21,6 +21,8 @@ def shingles(text):
 
 def probability_jaccard(a, b):
     every = set(a) | set(b)
+    if max(a.values()) == max(b.values()) == 1:
+        return len(set(a) & set(b)) / len(every)
     return sum(1 / sum(max(a[d] / a[i], b[d] / b[i]) for d in every) for i in set(a) & set(b))
 
 
