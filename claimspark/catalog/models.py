@@ -254,7 +254,7 @@ def m01_encode(spark, folder):
     train, _ = model_input(spark, folder)
     text, numbers = M.feature_columns(train)
     ready = M.filled(train, M.learn_fills(train, text, numbers), text, numbers)
-    fitted = Pipeline(stages=M.encoder_stages(text, numbers, [], "one_hot")).fit(ready)
+    fitted = Pipeline(stages=M.encoder_stages(text, numbers, {}, "one_hot")).fit(ready)
     dense = vector_to_array("features")
     hashed = F.slice(dense, len(numbers) + 1, M.HASH_WIDTH)
     used = F.size(F.filter(hashed, lambda v: v != 0))

@@ -82,3 +82,13 @@ def test_embeddings_have_the_scale_of_the_training_texts(spark):
     embedder = E.fit_embedder(train, dims=8)
     vector = lambda df: {r.claim_id: r.embedding for r in E.hashed_embeddings(df, embedder).collect()}
     assert vector(train)["1"] == vector(other)["1"]
+
+
+def test_a_vector_column_is_a_feature(spark):
+    rows = [(f"c{i}", f"p{i}", f"v{i % 5}", float(i % 7), int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "claim_id string, patient_id string, code string, amount double, label_denied int")
+    vectors = df.where("amount > 0").select("claim_id", F.array(F.col("amount"), F.lit(1.0)).alias("embedding"))
+    joined = E.with_embedding_vector(df, vectors, 2)
+    for encoding, size in (("target", 4), ("one_hot", M.HASH_WIDTH + 3)):
+        model = M.fit_model(joined, M.TreeConfig(2, 3, 0.3, encoding=encoding))
+        assert model.pipeline.stages[-1].numFeatures == size and model.score(joined).count() == 120
