@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize, shared_dir
 
-__all__ = ["WORD", "bounded_batches", "chunks", "in_training", "materialize", "shared_dir", "table", "text_of", "union_all"]
+__all__ = ["WORD", "bounded_batches", "chunks", "in_training", "materialize", "shared_dir", "table", "text_of"]
 
 #: A word of the contracts: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,10 +55,3 @@ def chunks(texts: list[str], budget: int = 1_000_000) -> Iterator[tuple[int, int
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
