@@ -55,8 +55,8 @@ with p as (
   select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as first from p
 )
 select page_id, payload_bytes,
-  list_aggregate(list_transform(range(32), i ->
-    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), 'string_agg', '') as payload_digest,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), '') as payload_digest,
   case when page_id > first then 'revisit' else 'response' end as record_type,
   case when page_id > first then first end as refers_to
 from h
