@@ -1,5 +1,6 @@
 """Brute-force comparisons on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import base64
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -161,6 +162,22 @@ def test_compression_bands_catch_repetition_and_noise():
     assert isinstance(fails(distinct), bool)
 
 
+def test_compression_bands_catch_base64_and_keys():
+    compressor, rng = zstandard.ZstdCompressor(level=3), np.random.default_rng(3)
+    judged = lambda t: dict(zip([p.split()[0] for p in compression.RESULT.split(", ")], compression.judge(t, compressor, compression.BANDS, compression.CHUNK_BYTES, compression.BAD_CHUNK_SHARE)))
+    for size in (256, 400, 600, 1200, 2048, 3200, 9000, 16_500, 70_000):
+        block = base64.encodebytes(rng.bytes(size)).decode()[:size]
+        keys = " ".join(bytes(rng.integers(33, 127, 20, dtype=np.uint8)).decode() for _ in range(size // 20))[:size]
+        assert judged(block)["band_failed"] and judged(keys)["band_failed"], size
+    assert judged(block)["high_chunks"] == judged(block)["n_chunks"]
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n, p=1 / np.arange(1, 401) / (1 / np.arange(1, 401)).sum()))
+    for n in (60, 120, 300, 700, 3000, 15_000):
+        assert not judged(prose(n))["band_failed"], n
+    mixed = judged(prose(900)[:4096] + base64.encodebytes(rng.bytes(5000)).decode()[:6144])
+    assert mixed["high_chunks"] == 3 and mixed["n_chunks"] == 5 and mixed["band_failed"]
+
+
 BPE_TEXTS = TEXTS + [
     "Hello  World's café 12345 <|endoftext|> x<|startoftext|>y İSTANBUL ΑΣ ퟿ é",
     "don't DON'T I'LL ½²³Ⅷ \x85 \x1c\x1d ﬁ ß ẞ 𝕏 ‿ ÅÅ",
