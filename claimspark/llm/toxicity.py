@@ -52,7 +52,7 @@ def features(text: str) -> Counter:
 class Chain:
     """Models in order: per category a weight per feature, per earlier category, and a constant.
 
-    A text without any of the features in `marks` is not toxic, whatever other words it lacks.
+    `marks` are the features that mark toxic text; they name the narrower categories in training and don't limit a score.
     """
 
     categories: tuple[str, ...]
@@ -75,7 +75,7 @@ class Chain:
         out = np.zeros((len(x), 0))
         for w in self.weights:
             out = np.column_stack([out, _sigmoid(_inputs(x, out) @ w)])
-        return out * (x[:, self.marks] > 0).any(1)[:, None]
+        return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -191,7 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = np.array([r["label"] for r in found]) == 1
     hits = np.array([r["marks"] for r in found])
     wanted = np.column_stack([toxic & (hits >= SEVERE), toxic & (hits >= REPEATED), toxic])
-    return fit_chain(x, wanted, np.arange(len(found)) % FOLDS, CATEGORIES, index, at)
+    # As many blank rows as toxic ones, none of them toxic: the constant of a model comes to mean a text that holds nothing known.
+    blank = int(toxic.sum())
+    x = np.concatenate([x, np.zeros((blank, x.shape[1]), np.float32)])
+    wanted = np.concatenate([wanted, np.zeros((blank, wanted.shape[1]), bool)])
+    return fit_chain(x, wanted, np.arange(len(x)) % FOLDS, CATEGORIES, index, at)
 
 
 def _marks(text: str, marks: frozenset[str]) -> int:
@@ -218,7 +222,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per input row: id_col, held_out, p_severe, p_repeated, score (of toxic), predicted, is_toxic.
 
     Labels are learnt only from rows whose crc32 of the identifier as text doesn't leave 1 by 3. Null
-    and empty texts, and texts without a mark of toxic text, score 0. Repeated rows are scored each; other columns are ignored.
+    and empty texts score what the models give a text without known words. Repeated rows are scored each; other columns are ignored.
     """
     chain = train(docs, labels.filter(in_training(id_col)), id_col, text_col, label_col)
     narrow = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -95,6 +95,27 @@ def test_toxicity_chain(spark):
     assert by_id[2002].is_toxic and not by_id[2000].is_toxic and by_id[2000].score == by_id[2001].score
 
 
+def test_toxic_words_below_the_mark_lift_count(spark):
+    """Words ten times as frequent in toxic rows, so that no feature is a mark, still flag a text; junk and blanks stay low."""
+    rng = np.random.default_rng(5)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    bad = [f"{a}{b}zz" for a in "klmn" for b in "aeiou"]
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 4 == 0
+        shown = [b for b in bad if rng.random() < (0.5 if toxic else 0.05)]
+        docs.append((i, " ".join([*rng.choice(words, 40), *shown])))
+        labels.append((i, int(toxic)))
+    docs += [(2000, None), (2001, "qq ww ee rr")]
+    label_rows = spark.createDataFrame(labels, "doc_id long, toxic int")
+    frame, truth = spark.createDataFrame(docs, "doc_id long, text string"), dict(labels)
+    assert not len(toxicity.train(frame, label_rows).marks)
+    got = toxicity.score_documents(frame, label_rows).collect()
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert not any(r.is_toxic for r in got if r.doc_id >= 2000)
+
+
 def test_later_models_use_earlier_probabilities():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (300, 5)).astype(np.float32)
