@@ -8,18 +8,19 @@ latest slot. Two signatures agree in a slot with the probability Jaccard similar
 `BANDS` bands of `ROWS` slots propose pairs: one of similarity 0.8 is missed with a chance of
 (1 - 0.8^4)^20 = 3e-5. Pairs are then verified on the full weighted sets.
 
-Groups never become all pairs. Texts with equal weighted sets are one node. In a bucket every
+Large groups rarely become all pairs. Texts with equal weighted sets are one node. In a bucket every
 node is paired with one hub, first with the smallest of all its buckets alone, which connects most
-large groups; later pairs only count if their nodes are in two components. Buckets of three or more nodes
-in several components are split by `FAN` keys of two further bands each, and each part has a hub of its own.
-So pairs grow with the nodes. A pair of similarity 0.8 shares eight bands on average and meets
-again in a part of each with a chance of one in six per key, eight times on average in all; it is
-compared unless every one of these parts has another hub.
+large groups; later pairs only count if their nodes are in two components. What is left are buckets whose
+nodes beside the hub lie in several components: there every pair of two components is compared, in the first band
+that the pair shares, by tasks of two blocks of nodes each. So every pair that shares a band and isn't in
+one component by then is compared, however many third texts share the bucket; texts that share a long
+passage without being near cost the square of their number, of a few bytes a comparison.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ THRESHOLD = 0.8
 ROWS = 4
 BANDS = 20
 SLOTS = ROWS * BANDS
-#: Keys of two further bands each that split a bucket with several components.
-FAN = 6
+#: Shingles in a block of nodes; a task holds two blocks.
+BLOCK = 500_000
 #: Equal slots that a pair of similarity 0.8 reaches but for a chance of 3e-7 (five standard deviations).
 LEAST_SLOTS = 46
 _WORD = re.compile(WORD)
@@ -230,31 +231,115 @@ class _Verifier:
         close = materialize(close.select("a", "b"), "close-pairs")
         if not close.limit(1).count():
             return None
-        asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = self.sets(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+        both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+        return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
+
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes asked for."""
         wanted = materialize(self.nodes.join(asked, "node").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
         # Texts that the filter holds back are certain not to be asked for.
         some = possible_hits(self.texts, build_filter(wanted, "key"), "key").filter("possible")
         # Not deterministic in name, so that no test of its result moves below the filter and runs it on every text.
         made = some.select(pandas_udf(_sets, _SETS).asNondeterministic()("text").alias("s")).select("s.*")
         sets = made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        sets = materialize(sets, "shingle-sets")
-        both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-        return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
+        return materialize(sets, "shingle-sets")
+
+    def leftover_links(self, buckets: DataFrame, roots: DataFrame) -> DataFrame | None:
+        """Links among the nodes beside the hub of buckets that still hold several components; None if there are no such buckets."""
+        rows = _with_roots(buckets.filter("node != hub and size > 2"), roots).select("bucket", "band", "node", "root")
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+        rows = materialize(rows.join(mixed, "bucket").join(self.nodes.select("node", "n"), "node"), "mixed-buckets")
+        if not rows.limit(1).count():
+            return None
+        wide = self.nodes.select("node", "slots", "bands").join(self.sets(rows.select("node").distinct()), "node")
+        tasks = _tasks(rows).join(wide, "node").repartition("task").sortWithinPartitions("task", "side")
+        return materialize(tasks.mapInPandas(_task_links(self.threshold), "a long, b long").distinct(), "links")
 
 
-def _split(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets of three or more nodes in several components, dealt to smaller ones: by `FAN` keys of two further bands each.
+def _tasks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (task, side, band, node, root): the nodes of every two blocks of a bucket that may hold two components.
 
-    Every part has a hub of its own, drawn by a hash, so that a pair that meets in several parts meets other hubs.
+    A component of more than `block` shingles has blocks of its own, which needn't meet each other; the rest share blocks.
     """
-    rows = rooted.filter("size > 2")
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    joined = rows.join(mixed.select("bucket"), "bucket").select("bucket", "node", "band").join(nodes.select("node", "bands"), "node")
-    at = lambda gap: F.element_at("bands", (F.pmod(F.col("band") + gap, F.lit(BANDS)) + 1).cast("int"))
-    keys = [F.xxhash64("bucket", F.lit(i), at(2 * i + 1), at(2 * i + 2)) for i in range(FAN)]
-    dealt = joined.select("node", F.explode(F.array(*keys)).alias("bucket"))
-    return _with_hub(dealt, F.min_by("node", F.xxhash64("bucket", "node")))
+    parts = rows.groupBy("bucket", "root").agg(F.sum("n").alias("weight"))
+    parts = parts.withColumn("own", F.when(F.col("weight") > block, F.col("root")).otherwise(F.lit(-1).cast("long")))
+    sizes = parts.groupBy("bucket", "own").agg(F.ceil(F.sum("weight") / block).cast("int").alias("parts"))
+    each = sizes.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = each.groupBy("bucket").agg(F.collect_list(F.struct("own", "part")).alias("others"))
+    placed = rows.join(parts.select("bucket", "root", "own"), ["bucket", "root"]).join(sizes, ["bucket", "own"]).join(others, "bucket")
+    placed = placed.withColumn("mine", F.struct("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    apart = F.filter("others", lambda o: (o["own"] != F.col("own")) | (F.col("own") == -1))
+    met = placed.select("bucket", "band", "node", "root", "mine", F.explode(apart).alias("other"))
+    task = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    return met.select(task.alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "band", "node", "root")
+
+
+def _compared(band: int, side: np.ndarray, node: np.ndarray, root: np.ndarray, slots: np.ndarray, bands: np.ndarray, packed: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links of one task, enough to connect its components: pairs of both sides, or of all nodes if there is one side."""
+    n = len(node)
+    beyond = int(np.searchsorted(side, 1))
+    one_side = beyond in (0, n)
+    label = np.unique(root, return_inverse=True)[1]
+    if label.max() == 0:
+        return []
+    marks = np.frombuffer(b"".join(slots), np.uint8).reshape(-1, SLOTS)
+    earlier = np.stack(bands)[:, :band]
+    sets, places, member, links = [], [], None, []
+    for i in range(n if one_side else beyond):
+        start = i + 1 if one_side else beyond
+        at = start + np.flatnonzero(label[start:] != label[i])
+        at = at[(marks[at] == marks[i]).sum(1) >= LEAST_SLOTS]
+        at = at[~(earlier[at] == earlier[i]).any(1)]
+        if not len(at):
+            continue
+        if member is None:
+            sets = [_unpack(raw) for raw in packed]
+            values, place = np.unique(np.concatenate([tags for tags, _ in sets]), return_inverse=True)
+            places = np.split(place, np.cumsum([len(tags) for tags, _ in sets])[:-1])
+            plain = np.array([counts.max() == 1 for _, counts in sets])
+            lengths = np.array([len(tags) for tags, _ in sets])
+            member = np.zeros(len(values), bool)
+        near = np.zeros(len(at), bool)
+        easy = plain[at] & plain[i]
+        if easy.any():
+            some = at[easy]
+            member[places[i]] = True
+            common = np.add.reduceat(member[np.concatenate([places[j] for j in some])], np.cumsum(lengths[some]) - lengths[some], dtype=np.int64)
+            member[places[i]] = False
+            near[easy] = common / (lengths[i] + lengths[some] - common) >= threshold
+        for k in np.flatnonzero(~easy):
+            near[k] = similarity(*sets[i], *sets[at[k]]) >= threshold
+        for j in at[near]:
+            if label[j] != label[i]:
+                links.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _task_links(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    names = ["side", "node", "root", "slots", "bands", "shingles"]
+
+    def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now, band, links = [], None, 0, []
+
+        def finished() -> list[tuple[int, int]]:
+            return _compared(band, *[np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*held)], threshold) if held else []
+
+        for frame in frames:
+            tasks, columns = frame["task"].to_numpy(), [frame[c].to_numpy() for c in names]
+            cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1), len(tasks)] if len(tasks) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if tasks[a] != now:
+                    links += finished()
+                    held, now, band = [], tasks[a], int(frame["band"].iat[a])
+                held.append([c[a:b] for c in columns])
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            links = []
+        yield pd.DataFrame(finished(), columns=["a", "b"], dtype="int64")
+
+    return linked
 
 
 def _grown(links: DataFrame, more: DataFrame | None) -> DataFrame:
@@ -280,7 +365,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     worded = sketch.filter("n > 0")
     owners = materialize(worded.groupBy("set_key").agg(F.min("row").alias("node")), "nodes")
     nodes = worded.withColumnRenamed("row", "node").join(owners.select("node"), "node", "left_semi")
-    nodes = materialize(nodes.select("node", "id_text", "set_key", "slots", "bands"), "node-sketches")
+    nodes = materialize(nodes.select("node", "id_text", "n", "set_key", "slots", "bands"), "node-sketches")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "mark")).select("node", "band", F.xxhash64("band", "mark").alias("bucket"))
     buckets = materialize(_with_hub(rows, F.min("node")), "buckets")
     verifier = _Verifier(texts, nodes, threshold)
@@ -288,13 +373,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     closest = buckets.filter("node != hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = _grown(spark.createDataFrame([], "a long, b long"), verifier.links(closest))
     roots = materialize(components(links), "roots")
-    # Then whatever may join two components: other hubs, and the nodes of mixed buckets among each other.
-    rooted = materialize(_with_roots(buckets, roots), "rooted-buckets")
-    parts = _with_roots(_split(rooted, nodes), roots)
-    more = verifier.links(_pairs(rooted.select("node", "hub", "root", "hub_root").unionByName(parts.select("node", "hub", "root", "hub_root"))))
-    if more is not None:
-        links = _grown(links, more)
-        roots = materialize(components(links), "roots")
+    # Then whatever may join two components: other hubs, and last the nodes of mixed buckets among each other.
+    rooted = _with_roots(buckets, roots)
+    for found in (lambda: verifier.links(_pairs(rooted)), lambda: verifier.leftover_links(buckets, roots)):
+        more = found()
+        if more is not None:
+            links = _grown(links, more)
+            roots = materialize(components(links), "roots")
     known = owners.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     placed = sketch.join(known, "set_key", "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")).otherwise(-1 - F.col("row")))
     placed = materialize(placed.select("id", "row", "root"), "placed")

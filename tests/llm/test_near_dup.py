@@ -129,3 +129,46 @@ def test_components(spark):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in parent}
+
+
+def test_near_copies_among_templated_texts(spark):
+    """Thousands of texts share a passage (similarity 0.74); pairs of 0.83 among them are all found, and nothing else."""
+    rnd, fresh = random.Random(9), itertools.count()
+    template = [f"t{i}" for i in range(259)]
+
+    def own(k):
+        return [f"u{next(fresh)}" for _ in range(k)]
+
+    texts = [template + own(45) for _ in range(2000)]
+    texts += [template + texts[i][259:277] + own(27) for i in range(60)]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    sets = [set(zip(*[words[k:] for k in range(5)])) for words in texts]
+    shared = set(zip(*[template[k:] for k in range(5)]))
+    rest, holders = [s - shared for s in sets], {}
+    for i, s in enumerate(rest):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    # Every text holds the whole template, so only texts that share something else can pass 0.8.
+    assert len(shared) / (2 * min(map(len, sets)) - len(shared)) < 0.8
+    pairs = {p for h in holders.values() for p in itertools.combinations(h, 2)}
+    wanted = {frozenset(p) for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    assert len(wanted) == 60
+    df = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string")
+    classes = {}
+    for r in near_dup.near_groups(df).collect():
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {frozenset(c) for c in classes.values() if len(c) > 1} == wanted
+
+
+def test_blocks_of_a_bucket_meet(spark):
+    """Every two nodes of two components meet in exactly one task, also where a component is larger than a block."""
+    rows = [(1, 0, i, 0 if i < 40 else i, 10) for i in range(60)]
+    tasks = near_dup._tasks(spark.createDataFrame(rows, "bucket long, band int, node long, root long, n int"), 50).collect()
+    held, met = {}, Counter()
+    for r in tasks:
+        held.setdefault(r.task, []).append(r)
+    for group in held.values():
+        one_side = len({r.side for r in group}) == 1
+        met.update(frozenset((a.node, b.node)) for a, b in itertools.combinations(group, 2) if a.root != b.root and (one_side or a.side != b.side))
+    assert set(met) == {frozenset((a, b)) for a, b in itertools.combinations(range(60), 2) if b >= 40} and max(met.values()) == 1
