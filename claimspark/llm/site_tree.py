@@ -53,6 +53,8 @@ NOISE_NAMES = frozenset(
     "contentinfo complementary hidden".split()
 )
 ARTICLE_NAMES = frozenset("article main".split())
+#: Elements that a name alone doesn't drop, but for an article within an article, such as a comment.
+WHOLE = frozenset("html body main article".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -70,7 +72,7 @@ _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-NOISE_KIND, ARTICLE_KIND, PLAIN_KIND = 0, 1, 2
+NOISE_KIND, ARTICLE_KIND, PLAIN_KIND, NAMED_KIND = 0, 1, 2, 3
 
 
 @lru_cache(100_000)
@@ -83,8 +85,10 @@ def describe(tag: str, attributes: str) -> tuple[str, int]:
     words = {w.lower() for w in _NAME.findall(" ".join(names) + " " + found.get("role", ""))}
     label = ".".join([tag, *names])
     style = found.get("style", "").replace(" ", "").lower()
-    if tag in NOISE or words & NOISE_NAMES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
+    if tag in NOISE or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         return label, NOISE_KIND
+    if words & NOISE_NAMES:
+        return label, NAMED_KIND if tag in WHOLE else NOISE_KIND
     if tag in ARTICLE or words & ARTICLE_NAMES:
         return label, ARTICLE_KIND
     return label, PLAIN_KIND
@@ -186,6 +190,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
                 close(1)
         parent = stack[-1]
         label, kind = describe(tag.removeprefix("noise-"), attributes)
+        if kind == NAMED_KIND:
+            kind = NOISE_KIND if parent.article else ARTICLE_KIND if tag in ARTICLE else PLAIN_KIND
         noise = parent.noise or kind == NOISE_KIND or (tag == "header" and not parent.article)
         path = parent.path if parent.depth >= DEPTH else f"{parent.path}/{label}"
         if not parent.noise and (not parent.children or parent.children[-1] != label):

@@ -159,6 +159,13 @@ def test_unimportant_branches_go(spark):
     assert tree["/body/div.a/div"].importance == 0 and tree["/body/div.body/div"].importance > 0.9
 
 
+def test_names_alone_do_not_drop_the_page():
+    for outer in ("body class='no-sidebar'", "body class='single menu-open'", "main id='skip-target'", "article class='post search-result'", "article id='post-comment-12'"):
+        assert site_tree.main_text(f"<{outer}><p>Text of the page</p><nav>Menu</nav><div class=sidebar>Box</div>") == "Text of the page"
+    assert site_tree.main_text("<article><p>Text</p><article class=comment><p>Nice!</p></article></article>") == "Text"
+    assert site_tree.main_text("<body hidden><p>Text") == ""
+
+
 def test_parser_never_fails():
     rng = np.random.default_rng(2)
     pieces = ["<p>", "</p>", "<div class='ad'>", "</div>", "text ", "<", ">", "<!--", "-->", "&amp", '<a href="x>', "<script>", "</script>", "<li>", "<table><tr><td>", "</", "<b", "\x00", "<br/>"]
