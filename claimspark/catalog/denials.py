@@ -164,40 +164,43 @@ def g18(spark, folder):
     return A.category_counts(priority_selection(spark, folder)[1])
 
 
-@query("a03_shortage_pass", f"select claim_id, {CODE_OF} as category from picked")
-def a03(spark, folder):
-    """A rule that is short has no candidate left, so this pass must add nothing here."""
+def _selection(spark, folder):
     tables = roles.load(spark, folder)
     pool, rules = pool_and_rules(spark, folder)
-    selection = A.Selection(A.rule_flags(pool, rules), rules)
-    sizes = A._sizes(tables.claims, 9, A.TARGET_RATIO)
-    A.priority_pass(selection, sizes.quota)
+    return pool, A.Selection(A.rule_flags(pool, rules), rules), A._sizes(tables.claims, 9, A.TARGET_RATIO)
+
+
+@query("a03_shortage_pass", f"select claim_id, {CODE_OF} as category from shortage_picked")
+def a03(spark, folder):
+    """Half the quotas first, so that this pass has rules to fill up."""
+    pool, selection, sizes = _selection(spark, folder)
+    A.priority_pass(selection, sizes.quota // 2)
     A.shortage_pass(selection, sizes.quota, sizes.need)
     return selection.rows(pool).select("claim_id", "category")
 
 
-@query("a04_round_robin_pass")
+@query("a04_round_robin_pass", f"select claim_id, {CODE_OF} as category from (select * from picked union all select * from dealt)")
 def a04(spark, folder):
-    """All passes up to the round robin; compared with brute force in the tests."""
-    tables = roles.load(spark, folder)
-    pool, rules = pool_and_rules(spark, folder)
-    selection = A.Selection(A.rule_flags(pool, rules), rules)
-    sizes = A._sizes(tables.claims, 9, A.TARGET_RATIO)
+    """All passes up to the round robin."""
+    pool, selection, sizes = _selection(spark, folder)
     A.priority_pass(selection, sizes.quota)
     A.round_robin_pass(selection, sizes.need)
     return selection.rows(pool).select("claim_id", "category")
 
 
-@query("a05_fallback_pass", "select total_claims, new_denials_added from (select total_claims, need_new as new_denials_added from sizes)")
+@query(
+    "a05_fallback_pass",
+    f"""select claim_id, {CODE_OF} as category, fallback, case when fallback then billed_amount end as billed_amount
+    from half_selected join pool using (claim_id)""",
+)
 def a05(spark, folder):
-    """With the fallback the selection meets the need exactly, for it is larger than the quotas allow."""
-    tables = roles.load(spark, folder)
-    pool, rules = pool_and_rules(spark, folder)
-    sizes = A._sizes(tables.claims, 9, A.TARGET_RATIO)
-    selection = A.Selection(A.rule_flags(pool, rules), rules)
+    """Half the quotas, and the rest of the need from claims no rule took."""
+    pool, selection, sizes = _selection(spark, folder)
     A.priority_pass(selection, sizes.quota // 2)
     A.fallback_pass(selection, sizes.need)
-    return A.augmentation_summary(tables.claims, selection.rows(pool)).select("total_claims", "new_denials_added")
+    fallback = F.coalesce(F.get_json_object("evidence", "$.fallback") == "true", F.lit(False))
+    amount = F.when(fallback, F.get_json_object("evidence", "$.billed_amount").cast("double"))
+    return selection.rows(pool).select("claim_id", "category", fallback.alias("fallback"), amount.alias("billed_amount"))
 
 
 @query(
@@ -265,14 +268,18 @@ def a10(spark, folder):
     return enriched(spark, folder)
 
 
-@query("a13_augmented_chain", "select total_claims as n, current_denied + need_new as denied, (select count(*) from enriched) as enriched_rows from sizes")
+@query(
+    "a13_augmented_chain",
+    """select claim_id, case when s then 'Denied' else trim(claim_status) end as claim_status,
+     case when encounter_id is not null and patient_id is not null then (s or trim(claim_status) = 'Denied')::int end as label_denied
+    from (select *, claim_id in (select claim_id from selected) as s from claims) where s or trim(claim_status) in ('Paid', 'Denied')""",
+)
 def a13(spark, folder):
-    """Augmented claims, cleaned: every claim once, denied as often as the target says; enriched: those with all keys."""
+    """Every augmented and cleaned claim, with its label if enrichment keeps it."""
     tables, cleaned = augmented_cleaned(spark, folder)
     cleaned = materialize(cleaned, "augmented-cleaned")
-    counts = cleaned.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("claim_status") == "Denied").alias("denied"))
-    rows = C.enrich(cleaned, tables).agg(F.count(F.lit(1)).alias("enriched_rows"))
-    return counts.crossJoin(rows)  # one row each
+    labels = C.enrich(cleaned, tables).select("claim_id", "label_denied")
+    return cleaned.select("claim_id", "claim_status").join(labels, "claim_id", "left")
 
 
 @query("a10_train_eval_split", "select claim_id, patient_id, case when in_eval then 'eval' else 'train' end as split from enriched join split_groups using (patient_id)")

@@ -468,7 +468,7 @@ def r08(spark, folder):
     pool = A.candidate_pool(A.claim_features(tables))
     rules = A.pool_rules(pool, roles.KEYWORDS, roles.DEPARTMENTS)
     selection = A.Selection(A.rule_flags(pool, rules), rules)
-    selection.take_longest_delays(5, A._sizes(tables.claims, 9, A.TARGET_RATIO).quota)
+    selection.take_in_order(A._sizes(tables.claims, 9, A.TARGET_RATIO).quota, only=[5])
     return selection.rows(pool).select("claim_id", "days_to_file")
 
 

@@ -136,29 +136,62 @@ PARTS |= {
 }
 
 
-def _pick_steps() -> None:
-    """pick1 .. pick9: one part per rule, each leaving out the earlier picks."""
+def _pick_steps(name: str, quota: str) -> str:
+    """<name>1 .. <name>9: one part per rule, each leaving out the earlier picks; gives their union."""
     for i in range(1, 10):
-        earlier = " union all ".join(f"select claim_id from pick{j}" for j in range(1, i))
+        earlier = " union all ".join(f"select claim_id from {name}{j}" for j in range(1, i))
         fresh = f"claim_id not in ({earlier})" if earlier else "true"
         if i == 6:
-            PARTS["pick6"] = f"""
+            PARTS[f"{name}6"] = f"""
  select claim_id, 6 as category_no from (select claim_id from flags where c06
-  order by days_to_file desc, draw, claim_id limit (select category_quota from sizes)) where {fresh}"""
+  order by days_to_file desc, draw, claim_id limit ({quota})) where {fresh}"""
         else:
-            PARTS[f"pick{i}"] = f"""
+            PARTS[f"{name}{i}"] = f"""
  select claim_id, {i} as category_no from flags where c0{i} and {fresh}
- order by draw, claim_id limit (select category_quota from sizes)"""
-    PARTS["picked"] = " union all ".join(f"select * from pick{i}" for i in range(1, 10))
+ order by draw, claim_id limit ({quota})"""
+    return " union all ".join(f"select * from {name}{i}" for i in range(1, 10))
 
 
-_pick_steps()
+def _more_steps() -> str:
+    """more1 .. more9: rules below the quota after the half quotas take more while the need is not met."""
+    for i in (1, 2, 3, 4, 5, 7, 8, 9):
+        taken = " union all ".join(["select * from half_picked", *[f"select * from more{j}" for j in range(1, i) if j != 6]])
+        PARTS[f"more{i}"] = f"""
+ select claim_id, {i} as category_no from flags where c0{i} and claim_id not in (select claim_id from ({taken})) order by draw, claim_id
+ limit (select case when (select count(*) from ({taken})) < need_new
+  then greatest(0, category_quota - (select count(*) from half_picked where category_no = {i})) else 0 end from sizes)"""
+    return " union all ".join(["select * from half_picked", *[f"select * from more{i}" for i in (1, 2, 3, 4, 5, 7, 8, 9)]])
+
+
+PARTS["picked"] = _pick_steps("pick", "select category_quota from sizes")
+PARTS["half_picked"] = _pick_steps("half", "select category_quota // 2 from sizes")
+PARTS["shortage_picked"] = _more_steps()
+PARTS |= {
+    "wishes": f"""
+ select claim_id, rule, row_number() over (partition by rule order by {draw("rule || ':' || claim_id", "robin")}, claim_id) as wish from
+  ({" union all ".join(f"select claim_id, {i - 1} as rule from flags where c0{i}" for i in (1, 2, 3, 4, 5, 7, 8, 9))})
+ where claim_id not in (select claim_id from picked)""",
+    "turns": """
+ select claim_id, rule, row_number() over (partition by rule order by wish) as turn from
+  (select *, row_number() over (partition by claim_id order by wish, rule) as best from wishes) where best = 1""",
+    "dealt": """
+ select claim_id, rule + 1 as category_no from turns order by turn, rule
+ limit (select greatest(0, need_new - (select count(*) from picked)) from sizes)""",
+    "residual": """
+ select claim_id, 3 as category_no from flags where claim_id not in (select claim_id from picked union all select claim_id from dealt)
+ order by draw, claim_id limit (select greatest(0, need_new - (select count(*) from picked) - (select count(*) from dealt)) from sizes)""",
+    "selected": """
+ select *, false as fallback from picked union all select *, false from dealt union all select *, true from residual""",
+    "half_selected": """
+ select *, false as fallback from half_picked union all (select claim_id, 3 as category_no, true from flags
+ where claim_id not in (select claim_id from half_picked)
+ order by draw, claim_id limit (select need_new - (select count(*) from half_picked) from sizes))""",
+}
 
 _CODES = ("CO22", "CO197", "CO50", "CO16", "CO18", "CO29", "CO27", "CO96", "CO97")
 CODE_OF = "case category_no " + " ".join(f"when {i + 1} then '{c}'" for i, c in enumerate(_CODES)) + " end"
 
 PARTS |= {
-    # rounds 1..100 take one claim per rule in turn; at this point all of the shortage is met by ranks
     "encounter_enriched": f"""
  select e.*, coalesce(diag_count, 0) as diag_count, coalesce(diag_distinct, 0) as diag_distinct, coalesce(diag_codes, '') as diag_codes,
   coalesce(proc_count, 0) as proc_count, coalesce(proc_distinct, 0) as proc_distinct, coalesce(proc_codes, '') as proc_codes,

@@ -1,7 +1,7 @@
 """Raise the denial rate with evidence-backed denials.
 
-Selection is a chain of cutoffs. Per rule a few counting jobs find the draw up to which
-its quota reaches; "not taken by an earlier rule" is the order of one CASE expression.
+Selection is a chain of cutoffs. A histogram of rules and draws gives the draw up to which each
+rule's quota reaches; "not taken by an earlier rule" is the order of one CASE expression.
 So the selected set is a projection of the feature table: no anti-joins, no growing plan.
 """
 
@@ -21,7 +21,8 @@ from claimspark.functions.values import days_between, format_date, parse_date
 from claimspark.operators.aggregates import diagnosis_profile, max_numeric_suffix, procedure_profile
 from claimspark.operators.duplicates import duplicate_evidence_table
 from claimspark.operators.joins import HOT_ROWS, hot_keys, keep_first, lookup_join
-from claimspark.operators.ordering import exact_quantiles, global_rank, running_totals
+from claimspark.operators.ordering import exact_quantiles, global_rank
+from claimspark.operators.quotas import Quotas, Take
 from claimspark.operators.rules import (
     HIGH_COST_QUANTILE,
     NON_COVERED_QUANTILE,
@@ -137,10 +138,26 @@ def rule_flags(pool: DataFrame, rules: Sequence[RuleSpec]) -> DataFrame:
     The passes read this table many times, so the text and list columns of the pool are
     evaluated only here.
     """
-    flags = [rule.predicate.alias(f"_rule{i}") for i, rule in enumerate(rules)]
+    flags = [F.coalesce(rule.predicate, F.lit(False)).alias(f"_rule{i}") for i, rule in enumerate(rules)]
     return materialize(pool.select("claim_id", "_draw", "days_to_file", *flags), "rule-flags")
 
 
+@dataclass(frozen=True)
+class _Delays:
+    """The longest filing delays up to a number of rows: all above `day`, and `on_day` rows of that day."""
+
+    day: int | None
+    on_day: int
+
+    @property
+    def above(self) -> Column:
+        return F.lit(True) if self.day is None else F.col("days_to_file") > self.day
+
+    @property
+    def edge(self) -> Column:
+        return F.lit(False) if self.day is None else F.col("days_to_file") == self.day
+
+
 class Selection:
     """Which pool rows go to which rule, as an ordered list of predicates over the flags."""
 
@@ -183,22 +200,12 @@ class Selection:
             self._counts = [found.get(i, 0) for i in range(len(self.rules))]
         return self._counts
 
-    def take(self, rule: int, n: int) -> None:
-        """Give the rule n of its candidates that no rule has yet."""
-        flag = F.col(f"_rule{rule}")
-        cut = find_cut(self.left_over().where(flag), n, "_draw", "claim_id")
-        self.add(rule, flag & cut.takes(F.col("_draw"), F.col("claim_id")))
-
-    def take_longest_delays(self, rule: int, n: int) -> None:
-        """The n longest filing delays of all candidates; rows that another rule has are not replaced.
-
-        Delays of `TIMELY_DAYS` or more come first by being longer, shorter ones only fill up.
-        """
-        flag = F.col(f"_rule{rule}")
-        candidates = self.flags.where(flag)
+    def _longest_delays(self, rule: int, n: int) -> _Delays:
+        """Where the n longest delays end. Delays of `TIMELY_DAYS` or more come first by being longer, shorter ones only fill up."""
         by_days = Window.orderBy(F.col("days_to_file").desc())
         edge = (
-            candidates.groupBy("days_to_file")
+            self.flags.where(F.col(f"_rule{rule}"))
+            .groupBy("days_to_file")
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("upto", F.sum("n").over(by_days))  # one row per number of days
             .where(F.col("upto") >= n)
@@ -206,13 +213,54 @@ class Selection:
             .limit(1)
             .collect()
         )
-        if not edge:
-            self.add(rule, flag)
-            return
-        day, before = edge[0]["days_to_file"], edge[0]["upto"] - edge[0]["n"]
-        cut = find_cut(candidates.where(F.col("days_to_file") == day), n - before, "_draw", "claim_id")
-        on_edge = (F.col("days_to_file") == day) & cut.takes(F.col("_draw"), F.col("claim_id"))
-        self.add(rule, flag & ((F.col("days_to_file") > day) | on_edge))
+        return _Delays(edge[0]["days_to_file"], n - edge[0]["upto"] + edge[0]["n"]) if edge else _Delays(None, 0)
+
+    def take_in_order(self, quota: int, only: Sequence[int] | None = None) -> None:
+        """Each rule in order (or some of them) takes its quota from what the earlier ones left, and the delay rule the longest
+        delays of all its candidates; claims that another rule has are not replaced there."""
+        order = range(len(self.rules)) if only is None else only
+        late = [i for i in order if self.rules[i].by_filing_days]
+        self._delays = {i: self._longest_delays(i, quota) for i in late}
+        bits = [F.col(f"_rule{i}") for i in range(len(self.rules))]
+        for i in late:
+            bits += [bits[i] & self._delays[i].above, bits[i] & self._delays[i].edge]
+        mask = sum((b.cast("int") * F.lit(1 << i) for i, b in enumerate(bits)), F.lit(0))
+        self._quotas = Quotas(self.flags.withColumn("_mask", mask))
+        takes: list[Take] = []
+        for i in order:
+            if i in late:
+                above = len(self.rules) + 2 * late.index(i)
+                takes += [Take(above, None), Take(above + 1, self._delays[i].on_day, of_all=True)]
+            else:
+                takes.append(Take(i, quota))
+        self._takes, self._of_take = takes, [i for i in order for _ in range(2 if i in late else 1)]
+        self._play()
+
+    def take_more(self, wanted: Sequence[tuple[int, int]]) -> None:
+        """Further rows for some rules, in this order, after `take_in_order`."""
+        self._takes = self._takes + [Take(rule, n) for rule, n in wanted]
+        self._of_take = self._of_take + [rule for rule, _ in wanted]
+        self._play()
+
+    def counts_after(self, wanted: Sequence[tuple[int, int]]) -> list[int]:
+        """Rows per rule if `wanted` were taken too."""
+        _, sizes = self._quotas.cuts(self._takes + [Take(rule, n) for rule, n in wanted])
+        found = [0] * len(self.rules)
+        for rule, size in zip(self._of_take + [r for r, _ in wanted], sizes):
+            found[rule] += size
+        return found
+
+    def _play(self) -> None:
+        cuts, _ = self._quotas.cuts(self._takes)
+        self._picks = []
+        at_edge: set[int] = set()
+        for rule, take, cut in zip(self._of_take, self._takes, cuts):
+            flag = F.col(f"_rule{rule}")
+            if rule in self._delays:
+                flag = flag & (self._delays[rule].edge if rule in at_edge else self._delays[rule].above)
+                at_edge.add(rule)
+            self.add(rule, flag & cut.takes(F.col("_draw"), F.col("claim_id")))
+        self._counts = self.counts_after([])
 
     def rows(self, pool: DataFrame) -> DataFrame:
         """Selected pool rows with `category_no`, `category`, `profile`, `reason_text` and `evidence`."""
@@ -244,11 +292,7 @@ class Selection:
 
 def priority_pass(selection: Selection, quota: int) -> None:
     """Each rule in order takes its quota from what the earlier ones left."""
-    for i, rule in enumerate(selection.rules):
-        if rule.by_filing_days:
-            selection.take_longest_delays(i, quota)
-        else:
-            selection.take(i, quota)
+    selection.take_in_order(quota)
 
 
 def shortage_pass(selection: Selection, quota: int, need: int) -> None:
@@ -256,38 +300,51 @@ def shortage_pass(selection: Selection, quota: int, need: int) -> None:
 
     The filing-delay rule is left out: a shorter list of the longest delays holds no new claim.
     """
-    short = [i for i, n in enumerate(selection.counts()) if n < quota and not selection.rules[i].by_filing_days]
-    if not short or sum(selection.counts()) >= need:
-        return
-    available = selection.left_over().agg(*[F.count_if(f"_rule{i}").alias(str(i)) for i in short]).collect()[0]
-    for i in short:
-        if available[str(i)] and sum(selection.counts()) < need:
-            selection.take(i, quota - selection.counts()[i])
+    wanted: list[tuple[int, int]] = []
+    for i, rule in enumerate(selection.rules):
+        counts = selection.counts_after(wanted)
+        if not rule.by_filing_days and counts[i] < quota and sum(counts) < need:
+            wanted.append((i, quota - counts[i]))
+    if wanted:
+        selection.take_more(wanted)
+
+
+def robin_draw(rule: Column) -> Column:
+    """A rule's own order of its free candidates."""
+    return draw(F.concat_ws(":", rule.cast("string"), F.col("claim_id")), "robin")
 
 
 def round_robin_turns(candidates: DataFrame) -> DataFrame:
-    """Who gets a claim that several rules want, when each rule takes its next free candidate per round.
+    """Deals claims that several rules want, one per rule and round, without two rules ever reaching for the same claim.
 
-    `candidates` has claim_id, _draw and rule; a rule's queue is in the order of draws. Gives one row per
-    claim: claim_id, rule and turn (the round). A rule reaches a claim one round after the earlier claims of
-    its queue that it gets itself, and a claim goes to the rule that reaches it first; both are
-    repeated, on the cluster, until no claim changes hands. The turns up to the k-th are right after k repeats.
+    `candidates` has claim_id and rule. Each rule ranks its candidates by a draw of its own; a claim belongs to
+    the rule that ranks it best, at a tie to the first one. Ranked again, a rule's claims are its turns.
+    Gives one row per claim: claim_id, rule and turn. Two ranks over the cluster, however long the queues are.
     """
-    placed = global_rank(candidates, [F.col("rule"), F.col("_draw"), F.col("claim_id")], "place")
-    first = placed.groupBy("rule").agg(F.min("place").alias("_first"))  # one row per rule
-    turns = placed.join(F.broadcast(first), "rule").withColumns({"turn": F.col("place") - F.col("_first") + 1, "_had": F.lit(0)}).drop("_first")
-    of_claim = Window.partitionBy("claim_id")  # one row per rule
-    while True:
-        best = F.min(F.struct("turn", "rule")).over(of_claim)
-        owned = materialize(turns.withColumn("own", (best["rule"] == F.col("rule")).cast("int")), "robin-turns")
-        if not owned.where("own != _had").limit(1).count():
-            return owned.where("own = 1").select("claim_id", "rule", "turn")
-        totals = running_totals(owned.select("claim_id", "rule", "place", "own"), [F.col("place")], ["own"])
-        totals = totals.withColumn("_earlier", F.col("cum_own") - F.col("own"))
-        start = totals.groupBy("rule").agg(F.min("_earlier").alias("_start"))  # one row per rule
-        turns = totals.join(F.broadcast(start), "rule").select(
-            "claim_id", "rule", "place", (F.col("_earlier") - F.col("_start") + 1).alias("turn"), F.col("own").alias("_had")
-        )
+
+    def ranked(rows: DataFrame, order: Column, name: str) -> DataFrame:
+        placed = global_rank(rows, [F.col("rule"), order, F.col("claim_id")], "place")
+        first = placed.groupBy("rule").agg(F.min("place").alias("_first"))  # one row per rule
+        return placed.join(F.broadcast(first), "rule").withColumn(name, F.col("place") - F.col("_first") + 1).drop("place", "_first")
+
+    wishes = ranked(candidates.select("claim_id", "rule", robin_draw(F.col("rule")).alias("_own")), F.col("_own"), "wish")
+    owned = wishes.groupBy("claim_id").agg(F.min(F.struct("wish", "rule")).alias("best"))
+    return ranked(owned.select("claim_id", "best.rule", "best.wish"), F.col("wish"), "turn").drop("wish")
+
+
+def robin_quotas(sizes: Sequence[int], need: int) -> list[int]:
+    """How many turns each rule gets until `need` claims are dealt, given how many it has."""
+    turns = 0
+    step = 1 << max(sizes, default=0).bit_length()
+    while step:  # the most full rounds that don't pass the need
+        if sum(min(n, turns + step) for n in sizes) <= need and turns + step <= max(sizes, default=0):
+            turns += step
+        step //= 2
+    dealt = [min(n, turns) for n in sizes]
+    for i, n in enumerate(sizes):
+        if sum(dealt) < need and n > turns:
+            dealt[i] += 1
+    return dealt
 
 
 def round_robin_pass(selection: Selection, need: int) -> None:
@@ -297,9 +354,13 @@ def round_robin_pass(selection: Selection, need: int) -> None:
         return
     rules = [i for i, rule in enumerate(selection.rules) if not rule.by_filing_days]
     matching = F.array_compact(F.array(*[F.when(F.col(f"_rule{i}"), F.lit(i)) for i in rules]))
-    turns = round_robin_turns(selection.left_over().select("claim_id", "_draw", F.explode(matching).alias("rule")))
-    ordered = global_rank(turns, [F.col("turn"), F.col("rule")], "number")
-    selection.add_rows(ordered.where(F.col("number") <= remaining))
+    turns = round_robin_turns(selection.left_over().select("claim_id", F.explode(matching).alias("rule")))
+    found = {r["rule"]: r["count"] for r in turns.groupBy("rule").count().collect()}  # one row per rule
+    dealt = robin_quotas([found.get(i, 0) for i in rules], remaining)
+    last = F.lit(0)
+    for i, n in zip(rules, dealt):
+        last = F.when(F.col("rule") == i, F.lit(n)).otherwise(last)
+    selection.add_rows(turns.where(F.col("turn") <= last))
 
 
 def fallback_pass(selection: Selection, need: int, code: str = "CO50") -> None:

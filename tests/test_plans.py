@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions.draws import draw
+from claimspark.operators import quotas as Q
 from claimspark.operators.duplicates import duplicate_evidence_table
 from claimspark.operators.rules import RULE_TEXTS, RuleSpec
 from claimspark.plans import augment as A
@@ -39,13 +40,20 @@ def brute_selection(rows, need, rules):
     for rule in range(rules):
         if len(taken) < need and count[rule] < quota:
             take(rule, quota - count[rule])
-    for _ in range(100):
-        progress = 0
-        for rule in range(rules):
-            if len(taken) < need:
-                progress += take(rule, 1)
-        if not progress or len(taken) >= need:
-            break
+    free = [r for r in rows if r[0] not in taken]
+    wishes = []
+    for rule in range(rules):
+        if rule != 5:
+            queue = sorted((r[4][rule], r[0]) for r in free if rule in r[3])
+            wishes += [(claim, place, rule) for place, (_, claim) in enumerate(queue)]
+    best, queues = {}, {}
+    for claim, place, rule in wishes:
+        best[claim] = min(best.get(claim, (place, rule)), (place, rule))
+    for claim, (place, rule) in best.items():
+        queues.setdefault(rule, []).append((place, claim))
+    turns = sorted((turn, rule, claim) for rule, queue in queues.items() for turn, (_, claim) in enumerate(sorted(queue)))
+    for _, rule, claim in turns[: max(0, need - len(taken))]:
+        taken[claim] = rule
     rest = sorted((r for r in rows if r[0] not in taken), key=lambda r: (r[1], r[0]))
     for r in rest[: max(0, need - len(taken))]:
         taken[r[0]] = 2
@@ -63,11 +71,52 @@ def test_selection_matches_brute_force(spark, need, share):
         for i, (code, text, profile) in enumerate(RULE_TEXTS)
     ]
     selection = A.select_claims(pool, rules, need)
-    rows = [(r["claim_id"], r["_draw"], r["days_to_file"], set(r["hits"])) for r in pool.collect()]
+    own = F.array(*[A.robin_draw(F.lit(i)) for i in range(9)])
+    rows = [(r["claim_id"], r["_draw"], r["days_to_file"], set(r["hits"]), r["own"]) for r in pool.withColumn("own", own).collect()]
     found = {r["claim_id"]: r["category_no"] for r in selection.rows(pool).collect()}
     assert found == brute_selection(rows, need, 9)
 
 
+def test_robin_quotas_are_those_of_dealing_one_by_one():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = [rng.choice([0, rng.randrange(6), rng.randrange(60)]) for _ in range(rng.randrange(10))]
+        need, left, dealt = rng.randrange(100), list(sizes), [0] * len(sizes)
+        while sum(dealt) < need and any(left):
+            for i in range(len(sizes)):
+                if left[i] and sum(dealt) < need:
+                    left[i] -= 1
+                    dealt[i] += 1
+        assert A.robin_quotas(sizes, need) == dealt
+
+
+@pytest.mark.parametrize("fetch", [0, 5, 2000])
+def test_quotas_match_taking_row_by_row(spark, monkeypatch, fetch):
+    """Also when no range is fetched before its draws are told apart to the last bit."""
+    monkeypatch.setattr(Q, "FETCH", fetch)
+    rng = random.Random(fetch)
+    # draws that agree in many leading bits, and some that are equal
+    rows = [(f"c{i:03}", rng.choice([rng.randrange(1 << 60), (5 << 40) + rng.randrange(40)]), rng.randrange(16)) for i in range(400)]
+    quotas = Q.Quotas(spark.createDataFrame(rows, "claim_id string, _draw long, _mask int"))
+    takes = [Q.Take(0, 37), Q.Take(1, 80), Q.Take(2, 60, of_all=True), Q.Take(3, None), Q.Take(0, 20), Q.Take(1, 0), Q.Take(2, 10_000)]
+    cuts, sizes = quotas.cuts(takes)
+    taken, ordered = set(), sorted(rows, key=lambda r: (r[1], r[0]))
+    for take, cut, size in zip(takes, cuts, sizes):
+        fit = [r[0] for r in ordered if r[2] >> take.bit & 1 and (take.of_all or r[0] not in taken)][: take.n]
+        new = set(fit) - taken
+        inside = {r[0] for r in rows if r[2] >> take.bit & 1 and (cut.all or (cut.draw is not None and (r[1], r[0]) <= (cut.draw, cut.key)))}
+        assert inside - taken == new and size == len(new)
+        taken |= new
+    assert quotas.jobs <= (20 if fetch < 2000 else 4)
+
+
+def test_half_of_the_claims_on_one_draw_bucket_and_no_claims(spark):
+    rows = spark.range(6000).selectExpr("cast(id as string) as claim_id", "case when id % 2 = 0 then 7L else id end as _draw", "1 as _mask")
+    cuts, sizes = Q.Quotas(rows).cuts([Q.Take(0, 1500)])
+    assert sizes == [1500] and rows.where(cuts[0].takes(F.col("_draw"), F.col("claim_id"))).count() == 1500
+    assert Q.Quotas(rows.limit(0)).cuts([Q.Take(0, 5)])[1] == [0]
+
+
 def test_duplicate_kinds(spark):
     rows = [
         ("1", "p", "2024-01-01", 100.0, "2024-02-01"),
