@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import bpe, compression, exact_dedup, line_crf, mixing, near_dup, site_tree, toxicity, url_filter, warc
+from claimspark.llm import bpe, compression, exact_dedup, filter_audit, line_crf, mixing, near_dup, site_tree, toxicity, url_filter, warc
 from claimspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,5 +191,47 @@ from c
 """
 
 
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = r"""
+with w as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), f as (
+  select doc_id, part, min(doc_id) over (partition by text) < doc_id as e, len(words) < 200 as a,
+    100 * len(list_distinct(words)) < 50 * len(words) as b,
+    100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d
+  from w
+), m as (
+  select part, (a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * coalesce(e, false)::int) as fails,
+    doc_id in (select doc_id from labels where quality = 1) as good, doc_id in (select doc_id from labels where toxic = 1) as toxic
+  from f
+), cells as (
+  select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from m group by part, fails
+), l(letter, bit) as (
+  values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders as (
+  select v.letter || w.letter || x.letter || y.letter || z.letter as filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] as bits
+  from l v, l w, l x, l y, l z
+  where v.bit | w.bit | x.bit | y.bit | z.bit = 31
+), steps as (
+  select filter_order, step::int as step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as earlier
+  from orders, unnest(range(1, 6)) as s(step)
+)
+select part, filter_order, step,
+  coalesce(sum(n) filter (where fails & (own | earlier) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (where fails & own <> 0 and fails & earlier = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (where fails & own <> 0 and fails & earlier <> 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (where fails = own), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (where fails & own <> 0 and fails & earlier = 0), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (where fails & own <> 0 and fails & earlier = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(fails), 1)) filter (where fails & own <> 0), 0)::bigint as shapley
+from cells, steps
+group by part, filter_order, step
+"""
+
+
 def load() -> tuple[dict, dict]:
     return QUERIES, SQL
