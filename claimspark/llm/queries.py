@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import bpe, compression, exact_dedup, filter_audit, line_crf, mixing, near_dup, site_tree, toxicity, url_filter, warc
+from claimspark.llm import bpe, compression, exact_dedup, filter_audit, line_crf, mixing, near_dup, site_tree, spelling, toxicity, url_filter, warc
 from claimspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,11 @@ from c
 """
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
