@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import bpe, compression, exact_dedup, filter_audit, line_crf, mixing, near_dup, site_tree, spelling, toxicity, url_filter, warc
+from claimspark.llm import bpe, compression, exact_dedup, filter_audit, hidden_markov, line_crf, mixing, near_dup, site_tree, spelling, toxicity, url_filter, warc
 from claimspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,5 +238,10 @@ group by part, filter_order, step
 """
 
 
+@query
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(table(spark, sf_dir, "documents"))
+
+
 def load() -> tuple[dict, dict]:
     return QUERIES, SQL
