@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions.draws import draw
+from claimspark.operators import isotonic as I
 from claimspark.operators import quotas as Q
 from claimspark.operators.duplicates import duplicate_evidence_table
 from claimspark.operators.rules import RULE_TEXTS, RuleSpec
@@ -259,3 +260,49 @@ def test_training_beats_the_base_rate_and_covers_each_row_once(spark):
         lambda d: M.fit_model(d, M.TreeConfig(2, 3, 0.3)),
     )
     assert M.average_precision(calibrated.score(evaluation)) > 0.6
+
+
+def test_a_unique_text_column_gives_nothing_away(spark):
+    """Rates leave the row's own label out, so training on an identifier in disguise changes nothing."""
+    rng = random.Random(8)
+    rows = [(str(i), f"p{i % 90}", rng.choice("abcd"), rng.random() * 10, f"note {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "claim_id string, patient_id string, kind string, billed_amount double, note string")
+    chance = F.when(F.col("kind") == "a", 0.8).otherwise(0.2)
+    df = M.materialize(df.withColumn("label_denied", (draw(F.col("claim_id"), "y") % 1000 < 1000 * chance).cast("int")), "noisy")
+    text = ["kind", "note"]
+    numbered = M._numbered(df)
+    rates = M.value_rates(numbered, text, "label_denied")
+    inside = M.with_rates(numbered, rates, text, leave_out=True)
+    assert inside.select("note_rate").distinct().count() == 1 and inside.count() == 900
+    plain = {r["kind"]: r for r in df.groupBy("kind").agg(F.sum("label_denied").alias("p"), F.count("*").alias("n")).collect()}
+    seen = {r["kind"]: r["kind_rate"] for r in M.with_rates(numbered, rates, text, leave_out=False).select("kind", "kind_rate").distinct().collect()}
+    base = sum(r["p"] for r in plain.values()) / 900
+    assert all(seen[k] == pytest.approx((r["p"] + base) / (r["n"] + 1)) for k, r in plain.items())
+    train, evaluation = df.where("cast(claim_id as int) < 600"), df.where("cast(claim_id as int) >= 600")
+    config = M.TreeConfig(4, 3, 0.3, encoding="target")
+    found = [M.average_precision(M.fit_model(t, config).score(e)) for t, e in ((train, evaluation), (train.drop("note"), evaluation.drop("note")))]
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [40, 20_000])
+def test_isotonic_fit_equals_the_library(spark, size):
+    from pyspark.ml.regression import IsotonicRegression
+
+    rng = random.Random(size)
+    rows = [(round(rng.random(), 2 if i % 2 else 5),) for i in range(500)]
+    rows = [(x, int(rng.random() < x * x)) for (x,) in rows] + [(0.3 + i / 1000, 1 - i // 30) for i in range(60)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    points = df.groupBy("score").agg(F.avg("label").alias("rate"), F.count("*").cast("double").alias("w"))
+    library = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="w").fit(points)
+    knots = I.fit_isotonic(df, "label", range_size=size)
+    grid = spark.createDataFrame([(i / 777 - 0.1,) for i in range(950)] + [(None,)] + [(r[0],) for r in rows[:50]], "score double").repartition(3)
+    expected = {r["score"]: r["prediction"] for r in library.setFeaturesCol("score").transform(grid.where("score is not null")).collect()}
+    found = [(r["score"], r["value"]) for r in I.apply_isotonic(grid, knots, "score", "value").collect()]
+    assert len(found) == 1001 and all(v is None if x is None else v == pytest.approx(expected[x], abs=1e-9) for x, v in found)
+
+
+def test_isotonic_fit_of_falling_and_of_no_labels(spark):
+    falling = spark.createDataFrame([(float(i), int(i < 50)) for i in range(100)], "score double, label int")
+    assert {r["value"] for r in I.fit_isotonic(falling, "label", range_size=30).collect()} == {0.5}
+    none = I.fit_isotonic(falling.limit(0), "label")
+    assert none.count() == 0 and I.apply_isotonic(falling, none, "score", "value").where("value is not null").count() == 0
