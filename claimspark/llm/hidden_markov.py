@@ -37,8 +37,8 @@ ADDED = 0.1  # to every count
 #: The entry of the table of counts that counts the ends of texts; no word is empty.
 END = b""
 _FLUSH = 300_000  # distinct words a task counts before it hands them on
-_BLOCK = 600_000  # rare tokens of a block of texts
-_TOKENS = 400_000  # tokens of short texts whose recursions run side by side
+_BLOCK = 450_000  # rare tokens of a block of texts
+_TOKENS = 200_000  # tokens of short texts whose recursions run side by side
 
 
 def words_of(text: bytes) -> list[bytes]:
