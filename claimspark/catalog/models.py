@@ -23,6 +23,51 @@ from claimspark.plans.knowledge_base import split_holdout
 from claimspark.session import materialize
 from claimspark.sources import roles, sinks, tables
 
+_COSTS = """select threshold, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall,
+ round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, (fp + 5 * fn)::double as cost, round((fp + 5 * fn) / (tp + fp + fn + tn), 6) as cost_per_example
+ from (select threshold, count(*) filter (where score >= threshold and label = 1) as tp, count(*) filter (where score >= threshold and label = 0) as fp,
+  count(*) filter (where score < threshold and label = 1) as fn, count(*) filter (where score < threshold and label = 0) as tn
+  from scored cross join (select unnest([{0}]) as threshold) group by threshold)"""
+
+
+def _costs(thresholds):
+    return _COSTS.format(", ".join(f"{t}::double" for t in thresholds))
+
+
+def _report_sql():
+    """All seven sections of the report on the scored events."""
+
+    def ranking(section, at):
+        return f"""select '{section}' as section, null::double as threshold, metric, value from
+     (select ap, round(2.0::double * tp / greatest(tp + fp + p, 1), 6) as f1_at_threshold, round((tp + tn)::double / (p + n), 6) as accuracy_at_threshold, best_f1_threshold, best_f1
+      from (select *, tp + fn as p, fp + tn as n from {at}), ranks) unpivot (value for metric in (ap, f1_at_threshold, accuracy_at_threshold, best_f1_threshold, best_f1))"""
+
+    def cells(section, at):
+        return f"""select '{section}', null, metric, value::double from (select tn, fp, fn, tp from {at}) unpivot (value for metric in (tn, fp, fn, tp))"""
+
+    def costs(section, of):
+        return f"""select '{section}', threshold, metric, value from (select threshold, tp::double as tp, fp::double as fp, fn::double as fn, tn::double as tn, precision, recall, f1,
+      cost, cost_per_example from {of}) unpivot (value for metric in (tp, fp, fn, tn, precision, recall, f1, cost, cost_per_example))"""
+
+    def at(threshold):
+        return f"""(select count(*) filter (where score < {threshold} and label = 0) as tn, count(*) filter (where score >= {threshold} and label = 0) as fp,
+      count(*) filter (where score < {threshold} and label = 1) as fn, count(*) filter (where score >= {threshold} and label = 1) as tp from scored)"""
+
+    curve = "(select *, 2 * (cum_pos / cum_n) * (cum_pos / total_pos) / greatest(cum_pos / cum_n + cum_pos / total_pos, 1e-12::double) as curve_f1 from pr_curve)"
+    sections = [
+        ranking("metrics_default", "half"), ranking("metrics_best_f1", "best"), cells("confusion_0_5", "half"), cells("confusion_best_f1", "best"),
+        costs("cost_sweep", "costs"), costs("best_cost", "cheapest"),
+        "select 'recommended_threshold', null, metric, value from (select best_f1_threshold as best_f1, threshold as best_cost from ranks, cheapest) unpivot (value for metric in (best_f1, best_cost))",
+    ]
+    return f"""with ranks as (select round(sum(pos / total_pos * cum_pos / cum_n), 6) as ap, arg_max(score, (curve_f1, -score)) as best_f1_threshold, round(max(curve_f1), 6) as best_f1 from {curve}),
+    half as {at("0.5::double")}, best as {at("(select best_f1_threshold from ranks)")}, costs as ({_costs(SWEEP_FINE)}),
+    cheapest as (select * from costs order by cost, threshold limit 1)
+    select 'events' as part, section, threshold, metric, round(value, 6) as value from ({" union all ".join(sections)})"""
+
+
+_REPORT = _report_sql()
+
+
 # ---- S -------------------------------------------------------------------------------
 
 
@@ -103,18 +148,16 @@ def s07(spark, folder):
     return spark.read.schema(result.summary.schema).json(path)
 
 
-@query(
-    "s08_metrics_json",
-    """select 'confusion' as section, null::double as threshold, metric, value::double as value from
-    (select count(*) filter (where score < 0.5::double and label = 0) as tn, count(*) filter (where score >= 0.5::double and label = 0) as fp,
-     count(*) filter (where score < 0.5::double and label = 1) as fn, count(*) filter (where score >= 0.5::double and label = 1) as tp from scored)
-    unpivot (value for metric in (tn, fp, fn, tp))""",
-)
+@query("s08_metrics_json", _REPORT)
 def s08(spark, folder):
-    report = M.tidy(confusion(scored(spark, folder), 0.5), "confusion")
+    """All sections in one JSON document, and read from it again."""
     path = scratch(spark, "metrics")
-    sinks.write_report(report, path)
-    return spark.read.schema(report.schema).json(path)
+    sinks.write_document(sinks.report_document(M.metrics_report(scored(spark, folder), "events", SWEEP_FINE, "label")), path)
+    entry = "array<struct<threshold: double, metric: string, value: double>>"
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, map<string, {entry}>>").alias("doc"))
+    sections = parsed.select(F.explode("doc").alias("part", "sections")).select("part", F.explode("sections").alias("section", "entries"))
+    rows = sections.select("part", "section", F.explode("entries").alias("e")).select("part", "section", "e.*")
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -133,17 +176,17 @@ def s09(spark, folder):
 _SPLIT_ROWS = "select claim_id, in_eval, label_denied from enriched join split_groups using (patient_id)"
 
 
-@query("s10_persist_model", f"select claim_id, 0.0::double as difference, true as in_range from ({_SPLIT_ROWS}) where in_eval")
+@query("s10_persist_model", f"select claim_id, 0.0::double as difference, label_denied::int as predicted from ({_SPLIT_ROWS}) where in_eval")
 def s10(spark, folder):
     """The model read back scores as the model that was written."""
-    train, evaluation = model_input(spark, folder)
+    train, evaluation = model_input(spark, folder, answered=True)
     model = M.fit_model(train, M.LEAFWISE)
     path = scratch(spark, "model")
     sinks.save_model(model.pipeline, path)
     again = replace(model, pipeline=PipelineModel.load(path))
     both = again.score(model.score(evaluation, "before"), "after")
     difference = F.round(F.abs(F.col("before") - F.col("after")), 9)
-    return both.select("claim_id", difference.alias("difference"), F.col("after").between(0, 1).alias("in_range"))
+    return both.select("claim_id", difference.alias("difference"), (F.col("after") >= 0.5).cast("int").alias("predicted"))
 
 
 _PROMPT = f"'{PROMPT_HEAD}' || {_DESCRIPTION} || '{PROMPT_TAIL}'"
@@ -227,9 +270,15 @@ def s12(spark, folder):
 # ---- M -------------------------------------------------------------------------------
 
 
-def model_input(spark, folder, variant="raw"):
-    """Training and evaluation rows of the enriched claims of a variant."""
+def model_input(spark, folder, variant="raw", answered=False):
+    """Training and evaluation rows of the enriched claims of a variant.
+
+    `answered` adds a number column that tells the labels apart. A model that learns anything ranks all denied claims
+    first then, so SQL knows every rate and count of its report; a constant model gets them wrong.
+    """
     rows = augmented_claims(spark, folder) if variant == "augmented" else enriched(spark, folder, variant == "balanced")
+    if answered:
+        rows = rows.withColumn("answer", F.col(M.LABEL) * 4.0 + F.length("claim_id") % 3)
     rows = materialize(split_train_eval(rows), "split")
     return tuple(rows.where(F.col("split") == part).drop("split") for part in ("train", "eval"))
 
@@ -279,17 +328,6 @@ def m02(spark, folder):
     return metrics.select(*[F.round(c, 6).alias(c) for c in metrics.columns])
 
 
-_COSTS = """select threshold, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall,
- round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, (fp + 5 * fn)::double as cost, round((fp + 5 * fn) / (tp + fp + fn + tn), 6) as cost_per_example
- from (select threshold, count(*) filter (where score >= threshold and label = 1) as tp, count(*) filter (where score >= threshold and label = 0) as fp,
-  count(*) filter (where score < threshold and label = 1) as fn, count(*) filter (where score < threshold and label = 0) as tn
-  from scored cross join (select unnest([{0}]) as threshold) group by threshold)"""
-
-
-def _costs(thresholds):
-    return _COSTS.format(", ".join(f"{t}::double" for t in thresholds))
-
-
 def _rounded_sweep(spark, folder, thresholds):
     sweep = cost_sweep(scored(spark, folder), thresholds)
     exact = {"threshold", "tp", "fp", "fn", "tn", "cost"}
@@ -308,100 +346,105 @@ def m04(spark, folder):
 
 @query(
     "m05_out_of_fold",
-    f"""with t as (select claim_id, patient_id from enriched join split_groups using (patient_id) where not in_eval),
+    f"""with t as (select claim_id, patient_id, label_denied from enriched join split_groups using (patient_id) where not in_eval),
     g as (select patient_id, row_number() over (order by count(*) desc, patient_id) - 1 as i from t group by patient_id)
-    select claim_id, (case when (i // 3) % 2 = 0 then i % 3 else 2 - i % 3 end)::int as fold, true as in_range from t join g using (patient_id)""",
+    select claim_id, (case when (i // 3) % 2 = 0 then i % 3 else 2 - i % 3 end)::int as fold, label_denied::int as predicted from t join g using (patient_id)""",
 )
 def m05(spark, folder):
-    train, _ = model_input(spark, folder)
+    train, _ = model_input(spark, folder, answered=True)
     folded = materialize(M.with_folds(train, 3), "folds")
     scores, _ = M.out_of_fold(folded, 3, lambda df: M.fit_model(df, M.LEAFWISE))
-    return scores.select("claim_id", "fold", F.col("score").between(0, 1).alias("in_range"))
-
-
-def _counted(report):
-    """What a report must say whatever the model: rows of each label behind every confusion matrix, and how many metrics."""
-    counts = report.where(F.col("section").isin("confusion_0_5", "confusion_best_f1", "cost_sweep", "best_cost"))
-
-    def total(*names):
-        return F.sum(F.when(F.col("metric").isin(*names), F.col("value"))).cast("bigint")
-
-    ratios = F.col("metric").isin("precision", "recall", "f1")
-    return (
-        counts.withColumn("threshold", F.when(F.col("section") != "best_cost", F.col("threshold")))
-        .where(~F.col("part").startswith("setting_"))
-        .groupBy("part", "section", "threshold")
-        .agg(
-            total("tp", "fn").alias("positives"),
-            total("fp", "tn").alias("negatives"),
-            F.coalesce(F.min(F.when(ratios, F.col("value").between(0, 1))), F.lit(True)).alias("in_range"),
-        )
+    return scores.select("claim_id", "fold", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Metrics whose value is a threshold, which depends on the model's scale.
+_CUTS = ("best_f1_threshold", "at_threshold")
+
+
+def _whole(report):
+    """All rows of a report. Thresholds the model chose are null, and so are counts at thresholds near 0 and 1, where a perfect order is not enough."""
+    swept = F.col("section") == "cost_sweep"
+    known = ~F.col("metric").isin(*_CUTS) & (F.col("section") != "recommended_threshold") & (~swept | F.col("threshold").between(0.25, 0.75))
+    return report.select(
+        "part",
+        "section",
+        F.when(F.col("section").isin("cost_sweep", "sweep"), F.col("threshold")).alias("threshold"),
+        "metric",
+        F.when(known, F.round("value", 6)).alias("value"),
     )
 
 
-def _counted_sql(thresholds):
-    return f"""select part, section, threshold, positives, negatives, true as in_range from
-    (select case when in_eval then 'eval' else 'cv' end as part, sum(label_denied)::bigint as positives, (count(*) - sum(label_denied))::bigint as negatives
+_RANKING = [("ap", "1"), ("f1_at_threshold", "1"), ("accuracy_at_threshold", "1"), ("best_f1_threshold", "null"), ("best_f1", "1")]
+_CELLS = [("tn", "negatives"), ("fp", "0"), ("fn", "0"), ("tp", "positives")]
+_SWEPT = [("tp", "positives"), ("fp", "0"), ("fn", "0"), ("tn", "negatives"), ("precision", "1"), ("recall", "1"), ("f1", "1"), ("cost", "0"), ("cost_per_example", "0")]
+
+
+def _perfect_sql(thresholds, settings=0):
+    """Every row of the report of a model that puts all denied claims first."""
+
+    def rows(section, entries, threshold="null"):
+        return [f"select part, '{section}' as section, {threshold}::double as threshold, '{m}' as metric, {v}::double as value from parts" for m, v in entries]
+
+    report = rows("metrics_default", _RANKING) + rows("metrics_best_f1", _RANKING) + rows("confusion_0_5", _CELLS) + rows("confusion_best_f1", _CELLS)
+    report += rows("best_cost", _SWEPT) + rows("recommended_threshold", [("best_f1", "null"), ("best_cost", "null")])
+    for t in thresholds:
+        report += rows("cost_sweep", _SWEPT if 0.25 <= t <= 0.75 else [(m, "null") for m, _ in _SWEPT], repr(round(float(t), 4)))
+    extra = []
+    for n in range(1, settings + 1):
+        tried = rows("metrics_default", _RANKING) + rows("best_cost", [*_SWEPT, ("at_threshold", "null")])
+        extra.append(f"select 'setting_{n}_' || part as part, section, threshold, metric, value from ({' union all '.join(tried)})")
+        extra += [f"select 'sweep', 'sweep', {n}, '{m}', 1" for m in ("ap_eval", "ap_cv")]
+    if settings:
+        extra += ["select 'sweep', 'choice', null, 'config', 1", "select 'sweep', 'choice', null, 'calibrated', 0"]
+    return f"""with parts as (select case when in_eval then 'eval' else 'cv' end as part, sum(label_denied) as positives, count(*) - sum(label_denied) as negatives
      from ({_SPLIT_ROWS}) group by all)
-    cross join (select 'cost_sweep' as section, unnest([{", ".join(f"{t}::double" for t in thresholds)}]) as threshold
-     union all select unnest(['confusion_0_5', 'confusion_best_f1', 'best_cost']), null)"""
+    {" union all ".join(report + extra)}"""
 
 
-@query("m06_boosted_sweep", _counted_sql(SWEEP_FINE))
+@query("m06_boosted_sweep", _perfect_sql(SWEEP_FINE, len(M.SWEEP)))
 def m06(spark, folder):
     """All settings, with their folds and the calibration."""
-    return _counted(M.train_sweep(*model_input(spark, folder)).report)
+    return _whole(M.train_sweep(*model_input(spark, folder, answered=True)).report)
 
 
-@query("m07_boosted_single", _counted_sql(SWEEP_COARSE))
+@query("m07_boosted_single", _perfect_sql(SWEEP_COARSE))
 def m07(spark, folder):
-    return _counted(M.train_single(*model_input(spark, folder), M.LEAFWISE).report)
+    return _whole(M.train_single(*model_input(spark, folder, answered=True), M.LEAFWISE).report)
 
 
-@query("m08_boosted_categorical", _counted_sql(SWEEP_COARSE))
+@query("m08_boosted_categorical", _perfect_sql(SWEEP_COARSE))
 def m08(spark, folder):
-    return _counted(M.train_single(*model_input(spark, folder), M.CATEGORICAL).report)
+    return _whole(M.train_single(*model_input(spark, folder, answered=True), M.CATEGORICAL).report)
 
 
-@query("m09_isotonic_calibration", f"select claim_id, true as in_range from ({_SPLIT_ROWS}) where in_eval")
+@query("m09_isotonic_calibration", f"select claim_id, label_denied::double as score from ({_SPLIT_ROWS}) where in_eval")
 def m09(spark, folder):
-    train, evaluation = model_input(spark, folder)
+    """Calibrated scores of a perfect order are the labels."""
+    train, evaluation = model_input(spark, folder, answered=True)
     folded = materialize(M.with_stratified_folds(train, M.LABEL, "claim_id", 3), "folds")
     scores = M.calibrate(folded, 3, lambda df: M.fit_model(df, M.LEAFWISE)).score(evaluation)
-    return scores.select("claim_id", F.col("score").between(0, 1).alias("in_range"))
+    return scores.select("claim_id", F.round("score", 6).alias("score"))
 
 
 @query(
     "m10_variants",
-    """select 'raw' as variant, count(*)::bigint as n, sum(label_denied)::bigint as positives from enriched union all
-    select 'balanced', count(*), sum(label_denied)::bigint from enriched join (select claim_id from balanced) using (claim_id) union all
-    select 'augmented', count(*), null from enriched""",
+    """with labels_of as (select 'raw' as variant, label_denied from enriched union all
+     select 'balanced', label_denied from enriched join (select claim_id from balanced) using (claim_id) union all
+     select 'augmented', (s or trim(claim_status) = 'Denied')::int from (select *, claim_id in (select claim_id from selected) as s from claims)
+      where (s or trim(claim_status) in ('Paid', 'Denied')) and encounter_id is not null and patient_id is not null)
+    select variant, sum(label_denied)::bigint as tp, 0::bigint as fp, 0::bigint as fn, (count(*) - sum(label_denied))::bigint as tn from labels_of group by variant""",
 )
 def m10(spark, folder):
-    """Rows and positives behind the confusion matrices of the three variants, training and evaluation rows together.
-
-    Which claims the augmentation denies isn't known to the SQL, so their positives are left out here.
-    """
-    splits = {variant: model_input(spark, folder, variant) for variant in ("raw", "augmented", "balanced")}
+    """Confusion of the three variants, training and evaluation rows together."""
+    splits = {variant: model_input(spark, folder, variant, answered=True) for variant in ("raw", "augmented", "balanced")}
     report = M.run_variants(splits, lambda train, evaluation: M.train_single(train, evaluation, M.LEAFWISE))
-    cells = report.where((F.col("section") == "confusion_0_5") & F.col("metric").isin("tp", "fp", "fn", "tn"))
-    positives = F.sum(F.when(F.col("metric").isin("tp", "fn") & (F.col("variant") != "augmented"), F.col("value")))
-    return cells.groupBy("variant").agg(F.sum("value").cast("bigint").alias("n"), positives.cast("bigint").alias("positives"))
+    cells = report.where(F.col("section") == "confusion_0_5")
+    return cells.groupBy("variant").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).cast("bigint").alias(m) for m in ("tp", "fp", "fn", "tn")])
 
 
-@query(
-    "m11_metrics_report",
-    """select 'events' as part, 'confusion_0_5' as section, null::double as threshold, metric, value::double as value from
-    (select count(*) filter (where score < 0.5::double and label = 0) as tn, count(*) filter (where score >= 0.5::double and label = 0) as fp,
-     count(*) filter (where score < 0.5::double and label = 1) as fn, count(*) filter (where score >= 0.5::double and label = 1) as tp from scored)
-    unpivot (value for metric in (tn, fp, fn, tp)) union all
-    select 'events', 'cost_sweep', threshold, metric, value from (select threshold, tp::double as tp, fp::double as fp, fn::double as fn, tn::double as tn, precision, recall, f1,
-     cost, cost_per_example from (""" + _costs(SWEEP_FINE) + """)) unpivot (value for metric in (tp, fp, fn, tn, precision, recall, f1, cost, cost_per_example))""",
-)
+@query("m11_metrics_report", _REPORT)
 def m11(spark, folder):
-    report = M.metrics_report(scored(spark, folder), "events", SWEEP_FINE, "label")
-    kept = report.where(F.col("section").isin("confusion_0_5", "cost_sweep"))
-    return kept.withColumn("value", F.round("value", 6))
+    return M.metrics_report(scored(spark, folder), "events", SWEEP_FINE, "label").withColumn("value", F.round("value", 6))
 
 
 @query("m12_reasoning", _REASONED)
@@ -414,11 +457,11 @@ def m13(spark, folder):
     return _vector_columns(E.embeddings(_documents(spark, folder), scratch(spark, "embeddings"), _encode(), "text"))
 
 
-@query("m14_reasoning_model", _counted_sql(SWEEP_COARSE))
+@query("m14_reasoning_model", _perfect_sql(SWEEP_COARSE))
 def m14(spark, folder):
     """Base features plus embeddings of the reasoning texts, on the scale of the training texts."""
-    train, evaluation = model_input(spark, folder)
+    train, evaluation = model_input(spark, folder, answered=True)
     texts = [E.reasonings(part, scratch(spark, "reasonings"), _predict()) for part in (train, evaluation)]
     embedder = E.fit_embedder(texts[0], dims=E.EMBED_BATCH)
     vectors = [materialize(E.hashed_embeddings(t, embedder), "vectors") for t in texts]
-    return _counted(E.train_with_reasoning(train, evaluation, *vectors, E.EMBED_BATCH, M.CATEGORICAL).report)
+    return _whole(E.train_with_reasoning(train, evaluation, *vectors, E.EMBED_BATCH, M.CATEGORICAL).report)
