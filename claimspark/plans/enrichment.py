@@ -6,6 +6,7 @@ id and a hash of the input text, so a rerun only asks for what is new or has cha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,6 +24,9 @@ from claimspark.sources.tables import path_exists
 TRIES = 3
 WAIT_SECONDS = 0.5
 EMBED_BATCH = 64
+REQUEST_ROWS = 16  # prompts of one call
+IN_FLIGHT = 8  # calls that a task waits for at a time
+SHARE_ROWS = 50_000  # claims that are asked for and committed together
 
 Predict = Callable[[list[str]], list[str]]
 Encode = Callable[[list[str]], list[list[float]]]
@@ -35,36 +39,54 @@ def described(claims: DataFrame) -> DataFrame:
     )
 
 
-def ask(described_claims: DataFrame, predict: Predict, tries: int = TRIES, wait: float = WAIT_SECONDS) -> DataFrame:
-    """`reply` per claim from batches of prompts; a prompt that fails every time has a null reply."""
+def answers(prompts: list[str], predict: Predict, tries: int = TRIES, wait: float = WAIT_SECONDS) -> list[str | None]:
+    """Replies to the prompts of one call; a prompt that fails every time has none."""
+    import time
+
+    replies: list[str | None] = [None] * len(prompts)
+    open_rows = list(range(len(prompts)))
+    for attempt in range(tries):
+        try:
+            for i, reply in zip(open_rows, predict([prompts[i] for i in open_rows]), strict=True):
+                replies[i] = reply
+            break
+        except Exception:
+            if len(open_rows) > 1:
+                # one bad prompt must not cost its call: go on one by one
+                left = []
+                for i in open_rows:
+                    try:
+                        replies[i] = predict([prompts[i]])[0]
+                    except Exception:
+                        left.append(i)
+                open_rows = left
+                if not open_rows:
+                    break
+        if attempt < tries - 1:
+            time.sleep(wait * (attempt + 1))
+    return replies
+
+
+def ask(
+    described_claims: DataFrame,
+    predict: Predict,
+    tries: int = TRIES,
+    wait: float = WAIT_SECONDS,
+    request_rows: int = REQUEST_ROWS,
+    in_flight: int = IN_FLIGHT,
+) -> DataFrame:
+    """`reply` per claim. A task keeps at most `in_flight` calls of `request_rows` prompts running and hands replies on as they come."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+        from concurrent.futures import ThreadPoolExecutor
 
-        for batch in batches:
-            replies: list[str | None] = [None] * len(batch)
-            open_rows = list(range(len(batch)))
-            for attempt in range(tries):
-                try:
-                    found = predict([batch["prompt"].iloc[i] for i in open_rows])
-                    for i, reply in zip(open_rows, found, strict=True):
-                        replies[i] = reply
-                    break
-                except Exception:
-                    if len(open_rows) > 1:
-                        # one bad prompt must not cost its batch: go on one by one
-                        left = []
-                        for i in open_rows:
-                            try:
-                                replies[i] = predict([batch["prompt"].iloc[i]])[0]
-                            except Exception:
-                                left.append(i)
-                        open_rows = left
-                        if not open_rows:
-                            break
-                if attempt < tries - 1:
-                    time.sleep(wait * (attempt + 1))
-            yield batch.drop(columns="prompt").assign(reply=replies)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                for start in range(0, len(batch), request_rows * in_flight):
+                    part = batch.iloc[start : start + request_rows * in_flight]
+                    prompts = list(part["prompt"])
+                    calls = [pool.submit(answers, prompts[i : i + request_rows], predict, tries, wait) for i in range(0, len(prompts), request_rows)]
+                    yield part.drop(columns="prompt").assign(reply=[reply for c in calls for reply in c.result()])
 
     prompts = described_claims.select("claim_id", "description_hash", claim_prompt(F.col("description")).alias("prompt"))
     return prompts.mapInPandas(call, "claim_id string, description_hash string, reply string")
@@ -81,25 +103,40 @@ def to_reasoning(replies: DataFrame) -> DataFrame:
     )
 
 
+def _same_claim(left: DataFrame, right: DataFrame, text_hash: str):
+    """Claims match by identifier, null too, and by text; the text's hash spreads the rows without identifier."""
+    return (left[text_hash] == right[text_hash]) & left["claim_id"].eqNullSafe(right["claim_id"])
+
+
 def reasonings(
     claims: DataFrame,
     cache_path: str,
     predict: Predict,
-    rounds: int = 1,
+    rounds: int | None = None,
     tries: int = TRIES,
     wait: float = WAIT_SECONDS,
+    share_rows: int = SHARE_ROWS,
+    request_rows: int = REQUEST_ROWS,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
-    """Reasoning per claim. Each of `rounds` shares of the open claims is committed on its own."""
+    """Reasoning per claim, also for claims without identifier.
+
+    The open claims are asked for in shares of about `share_rows` (or in `rounds` shares), and each share is committed
+    on its own: a run that fails loses one share at most, and the next run asks for the rest.
+    """
     spark = claims.sparkSession
     texts = described(claims)
+    if rounds is None:
+        rounds = max(1, math.ceil(texts.count() / share_rows))
+    number = F.pmod(draw(F.col("description_hash")), F.lit(rounds))
     for share in range(rounds):
-        work = texts.where(F.pmod(draw(F.col("claim_id")), F.lit(rounds)) == share)
+        work = texts.where(number == share).dropDuplicates(["claim_id", "description_hash"])
         if path_exists(spark, cache_path):
-            done = spark.read.parquet(cache_path).select("claim_id", "description_hash")
-            work = work.join(done, ["claim_id", "description_hash"], "left_anti")
-        to_reasoning(ask(work, predict, tries, wait)).write.mode("append").parquet(cache_path)
+            done = spark.read.parquet(cache_path).select("claim_id", "description_hash").alias("done")
+            work = work.join(done, _same_claim(work, done, "description_hash"), "left_anti")
+        to_reasoning(ask(work, predict, tries, wait, request_rows, in_flight)).write.mode("append").parquet(cache_path)
     cache = spark.read.parquet(cache_path).dropDuplicates(["claim_id", "description_hash"])
-    return texts.join(cache, ["claim_id", "description_hash"]).select("claim_id", "reasoning")
+    return texts.join(cache, _same_claim(texts, cache, "description_hash")).select(texts["claim_id"], "reasoning")
 
 
 def embed(texts: DataFrame, encode: Encode, text: str = "reasoning", batch_size: int = EMBED_BATCH) -> DataFrame:
@@ -119,16 +156,16 @@ def embed(texts: DataFrame, encode: Encode, text: str = "reasoning", batch_size:
 
 
 def embeddings(texts: DataFrame, cache_path: str, encode: Encode, text: str = "reasoning") -> DataFrame:
-    """As `embed`, with a table of finished vectors."""
+    """As `embed`, with a table of finished vectors; claims without identifier keep theirs."""
     spark = texts.sparkSession
     hashed = texts.withColumn("text_hash", F.md5(text))
-    work = hashed
+    work = hashed.dropDuplicates(["claim_id", "text_hash"])
     if path_exists(spark, cache_path):
         done = spark.read.parquet(cache_path).select("claim_id", "text_hash")
-        work = work.join(done, ["claim_id", "text_hash"], "left_anti")
+        work = work.join(done, _same_claim(work, done, "text_hash"), "left_anti")
     embed(work, encode, text).write.mode("append").parquet(cache_path)
     cache = spark.read.parquet(cache_path).dropDuplicates(["claim_id", "text_hash"])
-    return hashed.join(cache, ["claim_id", "text_hash"]).select("claim_id", "embedding")
+    return hashed.join(cache, _same_claim(hashed, cache, "text_hash")).select(hashed["claim_id"], "embedding")
 
 
 def fit_embedder(texts: DataFrame, text: str = "reasoning", dims: int = EMBED_BATCH) -> PipelineModel:

@@ -240,6 +240,54 @@ def test_reasoning_cache(spark, tmp_path):
     assert again["1"].startswith("Denial risk: HIGH") and again["2"] == first["2"] and len(again) == 20
 
 
+def test_reasonings_of_claims_without_identifier_and_calls_in_flight(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else str(i), float(i)) for i in range(60)] + [(None, 0.0)]
+    claims = spark.createDataFrame(rows, "claim_id string, billed_amount double").repartition(2)
+    log = str(tmp_path / "log")
+
+    def answer(prompts):
+        import threading
+        import time
+
+        with open(log, "a") as file:
+            file.write(f"{threading.active_count()} {len(prompts)}\n")
+        time.sleep(0.02)
+        return ['{"risk_level": "LOW"}' for _ in prompts]
+
+    def refuse(prompts):
+        raise RuntimeError("asked again")
+
+    path = str(tmp_path / "cache")
+    found = E.reasonings(claims, path, answer, share_rows=25, request_rows=2, in_flight=4)
+    assert found.count() == 61 and found.where("claim_id is null").count() == 21
+    assert found.where("reasoning like 'Denial risk: LOW%'").count() == 61
+    calls = [tuple(map(int, line.split())) for line in open(log)]
+    assert max(size for _, size in calls) == 2 and sum(size for _, size in calls) == 60  # the repeated row is asked for once
+    assert E.reasonings(claims, path, refuse, tries=1).where("reasoning like 'Denial risk: LOW%'").count() == 61
+    vectors = E.embeddings(found, str(tmp_path / "vectors"), lambda texts: [[float(len(t))] for t in texts])
+    assert vectors.where("claim_id is null").count() == 21
+
+
+def test_a_failed_run_keeps_its_finished_shares(spark, tmp_path):
+    claims = spark.createDataFrame([(str(i), float(i)) for i in range(40)], "claim_id string, billed_amount double")
+    path = str(tmp_path / "cache")
+
+    def some(prompts):
+        if any("$7.00" in p for p in prompts):
+            raise SystemExit("the worker is gone")
+        return ['{"risk_level": "LOW"}' for _ in prompts]
+
+    with pytest.raises(Exception):
+        E.reasonings(claims, path, some, rounds=4, tries=1)
+    done = spark.read.parquet(path).count() if tables.path_exists(spark, path) else 0
+
+    def rest(prompts):
+        return ['{"risk_level": "HIGH"}' for _ in prompts]
+
+    again = E.reasonings(claims, path, rest, rounds=4)
+    assert again.where("reasoning like 'Denial risk: LOW%'").count() == done and again.count() == 40
+
+
 def test_training_beats_the_base_rate_and_covers_each_row_once(spark):
     rng = random.Random(1)
     rows = [(str(i), f"p{i % 60}", rng.choice("abc"), rng.random() * 10, "") for i in range(600)]
