@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from claimspark.catalog.registry import query
 from claimspark.catalog.relational import augmented_cleaned, enriched, knowledge_base, tables_raw
 from claimspark.catalog.scalar import resolved_sql, won_sql
-from claimspark.catalog.sql_parts import CODE_OF, RATIO, rand_int
+from claimspark.catalog.sql_parts import CODE_OF, KB_COLUMNS, RATIO, TEXT_OF, rand_int
 from claimspark.functions.values import cost_ratio
 from claimspark.operators import rules as R
 from claimspark.plans import augment as A
@@ -224,9 +224,9 @@ _OFFSET = (
 
 @query(
     "a07_emit_denials",
-    f"""select claim_id, denial_id, denial_reason_code, denied_amount, denial_date, appeal_filed, appeal_status, appeal_resolution_date, final_outcome
+    f"""select claim_id, denial_id, denial_reason_code, denial_reason_description, denied_amount, denial_date, appeal_filed, appeal_status, appeal_resolution_date, final_outcome
     from denials union all
-    select claim_id, printf('DEN%05d', last + number) as denial_id, {CODE_OF}, billed_amount, strftime(denied_on, '%d-%m-%Y'),
+    select claim_id, printf('DEN%05d', last + number) as denial_id, {CODE_OF}, {TEXT_OF}, billed_amount, strftime(denied_on, '%d-%m-%Y'),
      case when profile = 'none' then 'No' else 'Yes' end, case when profile = 'none' then '' when won then 'Approved' else 'Denied' end,
      {resolved_sql("claim_id", "profile", "denied_on")}, case when coalesce(won, false) then 'Paid' else 'Written off' end
     from (select *, {won_sql("claim_id", "profile")} as won from (select *, {_PROFILE_OF_CODE} as profile,
@@ -238,7 +238,7 @@ _OFFSET = (
 def a07(spark, folder):
     _, selected = priority_selection(spark, folder)
     denials = roles.denials(spark, folder)
-    return denials.unionByName(A.new_denials(selected, denials), allowMissingColumns=True).drop("denial_reason_description")
+    return denials.unionByName(A.new_denials(selected, denials), allowMissingColumns=True).drop("_order")
 
 
 @query("a08_reconcile_reasons", "select claim_id, claim_status, denial_reason_norm, denial_reason_norm_denials, denial_reason_clean from cleaned")
@@ -252,15 +252,15 @@ def a08(spark, folder):
 @query(
     "a09_clean_variants",
     """select 'raw' as variant, claim_id, claim_status, billed_amount, denial_reason_clean from cleaned union all
-    select 'balanced', claim_id, claim_status, billed_amount, denial_reason_clean from balanced""",
+    select 'balanced', claim_id, claim_status, billed_amount, denial_reason_clean from balanced union all
+    select 'augmented', claim_id, claim_status, billed_amount, denial_reason_clean from cleaned_augmented""",
 )
 def a09(spark, folder):
     tables = tables_raw(spark, folder)
-    parts = []
-    for variant in ("raw", "balanced"):
-        claims = C.clean_variant(tables, None, variant).withColumn("variant", F.lit(variant))
-        parts.append(claims.select("variant", "claim_id", "claim_status", "billed_amount", "denial_reason_clean"))
-    return parts[0].unionByName(parts[1])
+    parts = [("augmented", augmented_cleaned(spark, folder)[1])]
+    parts += [(variant, C.clean_variant(tables, None, variant)) for variant in ("raw", "balanced")]
+    rows = [claims.select(F.lit(v).alias("variant"), "claim_id", "claim_status", "billed_amount", "denial_reason_clean") for v, claims in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("a10_enriched_dataset", "select * from enriched")
@@ -287,18 +287,10 @@ def a10_split(spark, folder):
     return C.split_train_eval(enriched(spark, folder)).select("claim_id", "patient_id", "split")
 
 
-_KB = (
-    "claim_id encounter_id patient_id billed_amount denial_reason insurance_type provider_id visit_date department length_of_stay patient_id_enc"
-    " age phone email last_name insurance_type_pat specialty department_prov email_prov diag_count diag_distinct diag_codes diag_descriptions"
-    " proc_count proc_distinct proc_codes proc_descriptions lab_count lab_distinct lab_codes lab_descriptions med_count med_distinct med_names"
-    " denial_ids denial_reason_descriptions denied_amount_sum denied_amount_max appeal_filed_any appeal_resolution_dates"
-).split()
-
-
-@query("a11_knowledge_base", f"select {', '.join(_KB)} from kb")
+@query("a11_knowledge_base", f"select {', '.join(KB_COLUMNS)} from kb")
 def a11(spark, folder):
     kb = knowledge_base(spark, folder).withColumn("denied_amount_sum", F.round("denied_amount_sum", 2))
-    return kb.select(_KB)
+    return kb.select(KB_COLUMNS)
 
 
 _FEATURES = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimspark.catalog.registry import query, scratch
 from claimspark.catalog.relational import augmented_claims, enriched, knowledge_base, scored
 from claimspark.catalog.scalar import _DESCRIPTION
+from claimspark.catalog.sql_parts import CODE_OF, FIRST_EVIDENCE, KB_COLUMNS
 from claimspark.catalog.sql_parts import draw as draw_sql
 from claimspark.functions.text import PROMPT_HEAD, PROMPT_TAIL
 from claimspark.operators.metrics import SWEEP_COARSE, SWEEP_FINE, best_cost, confusion, cost_sweep, ranking_metrics
@@ -139,13 +140,33 @@ def s06(spark, folder):
 
 @query(
     "s07_augmentation_summary",
-    """select total_claims, current_denied, target_denied, need_new as new_denials_added, current_denied + need_new as final_denied from sizes""",
+    f"""select 'total' as section, name as key, value::double as number, null::varchar as text from
+     (select total_claims, current_denied, target_denied, need_new as new_denials_added, current_denied + need_new as final_denied from sizes)
+     unpivot (value for name in (total_claims, current_denied, target_denied, new_denials_added, final_denied))
+    union all select 'category', {CODE_OF}, count(*)::double, null from selected group by category_no
+    union all select 'sample', claim_id, billed_amount, {CODE_OF} || ' ' || {FIRST_EVIDENCE} from
+     (select * from selected join pool using (claim_id) order by category_no, claim_id limit 20)""",
 )
 def s07(spark, folder):
+    """The whole augmentation's summary as one JSON document, and read from it again."""
     result = A.augment(roles.load(spark, folder), words=roles.KEYWORDS, departments=roles.DEPARTMENTS)
     path = scratch(spark, "summary")
-    sinks.write_report(result.summary, path)
-    return spark.read.schema(result.summary.schema).json(path)
+    sinks.write_document(sinks.summary_document(result.summary, result.category_counts, result.samples), path)
+    names = result.summary.columns
+    sample = "struct<claim_id: string, category: string, evidence: string, billed_amount: double>"
+    schema = f"{', '.join(f'{n} double' for n in names)}, per_category_counts map<string, double>, samples array<{sample}>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*")
+    none = F.lit(None).cast("string")
+    totals = doc.select(F.explode(F.create_map(*[v for n in names for v in (F.lit(n), F.col(n))])).alias("key", "number"))
+    counts = doc.select(F.explode("per_category_counts").alias("key", "number"))
+    samples = doc.select(F.explode("samples").alias("s"))
+    return (
+        totals.select(F.lit("total").alias("section"), "key", "number", none.alias("text"))
+        .unionByName(counts.select(F.lit("category").alias("section"), "key", "number", none.alias("text")))
+        .unionByName(
+            samples.select(F.lit("sample").alias("section"), F.col("s.claim_id").alias("key"), F.col("s.billed_amount").alias("number"), F.concat_ws(" ", "s.category", "s.evidence").alias("text"))
+        )
+    )
 
 
 @query("s08_metrics_json", _REPORT)
@@ -163,14 +184,19 @@ def s08(spark, folder):
 @query(
     "s09_holdout_markdown",
     f"""select '### Claim ' || claim_id || ' — Expected: Denied — Reason: ' || denial_reason || ' — Payer: ' || insurance_provider
-    || ' — Patient: Pat ' || last_name as header from kb order by {draw_sql("claim_id")}, claim_id limit 50""",
+    || ' — Patient: Pat ' || last_name as header, {", ".join(KB_COLUMNS)} from kb order by {draw_sql("claim_id")}, claim_id limit 50""",
 )
 def s09(spark, folder):
+    """Headers of the written sections, and the rows read from their bodies."""
     held, _ = split_holdout(knowledge_base(spark, folder), 50)
     path = scratch(spark, "holdout")
     sinks.write_holdout_markdown(held, path)
-    lines = spark.read.text(path).where(F.col("value").startswith("### Claim "))
-    return lines.select(F.col("value").alias("header"))
+    text = spark.read.text(path, wholetext=True).where(F.length("value") > 0)
+    sections = text.select(F.explode(F.split("value", "(?m)^(?=### Claim )")).alias("section")).where("section like '### Claim%'")
+    parsed = sections.select(
+        F.regexp_extract("section", "^[^\n]*", 0).alias("header"), F.from_json(F.regexp_extract("section", "(?s)```json\n(.*)\n```", 1), held.schema).alias("row")
+    ).select("header", "row.*")
+    return parsed.withColumn("denied_amount_sum", F.round("denied_amount_sum", 2)).select("header", *KB_COLUMNS)
 
 
 _SPLIT_ROWS = "select claim_id, in_eval, label_denied from enriched join split_groups using (patient_id)"

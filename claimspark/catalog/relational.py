@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimspark.catalog.registry import query
+from claimspark.catalog.sql_parts import CODE_OF, FIRST_EVIDENCE
 from claimspark.catalog.sql_parts import draw as draw_sql
 from claimspark.catalog.sql_parts import pipe
 from claimspark.functions import text as X
@@ -185,14 +186,13 @@ def j12(spark, folder):
 
 @query(
     "j13_feature_embedding_join",
-    """select d.doc_id, d.lang, e.embedding[1]::double as emb_0, e.embedding[2]::double as emb_1, e.embedding[64]::double as emb_63
+    f"""select d.doc_id, d.lang, {", ".join(f"e.embedding[{i + 1}]::double as emb_{i}" for i in range(64))}
     from documents d left join embeddings e on d.doc_id = e.vec_id""",
 )
 def j13(spark, folder):
     base = roles.read(spark, folder, "documents").select(F.col("doc_id").alias("claim_id"), "lang")
     vectors = roles.read(spark, folder, "embeddings").select(F.col("vec_id").alias("claim_id"), "embedding")
-    joined = with_embedding_columns(base, vectors, 64, "emb_")
-    return joined.select(F.col("claim_id").alias("doc_id"), "lang", "emb_0", "emb_1", "emb_63")
+    return with_embedding_columns(base, vectors, 64, "emb_").withColumnRenamed("claim_id", "doc_id")
 
 
 # ---- G -------------------------------------------------------------------------------
@@ -507,14 +507,15 @@ def r11(spark, folder):
     return global_rank(events, [F.col("event_type"), F.col("event_id")], "number").select("event_id", "number")
 
 
-@query("r12_first_rows", "select claim_id, category_no, billed_amount from (select claim_id, category_no - 1 as category_no, billed_amount from picked join pool using (claim_id)) order by category_no, claim_id limit 20")
+@query(
+    "r12_first_rows",
+    f"""select category_no - 1 as category_no, claim_id, {CODE_OF} as category, {FIRST_EVIDENCE} as evidence, billed_amount
+    from (select * from picked join pool using (claim_id) order by category_no, claim_id limit 20)""",
+)
 def r12(spark, folder):
     from claimspark.catalog.denials import priority_selection
 
-    _, selected = priority_selection(spark, folder)
-    return A.selection_samples(selected.withColumn("evidence", F.lit(""))).join(
-        selected.select("claim_id", "category_no"), "claim_id"
-    ).select("claim_id", "category_no", "billed_amount")
+    return A.selection_samples(priority_selection(spark, folder)[1])
 
 
 # ---- U -------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimspark.catalog.roles_sql import ROLES
+from claimspark.operators.rules import RULE_TEXTS
 from claimspark.sources.roles import DEPARTMENTS, KEYWORDS
 
 
@@ -190,6 +191,16 @@ PARTS |= {
 
 _CODES = ("CO22", "CO197", "CO50", "CO16", "CO18", "CO29", "CO27", "CO96", "CO97")
 CODE_OF = "case category_no " + " ".join(f"when {i + 1} then '{c}'" for i, c in enumerate(_CODES)) + " end"
+TEXT_OF = "case category_no " + " ".join(f"when {i + 1} then '{text}'" for i, (_, text, _) in enumerate(RULE_TEXTS)) + " end"
+#: Evidence of the first rule, whose claims come first among the samples.
+FIRST_EVIDENCE = """case category_no when 1 then '{"age":' || coalesce(age::varchar, 'null') || ',"payer":' || coalesce('"' || insurance_type || '"', 'null') || '}' end"""
+KB_COLUMNS = (
+    "claim_id encounter_id patient_id billed_amount denial_reason insurance_type provider_id visit_date department length_of_stay patient_id_enc"
+    " age phone email last_name insurance_type_pat specialty department_prov email_prov diag_count diag_distinct diag_codes diag_descriptions"
+    " proc_count proc_distinct proc_codes proc_descriptions lab_count lab_distinct lab_codes lab_descriptions med_count med_distinct med_names"
+    " denial_ids denial_reason_codes denial_reason_descriptions denial_dates appeal_statuses final_outcomes denied_amount_sum denied_amount_max"
+    " appeal_filed_any appeal_resolution_dates"
+).split()
 
 PARTS |= {
     "encounter_enriched": f"""
@@ -207,22 +218,11 @@ PARTS |= {
  select * replace (trim(claim_status) as claim_status), {norm("denial_reason")} as denial_reason_norm
  from claims_once where trim(claim_status) in ('Paid', 'Denied')""",
     "denials_norm": f"select *, {norm('denial_reason_description')} as reason_norm from denials",
-    "reason_map": """
- select l.rank, long_value, short_value from
-  (select reason_norm as long_value, row_number() over (order by count(*) desc, reason_norm) as rank from denials_norm group by reason_norm) l
-  join (select denial_reason_norm as short_value, row_number() over (order by count(*) desc, denial_reason_norm) as rank
-   from valid where claim_status = 'Denied' group by denial_reason_norm) s on l.rank = s.rank
- where (select count(distinct reason_norm) from denials_norm) =
-  (select count(distinct denial_reason_norm) from valid where claim_status = 'Denied')""",
     "first_denial": """
  select claim_id, reason_norm as denial_reason_norm_denials from (select *, row_number() over (partition by claim_id order by
   claim_id nulls last, denial_id nulls last, denial_reason_code nulls last, denial_reason_description nulls last, denied_amount nulls last,
   denial_date nulls last, appeal_filed nulls last, appeal_status nulls last, appeal_resolution_date nulls last,
   final_outcome nulls last, reason_norm) as rn from denials_norm) where rn = 1""",
-    "cleaned": """
- select v.*, denial_reason_norm_denials, case when claim_status <> 'Denied' then '' when denial_reason_norm <> '' then denial_reason_norm
-  else coalesce(short_value, denial_reason_norm_denials, '') end as denial_reason_clean
- from valid v left join first_denial f on v.claim_id = f.claim_id left join reason_map m on f.denial_reason_norm_denials = m.long_value""",
     "balance": """
  select floor(count(*) filter (where claim_status = 'Denied') / 0.35::double)::bigint - count(*) filter (where claim_status = 'Denied') as keep
  from cleaned""",
@@ -266,7 +266,8 @@ PARTS |= {
   coalesce(proc_codes, '') as proc_codes, coalesce(proc_descriptions, '') as proc_descriptions, coalesce(lab_count, 0) as lab_count,
   coalesce(lab_distinct, 0) as lab_distinct, coalesce(lab_codes, '') as lab_codes, coalesce(lab_descriptions, '') as lab_descriptions,
   coalesce(med_count, 0) as med_count, coalesce(med_distinct, 0) as med_distinct, coalesce(med_names, '') as med_names,
-  coalesce(denial_ids, '') as denial_ids, coalesce(denial_reason_descriptions, '') as denial_reason_descriptions,
+  coalesce(denial_ids, '') as denial_ids, coalesce(denial_reason_codes, '') as denial_reason_codes, coalesce(denial_dates, '') as denial_dates,
+  coalesce(appeal_statuses, '') as appeal_statuses, coalesce(final_outcomes, '') as final_outcomes, coalesce(denial_reason_descriptions, '') as denial_reason_descriptions,
   coalesce(denied_amount_sum, 0) as denied_amount_sum, coalesce(denied_amount_max, 0) as denied_amount_max,
   coalesce(appeal_filed_any, '') as appeal_filed_any, coalesce(appeal_resolution_dates, '') as appeal_resolution_dates
  from insured c left join encounters e on c.encounter_id is not distinct from e.encounter_id
@@ -283,6 +284,30 @@ PARTS |= {
   (select score, sum(label) as pos, count(*) as n from scored group by score) window w as (order by score desc)""",
     "line_counts": "select l_orderkey, count(*) as n from lineitem group by l_orderkey",
 }
+PARTS |= {
+    "valid_augmented": f"""
+ select * exclude (s) replace (case when s then 'Denied' else trim(claim_status) end as claim_status), {norm("denial_reason")} as denial_reason_norm
+ from (select *, claim_id in (select claim_id from selected) as s from claims) where s or trim(claim_status) in ('Paid', 'Denied')""",
+    "denials_norm_augmented": f"""
+ select *, {norm("denial_reason_description")} as reason_norm from (select claim_id, denial_id, denial_reason_description from denials union all
+  select claim_id, printf('DEN%05d', last + number), {TEXT_OF} from (select *, row_number() over (order by category_no, claim_id) as number,
+   (select max(try_cast(nullif(regexp_extract(denial_id, '^DEN([0-9]+)$', 1), '') as bigint)) from denials) as last from selected))""",
+    "first_denial_augmented": """
+ select claim_id, reason_norm as denial_reason_norm_denials from (select *, row_number() over (partition by claim_id order by
+  denial_id nulls last, reason_norm) as rn from denials_norm_augmented) where rn = 1""",
+}
+for _end in ("", "_augmented"):
+    PARTS[f"reason_map{_end}"] = f"""
+ select l.rank, long_value, short_value from
+  (select reason_norm as long_value, row_number() over (order by count(*) desc, reason_norm) as rank from denials_norm{_end} group by reason_norm) l
+  join (select denial_reason_norm as short_value, row_number() over (order by count(*) desc, denial_reason_norm) as rank
+   from valid{_end} where claim_status = 'Denied' group by denial_reason_norm) s on l.rank = s.rank
+ where (select count(distinct reason_norm) from denials_norm{_end}) =
+  (select count(distinct denial_reason_norm) from valid{_end} where claim_status = 'Denied')"""
+    PARTS[f"cleaned{_end}"] = f"""
+ select v.*, denial_reason_norm_denials, case when claim_status <> 'Denied' then '' when denial_reason_norm <> '' then denial_reason_norm
+  else coalesce(short_value, denial_reason_norm_denials, '') end as denial_reason_clean
+ from valid{_end} v left join first_denial{_end} f on v.claim_id = f.claim_id left join reason_map{_end} m on f.denial_reason_norm_denials = m.long_value"""
 PARTS["child_diag"] = _child("diagnoses", "diagnosis_code", "diag")
 PARTS["child_proc_text"] = _child_text("procedures", "procedure_code", "proc", "procedure_description")
 PARTS["child_lab_text"] = _child_text("lab_tests", "test_code", "lab", "test_name")

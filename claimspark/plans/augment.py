@@ -496,7 +496,9 @@ def category_counts(selected: DataFrame) -> DataFrame:
 def selection_samples(selected: DataFrame, n: int = 20) -> DataFrame:
     """The first n selected claims in category order."""
     return (
-        selected.orderBy("category_no", "claim_id").limit(n).select("claim_id", "category", "evidence", "billed_amount")
+        selected.orderBy("category_no", "claim_id")
+        .limit(n)
+        .select("category_no", "claim_id", "category", "evidence", "billed_amount")
     )
 
 
