@@ -27,7 +27,9 @@ from pyspark.sql.functions import pandas_udf
 from claimspark.llm.common import bounded_batches
 
 #: Words whose tokens a worker remembers; beyond it starts anew.
-WORD_CACHE = 400_000
+WORD_CACHE = 120_000
+#: Slots of the table of compatible pairs (a power of two): 8 bytes each, and a later pair replaces an earlier one.
+PAIR_SLOTS = 1 << 20
 #: White space of the vocabulary's patterns: the Unicode property, without the separators 1C to 1F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -112,7 +114,7 @@ class Vocabulary:
             if vocab[name] not in self.rank:
                 self.rank[vocab[name]], self.parts[vocab[name]] = rank, pair
                 spelled[name] = spelled[left] + spelled[right]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = array("q", bytes(8 * PAIR_SLOTS))
         self.string = {vocab[name]: s for name, s in spelled.items()}
         self.length = {token: len(s) for token, s in self.string.items()}
         # A token that its own merges can't reach never appears.
@@ -135,9 +137,11 @@ class Vocabulary:
         meets there would have merged if its rank came before the merges that used the pieces up.
         `under` only looks at merges of a lower rank: whether the two parts of a token get made.
         """
-        key = (left, right) if under is None else None
-        if key and (known := self.fits.get(key)) is not None:
-            return known
+        key = left << 32 | right
+        slot = (left * 648_881 + right) & (PAIR_SLOTS - 1)
+        # a slot holds the pair, a bit that marks it as filled, and the answer
+        if under is None and self.fits[slot] >> 1 == key << 1 | 1:
+            return bool(self.fits[slot] & 1)
         rank, parts, merged = self.rank, self.parts, self.merged
         limit = float("inf") if under is None else under
         a, b, answer = left, right, True
@@ -155,10 +159,8 @@ class Vocabulary:
             else:
                 limit = min(limit, rank[b] + 1)
                 b = parts[b][0]
-        if key:
-            if len(self.fits) > 4_000_000:
-                self.fits.clear()
-            self.fits[key] = answer
+        if under is None:
+            self.fits[slot] = key << 2 | 2 | answer
         return answer
 
     def encode_symbols(self, text: str) -> list[int]:

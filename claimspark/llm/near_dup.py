@@ -38,8 +38,11 @@ THRESHOLD = 0.8
 ROWS = 4
 BANDS = 20
 SLOTS = ROWS * BANDS
-#: Shingles in a block of nodes; a task holds two blocks.
-BLOCK = 500_000
+#: Shingles in a block of nodes, with `NODE` more for each node's signature and objects; a task holds two blocks.
+BLOCK = 200_000
+NODE = 64
+#: Characters of neighbouring texts that are made to shingles together.
+PIECE = 400_000
 #: Equal slots that a pair of similarity 0.8 reaches but for a chance of 3e-7 (five standard deviations).
 LEAST_SLOTS = 46
 _WORD = re.compile(WORD)
@@ -63,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
-        if len(self) >= 250_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = value
         return value
@@ -167,7 +170,7 @@ def _set_key(elements: np.ndarray, counts: np.ndarray) -> bytes:
 
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     texts, rows = list(texts), []
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, PIECE):
         sets = shingle_sets(texts[a:b])
         marks = signatures(sets)
         wide = marks.reshape(len(sets), BANDS, ROWS).astype(np.uint64)
@@ -182,7 +185,7 @@ def _sketch(texts: pd.Series) -> pd.DataFrame:
 
 def _sets(texts: pd.Series) -> pd.DataFrame:
     texts, rows = list(texts), []
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, PIECE):
         rows += [(_set_key(s, w), _pack(s, w)) for s, w in shingle_sets(texts[a:b])]
     return pd.DataFrame(rows, columns=["set_key", "shingles"])
 
@@ -218,10 +221,11 @@ def _with_hub(rows: DataFrame, hub) -> DataFrame:
 
 
 class _Verifier:
-    """Verified links of proposed pairs. Shingle sets are only made for texts that may need them."""
+    """Verified links of proposed pairs. Shingle sets are made in one pass over the texts, for the nodes of `buckets`, and kept."""
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, threshold: float):
-        self.texts, self.nodes, self.threshold = texts, nodes, threshold
+    def __init__(self, texts: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: float):
+        self.texts, self.nodes, self.buckets, self.threshold = texts, nodes, buckets, threshold
+        self._sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame | None:
         """Rows (a, b) of at least the threshold; None if the signatures leave no pair to look at."""
@@ -231,20 +235,23 @@ class _Verifier:
         close = materialize(close.select("a", "b"), "close-pairs")
         if not close.limit(1).count():
             return None
-        sets = self.sets(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = self.sets()
         both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
 
-    def sets(self, asked: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes asked for."""
-        wanted = materialize(self.nodes.join(asked, "node").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
-        # Texts that the filter holds back are certain not to be asked for.
-        some = possible_hits(self.texts, build_filter(wanted, "key"), "key").filter("possible")
-        # Not deterministic in name, so that no test of its result moves below the filter and runs it on every text.
-        made = some.select(pandas_udf(_sets, _SETS).asNondeterministic()("text").alias("s")).select("s.*")
-        sets = made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        return materialize(sets, "shingle-sets")
+    def sets(self) -> DataFrame:
+        """(node, shingles) of every node that shares a bucket."""
+        if self._sets is None:
+            shared = self.buckets.select("node").distinct()
+            wanted = materialize(self.nodes.join(shared, "node", "left_semi").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
+            # Texts that the filter holds back are certain not to be asked for.
+            some = possible_hits(self.texts, build_filter(wanted, "key"), "key").filter("possible")
+            # Not deterministic in name, so that no test of its result moves below the filter and runs it on every text.
+            made = some.select(pandas_udf(_sets, _SETS).asNondeterministic()("text").alias("s")).select("s.*")
+            sets = made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+            self._sets = materialize(sets, "shingle-sets")
+        return self._sets
 
     def leftover_links(self, buckets: DataFrame, roots: DataFrame) -> DataFrame | None:
         """Links among the nodes beside the hub of buckets that still hold several components; None if there are no such buckets."""
@@ -253,7 +260,7 @@ class _Verifier:
         rows = materialize(rows.join(mixed, "bucket").join(self.nodes.select("node", "n"), "node"), "mixed-buckets")
         if not rows.limit(1).count():
             return None
-        wide = self.nodes.select("node", "slots", "bands").join(self.sets(rows.select("node").distinct()), "node")
+        wide = self.nodes.select("node", "slots", "bands").join(rows.select("node").distinct(), "node", "left_semi").join(self.sets(), "node")
         tasks = _tasks(rows).join(wide, "node").repartition("task").sortWithinPartitions("task", "side")
         return materialize(tasks.mapInPandas(_task_links(self.threshold), "a long, b long").distinct(), "links")
 
@@ -263,7 +270,7 @@ def _tasks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A component of more than `block` shingles has blocks of its own, which needn't meet each other; the rest share blocks.
     """
-    parts = rows.groupBy("bucket", "root").agg(F.sum("n").alias("weight"))
+    parts = rows.groupBy("bucket", "root").agg(F.sum(F.col("n") + NODE).alias("weight"))
     parts = parts.withColumn("own", F.when(F.col("weight") > block, F.col("root")).otherwise(F.lit(-1).cast("long")))
     sizes = parts.groupBy("bucket", "own").agg(F.ceil(F.sum("weight") / block).cast("int").alias("parts"))
     each = sizes.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -368,7 +375,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialize(nodes.select("node", "id_text", "n", "set_key", "slots", "bands"), "node-sketches")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "mark")).select("node", "band", F.xxhash64("band", "mark").alias("bucket"))
     buckets = materialize(_with_hub(rows, F.min("node")), "buckets")
-    verifier = _Verifier(texts, nodes, threshold)
+    verifier = _Verifier(texts, nodes, buckets, threshold)
     # First one pair per node, with the smallest hub of its buckets: it settles most large groups.
     closest = buckets.filter("node != hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = _grown(spark.createDataFrame([], "a long, b long"), verifier.links(closest))
