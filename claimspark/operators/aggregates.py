@@ -7,6 +7,8 @@ sets it carries are no larger than the cell they end up in.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,56 +35,99 @@ def any_yes(c: Column) -> Column:
     return F.when(F.bool_or(normalize_filter_text(c) == "yes"), "Yes").otherwise("No")
 
 
+@dataclass(frozen=True)
+class Child:
+    """A child table with its code column, the prefix of its summary, and optionally a description column."""
+
+    table: DataFrame
+    code: str
+    prefix: str
+    desc: str | None = None
+    codes_name: str | None = None
+
+
+def child_profiles(children: Sequence[Child], key: str, keep_blank: bool = True, wanted: DataFrame | None = None) -> DataFrame:
+    """Summaries of several child tables, one row per key: rows, distinct codes, and pipe lists of codes and descriptions.
+
+    The tables are stacked as (key, table, field, value) and counted per value, which spreads a key with many rows
+    over its values, the null key too; one more grouping by key makes all cells. `keep_blank` leaves blank codes in the lists. With `wanted`
+    (a table of keys) only these keys are summarised, the null key if it is among them.
+    """
+    parts = []
+    for i, child in enumerate(children):
+        fields = [F.struct(F.lit("code").alias("field"), F.col(child.code).cast("string").alias("value"))]
+        if child.desc:
+            fields.append(F.struct(F.lit("desc").alias("field"), F.col(child.desc).cast("string").alias("value")))
+        parts.append(child.table.select(key, F.lit(i).alias("_table"), F.explode(F.array(*fields)).alias("e")).select(key, "_table", "e.*"))
+    stacked = reduce(DataFrame.unionByName, parts)
+    if wanted is not None:
+        asked = wanted.select(F.col(key).alias("_wanted")).distinct()
+        stacked = stacked.join(asked, stacked[key].eqNullSafe(asked["_wanted"]), "left_semi")
+    cells = stacked.groupBy(key, "_table", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    out, names = [], []
+    for i, child in enumerate(children):
+        code = (F.col("_table") == i) & (F.col("field") == "code")
+        desc = (F.col("_table") == i) & (F.col("field") == "desc")
+        listed = F.lit(True) if keep_blank else ~is_blank(F.col("value"))
+        prefix, codes = child.prefix, child.codes_name or f"{child.prefix}_codes"
+        out += [
+            F.sum(F.when(code, F.col("n"))).alias(f"{prefix}_count"),
+            F.count(F.when(code & F.col("value").isNotNull(), 1)).alias(f"{prefix}_distinct"),
+            F.array_sort(F.collect_list(F.when(code & listed, F.col("value")))).alias(codes),
+        ]
+        here = F.col(f"{prefix}_count").isNotNull()
+        names += [F.col(f"{prefix}_count"), F.when(here, F.col(f"{prefix}_distinct")).alias(f"{prefix}_distinct"), F.when(here, F.concat_ws("|", codes)).alias(codes)]
+        if child.desc:
+            out.append(F.array_sort(F.collect_list(F.when(desc & ~is_blank(F.col("value")), F.col("value")))).alias(f"{prefix}_descriptions"))
+            names.append(F.when(here, F.concat_ws("|", f"{prefix}_descriptions")).alias(f"{prefix}_descriptions"))
+    return cells.groupBy(key).agg(*out).select(key, *names)
+
+
 def child_summary(table: DataFrame, key: str, code: str, prefix: str) -> DataFrame:
     """Rows, distinct codes and the pipe list of codes per key. Null keys are dropped."""
-    codes = F.collect_set(F.col(code).cast("string"))
-    return (
-        table.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias(f"{prefix}_count"), codes.alias("_codes"))
-        .select(
-            key,
-            f"{prefix}_count",
-            F.size("_codes").cast("bigint").alias(f"{prefix}_distinct"),
-            F.concat_ws("|", F.array_sort("_codes")).alias(f"{prefix}_codes"),
-        )
-    )
+    return child_profiles([Child(table.where(F.col(key).isNotNull()), code, prefix)], key)
 
 
 def child_summary_text(
     table: DataFrame, key: str, code: str, prefix: str, desc: str | None = None, codes_name: str | None = None
 ) -> DataFrame:
     """As `child_summary` with descriptions; blanks leave the lists, and null keys stay as a key."""
-    sets = [F.collect_set(F.col(code).cast("string")).alias("_codes")]
-    out = [F.concat_ws("|", F.array_sort(F.filter("_codes", lambda v: ~is_blank(v)))).alias(codes_name or f"{prefix}_codes")]
-    if desc:
-        sets.append(pipe_set_no_blank(F.col(desc)).alias(f"{prefix}_descriptions"))
-        out.append(F.col(f"{prefix}_descriptions"))
-    return (
-        table.groupBy(key)
-        .agg(F.count(F.lit(1)).alias(f"{prefix}_count"), *sets)
-        .select(key, f"{prefix}_count", F.size("_codes").cast("bigint").alias(f"{prefix}_distinct"), *out)
-    )
+    return child_profiles([Child(table, code, prefix, desc, codes_name)], key, keep_blank=False)
 
 
-def claim_denials(denials: DataFrame) -> DataFrame:
-    """All denials of a claim in one row. Null claim ids stay as a key."""
+# List columns of a claim's denials and where they come from
+DENIAL_LISTS = {
+    "denial_ids": "denial_id",
+    "denial_reason_codes": "denial_reason_code",
+    "denial_reason_descriptions": "denial_reason_description",
+    "denial_dates": "denial_date",
+    "appeal_statuses": "appeal_status",
+    "appeal_resolution_dates": "appeal_resolution_date",
+    "final_outcomes": "final_outcome",
+}
+
+
+def claim_denials(denials: DataFrame, null_claims: bool = True) -> DataFrame:
+    """All denials of a claim in one row.
+
+    Denials without claim id are a group of their own if `null_claims`; their values are made distinct one field at a time
+    over all tasks before they meet in that group's cells. Pass False where no claim lacks its id.
+    """
     amount = F.coalesce(to_number(F.col("denied_amount")), F.lit(0.0))
-    lists = {
-        "denial_ids": "denial_id",
-        "denial_reason_codes": "denial_reason_code",
-        "denial_reason_descriptions": "denial_reason_description",
-        "denial_dates": "denial_date",
-        "appeal_statuses": "appeal_status",
-        "appeal_resolution_dates": "appeal_resolution_date",
-        "final_outcomes": "final_outcome",
-    }
-    return denials.groupBy("claim_id").agg(
-        *[pipe_set_no_blank(F.col(source)).alias(name) for name, source in lists.items()],
-        F.sum(amount).alias("denied_amount_sum"),
-        F.max(amount).alias("denied_amount_max"),
-        any_yes(F.col("appeal_filed")).alias("appeal_filed_any"),
+    measures = [F.sum(amount).alias("denied_amount_sum"), F.max(amount).alias("denied_amount_max"), any_yes(F.col("appeal_filed")).alias("appeal_filed_any")]
+    of_claims = (
+        denials.where(F.col("claim_id").isNotNull())
+        .groupBy("claim_id")
+        .agg(*[pipe_set_no_blank(F.col(source)).alias(name) for name, source in DENIAL_LISTS.items()], *measures)
     )
+    if not null_claims:
+        return of_claims
+    lost = denials.where(F.col("claim_id").isNull())
+    entries = F.array(*[F.struct(F.lit(name).alias("field"), F.col(source).cast("string").alias("value")) for name, source in DENIAL_LISTS.items()])
+    values = lost.select(F.explode(entries).alias("e")).select("e.*").where(~is_blank(F.col("value"))).distinct()
+    lists = values.groupBy().agg(*[F.concat_ws("|", F.array_sort(F.collect_list(F.when(F.col("field") == name, F.col("value"))))).alias(name) for name in DENIAL_LISTS])
+    totals = lost.groupBy("claim_id").agg(*measures)  # one row, or none
+    return of_claims.unionByName(totals.crossJoin(F.broadcast(lists)))  # one row
 
 
 def top_two(df: DataFrame, key: str, value: str) -> DataFrame:

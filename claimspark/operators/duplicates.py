@@ -6,32 +6,24 @@ group is gathered, and no pairs are formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.values import bucket_50, is_true, relative_difference
-from claimspark.operators.joins import HOT_ROWS, hot_keys, lookup_join
+from claimspark.operators.joins import HOT_ROWS, lookup_join
+from claimspark.session import materialize
 
 MAX_RATIO = 0.2
 
 
-def _originals(pool: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    """First row per group of two or more, under the column `name`."""
-    present = [F.col(k).isNotNull() for k in keys]
-    kept = pool
-    for test in present:
-        kept = kept.where(test)
-    first = F.min(
-        F.struct(
-            *[c.alias(f"o{i}") for i, c in enumerate(order)],
-            F.col("claim_id"),
-            F.col("billed_amount"),
-            F.col("visit_dt"),
-        )
-    )
-    return kept.groupBy(*keys).agg(first.alias(name), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+def _group_key(kind: int, *values: Column) -> Column:
+    """Key of a group, or null if a value is missing. The length of the first value keeps keys apart."""
+    text = [v.cast("string") for v in values]
+    key = F.concat_ws("|", F.lit(str(kind)), F.length(text[0]).cast("string"), *text)
+    present = F.lit(True)
+    for v in values:
+        present = present & v.isNotNull()
+    return F.when(present, key)
 
 
 def duplicate_evidence_table(pool: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -41,6 +33,9 @@ def duplicate_evidence_table(pool: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
     bucket (both against the earliest billed claim of the group), or an amount within a
     fifth of the patient's lowest. `pool` needs unique claim ids and should be a written
     table; only six of its columns are read.
+
+    Each row is looked at under its three keys at once: one aggregate finds the originals of all
+    groups and which groups are hot, one join brings them back, and one aggregate puts a claim's records together.
     """
     narrow = pool.select(
         "claim_id",
@@ -50,51 +45,46 @@ def duplicate_evidence_table(pool: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
         "billed_amount",
         "claim_billing_dt",
     )
-    by_date = [F.col("claim_billing_dt").isNull(), F.col("claim_billing_dt"), F.col("claim_id")]
-    by_amount = [F.col("billed_amount").isNull(), F.col("billed_amount"), F.col("claim_id")]
-    rows = narrow.where(F.col("patient_id").isNotNull())
-    for keys, order, name in (
-        (["patient_id", "visit_dt"], by_date, "_visit"),
-        (["patient_id", "billed_bucket"], by_date, "_bucket"),
-        (["patient_id"], by_amount, "_lowest"),
-    ):
-        rows = lookup_join(
-            rows,
-            _originals(narrow, keys, order, name),
-            keys,
-            spread_by=["claim_id"],
-            hot=hot_keys(narrow, keys, hot_rows),
-        )
-
-    def pair(original: str) -> Column:
-        first = F.col(original)
-        found = first.isNotNull() & (F.col("claim_id") != first["claim_id"])
-        difference = F.abs(
-            F.coalesce(F.col("billed_amount"), F.lit(0.0)) - F.coalesce(first["billed_amount"], F.lit(0.0))
-        )
-        evidence = F.struct(
-            first["claim_id"].alias("original_claim_id"),
-            F.lit(True).alias("same_patient"),
-            difference.alias("amount_diff"),
-            is_true(F.col("visit_dt") == first["visit_dt"]).alias("visit_match"),
-            F.col("billed_bucket").alias("bucket"),
-        )
-        return F.when(found, evidence)
+    patient = F.col("patient_id")
+    keys = F.array(_group_key(1, patient, F.col("visit_dt")), _group_key(2, patient, F.col("billed_bucket")), _group_key(3, patient))
+    rows = narrow.select("*", F.posexplode(keys).alias("_kind", "_group")).where(F.col("_group").isNotNull())
+    # the earliest billed claim, or in groups of the third kind the one with the lowest amount
+    by_amount = F.col("_kind") == 2
+    order = F.struct(
+        F.when(by_amount, F.col("billed_amount").isNull()).otherwise(F.col("claim_billing_dt").isNull()).alias("missing"),
+        F.when(~by_amount, F.col("claim_billing_dt")).alias("billed_on"),
+        F.when(by_amount, F.col("billed_amount")).alias("amount"),
+        "claim_id",
+        "billed_amount",
+        "visit_dt",
+    )
+    groups = rows.groupBy("_group").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = materialize(groups, "duplicate-groups")
+    hot = groups.where(F.col("_n") > hot_rows).select("_group")  # at most three times rows / hot_rows groups
+    met = lookup_join(rows, groups.drop("_n"), "_group", spread_by=["claim_id"], hot=hot).where("_first is not null")
 
-    lowest = F.col("_lowest")
-    ratio = relative_difference(F.col("billed_amount"), lowest["billed_amount"])
-    similar = F.when(
-        is_true((F.col("claim_id") != lowest["claim_id"]) & (ratio <= MAX_RATIO)),
-        F.struct(
-            lowest["claim_id"].alias("original_claim_id"),
-            F.lit(True).alias("same_patient"),
-            ratio.alias("amount_ratio"),
-            F.lit(False).alias("visit_match"),
-            F.col("billed_bucket").alias("bucket"),
-        ),
+    first = F.col("_first")
+    other = F.col("claim_id") != first["claim_id"]
+    difference = F.abs(F.coalesce(F.col("billed_amount"), F.lit(0.0)) - F.coalesce(first["billed_amount"], F.lit(0.0)))
+    pair = F.struct(
+        first["claim_id"].alias("original_claim_id"),
+        F.lit(True).alias("same_patient"),
+        difference.alias("amount_diff"),
+        is_true(F.col("visit_dt") == first["visit_dt"]).alias("visit_match"),
+        F.col("billed_bucket").alias("bucket"),
+    )
+    ratio = relative_difference(F.col("billed_amount"), first["billed_amount"])
+    similar = F.struct(
+        first["claim_id"].alias("original_claim_id"),
+        F.lit(True).alias("same_patient"),
+        ratio.alias("amount_ratio"),
+        F.lit(False).alias("visit_match"),
+        F.col("billed_bucket").alias("bucket"),
     )
-    found = {"dup_visit": pair("_visit"), "dup_bucket": pair("_bucket"), "dup_similar": similar}
-    return (
-        rows.select("claim_id", *[c.alias(n) for n, c in found.items()])
-        .where(F.coalesce(*[F.col(n)["original_claim_id"] for n in found]).isNotNull())
+    repeats = met.where(other & ((F.col("_kind") != 2) | is_true(ratio <= MAX_RATIO)))
+    # a claim has one row per kind
+    return repeats.groupBy("claim_id").agg(
+        F.max(F.when(F.col("_kind") == 0, pair)).alias("dup_visit"),
+        F.max(F.when(F.col("_kind") == 1, pair)).alias("dup_bucket"),
+        F.max(F.when(F.col("_kind") == 2, similar)).alias("dup_similar"),
     )

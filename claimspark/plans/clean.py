@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import normalize_text, strip
-from claimspark.operators.aggregates import child_summary
+from claimspark.operators.aggregates import Child, child_profiles
 from claimspark.operators.joins import (
     HOT_ROWS,
     first_per_key,
@@ -101,17 +103,16 @@ def clean_variant(raw: ClaimTables, augmented: tuple[DataFrame, DataFrame] | Non
 
 
 def encounter_side(tables: ClaimTables) -> DataFrame:
-    """Encounters with the summaries of their four child tables; the same for every variant."""
-    return merge_on_key(
-        [
-            first_per_key(tables.encounters, "encounter_id"),
-            child_summary(tables.diagnoses, "encounter_id", "diagnosis_code", "diag"),
-            child_summary(tables.procedures, "encounter_id", "procedure_code", "proc"),
-            child_summary(tables.lab_tests, "encounter_id", "test_code", "lab"),
-            child_summary(tables.medications, "encounter_id", "drug_name", "med"),
-        ],
-        "encounter_id",
-    )
+    """Encounters with the summaries of their four child tables, grouped together; the same for every variant."""
+    key = "encounter_id"
+    children = [
+        Child(tables.diagnoses, "diagnosis_code", "diag"),
+        Child(tables.procedures, "procedure_code", "proc"),
+        Child(tables.lab_tests, "test_code", "lab"),
+        Child(tables.medications, "drug_name", "med"),
+    ]
+    children = [replace(c, table=c.table.where(F.col(key).isNotNull())) for c in children]
+    return merge_on_key([first_per_key(tables.encounters, key), child_profiles(children, key)], key)
 
 
 def star_join(
