@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from claimspark.catalog.registry import query, scratch
-from claimspark.catalog.relational import augmented_claims, enriched, knowledge_base, scored
+from claimspark.catalog.relational import augmented_claims, enriched, knowledge_base, scored, tables_raw
 from claimspark.catalog.scalar import _DESCRIPTION
 from claimspark.catalog.sql_parts import CODE_OF, FIRST_EVIDENCE, KB_COLUMNS
 from claimspark.catalog.sql_parts import draw as draw_sql
@@ -20,7 +20,7 @@ from claimspark.plans import augment as A
 from claimspark.plans import enrichment as E
 from claimspark.plans import training as M
 from claimspark.plans.clean import split_train_eval
-from claimspark.plans.knowledge_base import split_holdout
+from claimspark.plans.knowledge_base import build_knowledge_base, split_holdout
 from claimspark.session import materialize
 from claimspark.sources import roles, sinks, tables
 
@@ -88,6 +88,18 @@ def s01(spark, folder):
     return read.select("patient_id", "age", "insurance_type", "phone", "email", "address", "registration_date")
 
 
+@query("s01_claim_tables", f"select {', '.join(KB_COLUMNS)} from kb")
+def s01_tables(spark, folder):
+    """All nine tables written as CSV, read with their headers, and joined to the knowledge base. Resubmitted claims keep their order in the file."""
+    made, path = tables_raw(spark, folder), scratch(spark, "nine")
+    for name, field in tables.TABLE_FIELDS.items():
+        table = getattr(made, field)
+        ordered = table.orderBy("row_no").drop("row_no") if "row_no" in table.columns else table
+        sinks.write_table(ordered, f"{path}/{name}.csv", "csv")
+    kb = build_knowledge_base(tables.read_claim_tables(spark, path))
+    return kb.withColumn("denied_amount_sum", F.round("denied_amount_sum", 2)).select(KB_COLUMNS)
+
+
 _SPLIT = f"""select o_orderkey, o_custkey, case when place <= ceil(0.2::double * groups) then 'eval' else 'train' end as part from orders join
  (select o_custkey, row_number() over (order by {draw_sql("o_custkey::varchar")}, o_custkey) as place, count(*) over () as groups
   from (select distinct o_custkey from orders)) using (o_custkey)"""

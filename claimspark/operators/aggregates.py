@@ -55,30 +55,30 @@ def child_profiles(children: Sequence[Child], key: str, keep_blank: bool = True,
     """
     parts = []
     for i, child in enumerate(children):
-        fields = [F.struct(F.lit("code").alias("field"), F.col(child.code).cast("string").alias("value"))]
+        fields = [F.struct(F.lit("code").alias("_field"), F.col(child.code).cast("string").alias("_value"))]
         if child.desc:
-            fields.append(F.struct(F.lit("desc").alias("field"), F.col(child.desc).cast("string").alias("value")))
-        parts.append(child.table.select(key, F.lit(i).alias("_table"), F.explode(F.array(*fields)).alias("e")).select(key, "_table", "e.*"))
+            fields.append(F.struct(F.lit("desc").alias("_field"), F.col(child.desc).cast("string").alias("_value")))
+        parts.append(child.table.select(key, F.lit(i).alias("_table"), F.explode(F.array(*fields)).alias("_entry")).select(key, "_table", "_entry.*"))
     stacked = reduce(DataFrame.unionByName, parts)
     if wanted is not None:
         asked = wanted.select(F.col(key).alias("_wanted")).distinct()
         stacked = stacked.join(asked, stacked[key].eqNullSafe(asked["_wanted"]), "left_semi")
-    cells = stacked.groupBy(key, "_table", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = stacked.groupBy(key, "_table", "_field", "_value").agg(F.count(F.lit(1)).alias("_n"))
     out, names = [], []
     for i, child in enumerate(children):
-        code = (F.col("_table") == i) & (F.col("field") == "code")
-        desc = (F.col("_table") == i) & (F.col("field") == "desc")
-        listed = F.lit(True) if keep_blank else ~is_blank(F.col("value"))
+        code = (F.col("_table") == i) & (F.col("_field") == "code")
+        desc = (F.col("_table") == i) & (F.col("_field") == "desc")
+        listed = F.lit(True) if keep_blank else ~is_blank(F.col("_value"))
         prefix, codes = child.prefix, child.codes_name or f"{child.prefix}_codes"
         out += [
-            F.sum(F.when(code, F.col("n"))).alias(f"{prefix}_count"),
-            F.count(F.when(code & F.col("value").isNotNull(), 1)).alias(f"{prefix}_distinct"),
-            F.array_sort(F.collect_list(F.when(code & listed, F.col("value")))).alias(codes),
+            F.sum(F.when(code, F.col("_n"))).alias(f"{prefix}_count"),
+            F.count(F.when(code & F.col("_value").isNotNull(), 1)).alias(f"{prefix}_distinct"),
+            F.array_sort(F.collect_list(F.when(code & listed, F.col("_value")))).alias(codes),
         ]
         here = F.col(f"{prefix}_count").isNotNull()
         names += [F.col(f"{prefix}_count"), F.when(here, F.col(f"{prefix}_distinct")).alias(f"{prefix}_distinct"), F.when(here, F.concat_ws("|", codes)).alias(codes)]
         if child.desc:
-            out.append(F.array_sort(F.collect_list(F.when(desc & ~is_blank(F.col("value")), F.col("value")))).alias(f"{prefix}_descriptions"))
+            out.append(F.array_sort(F.collect_list(F.when(desc & ~is_blank(F.col("_value")), F.col("_value")))).alias(f"{prefix}_descriptions"))
             names.append(F.when(here, F.concat_ws("|", f"{prefix}_descriptions")).alias(f"{prefix}_descriptions"))
     return cells.groupBy(key).agg(*out).select(key, *names)
 

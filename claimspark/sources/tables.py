@@ -26,6 +26,20 @@ class ClaimTables:
     providers: DataFrame
 
 
+# File name of each table and its field
+TABLE_FIELDS = {
+    "claims_and_billing": "claims",
+    "denials": "denials",
+    "encounters": "encounters",
+    "diagnoses": "diagnoses",
+    "procedures": "procedures",
+    "lab_tests": "lab_tests",
+    "medications": "medications",
+    "patients": "patients",
+    "providers": "providers",
+}
+
+
 def read_csv_table(
     spark: SparkSession, path: str, table: str, columns: tuple[str, ...] | None = None, multi_line: bool = False
 ) -> DataFrame:
@@ -80,17 +94,7 @@ def read_claim_tables(spark: SparkSession, folder: str, multi_line: bool = False
         path = f"{folder}/{name}.csv"
         return typed(read_csv_table(spark, path, name, read_header(spark, path), multi_line))
 
-    return ClaimTables(
-        claims=table("claims_and_billing"),
-        denials=table("denials"),
-        encounters=table("encounters"),
-        diagnoses=table("diagnoses"),
-        procedures=table("procedures"),
-        lab_tests=table("lab_tests"),
-        medications=table("medications"),
-        patients=table("patients"),
-        providers=table("providers"),
-    )
+    return ClaimTables(**{field: table(name) for name, field in TABLE_FIELDS.items()})
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -70,10 +70,11 @@ def test_one_encoding_at_every_size(spark, values):
 
 def test_rates_are_smoothed_and_unseen_values_get_the_overall_rate(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1)], "code string, label_denied int")
-    rates, base = M.value_rates(df, ["code"], "label_denied")
-    assert base == 0.75 and {r.value: r.rate for r in rates.collect()} == {"a": (2 + 0.75) / 3, "b": (1 + 0.75) / 3}
-    new = spark.createDataFrame([("z",)], "code string")
-    assert M.with_rates(new, rates, base, ["code"]).first().code_rate == 0.75
+    rates = M.value_rates(M._numbered(df), ["code"], "label_denied")
+    assert rates.base == 0.75 and {r.value: (sum(r.positives), sum(r.rows)) for r in rates.table.collect()} == {"a": (2, 2), "b": (1, 2)}
+    new = spark.createDataFrame([("z",), ("a",), ("b",)], "code string")
+    found = {r.code: r.code_rate for r in M.with_rates(M._numbered(new), rates, ["code"], leave_out=False).collect()}
+    assert found == {"z": 0.75, "a": (2 + 0.75) / 3, "b": (1 + 0.75) / 3}
 
 
 def test_embeddings_have_the_scale_of_the_training_texts(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.draws import draw
 from claimspark.operators import aggregates as G
 from claimspark.operators import metrics as M
+from claimspark.operators.duplicates import duplicate_evidence_table
 from claimspark.operators.folds import with_group_folds, with_stratified_folds
 from claimspark.operators.joins import first_per_key, hot_keys, hot_keys_through, lookup_join, rank_aligned_mapping
 from claimspark.operators.ordering import exact_quantiles_of, global_rank, running_totals
@@ -202,3 +203,70 @@ def test_metrics(spark, rows):
         assert r["cost"] == r["fp"] + 5 * r["fn"]
     cheapest = min(sweep, key=lambda r: (r["cost"], r["threshold"]))
     assert M.best_cost(M.cost_sweep(df, M.SWEEP_COARSE)).collect()[0]["threshold"] == cheapest["threshold"]
+
+
+def test_children_of_a_third_orphaned_and_of_wanted_keys(spark):
+    """Four tables in two exchanges; rows without key are summarised only if the key is wanted."""
+    rows = [(None if i % 3 == 0 else str(i % 20), f"c{i % 7}", " " if i % 5 == 0 else f"d{i % 4}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "k string, code string, desc string")
+    children = [G.Child(table, "code", "a", "desc"), G.Child(table.where("k <> '1'"), "code", "b"), G.Child(table, "desc", "c")]
+    found = {r["k"]: r for r in G.child_profiles(children, "k", keep_blank=False).collect()}
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        r = found[key]
+        assert (r["a_count"], r["a_distinct"], r["a_codes"]) == (len(own), len({x[1] for x in own}), "|".join(sorted({x[1] for x in own})))
+        assert r["a_descriptions"] == r["c_codes"] == "|".join(sorted({x[2] for x in own if x[2].strip()}))
+        assert r["c_distinct"] == len({x[2] for x in own})
+        assert r["b_count"] is None if key in ("1", None) else r["b_count"] == len(own)
+    wanted = spark.createDataFrame([("2",), ("2",), ("none",)], "k string")
+    some = G.child_profiles(children, "k", wanted=wanted)
+    assert [r["k"] for r in some.collect()] == ["2"]
+    with_null = G.child_profiles(children, "k", wanted=wanted.unionByName(spark.createDataFrame([(None,)], "k string")))
+    assert {r["k"] for r in with_null.collect()} == {"2", None}
+    plan = G.child_profiles(children, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "Join" not in plan
+
+
+def test_denials_without_claim(spark):
+    rows = [("1", "D1", "a", 5.0, "Yes"), ("1", "D2", "b", 7.0, "No")] + [(None, f"X{i:03}", "a" if i % 2 else " ", float(i), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "claim_id string, denial_id string, denial_reason_code string, denied_amount double, appeal_filed string")
+    for name in ("denial_reason_description", "denial_date", "appeal_status", "appeal_resolution_date", "final_outcome"):
+        df = df.withColumn(name, F.lit("same"))
+    found = {r["claim_id"]: r for r in G.claim_denials(df).collect()}
+    assert set(found) == {"1", None} and set(r["claim_id"] for r in G.claim_denials(df, null_claims=False).collect()) == {"1"}
+    lost = found[None]
+    assert lost["denial_ids"] == "|".join(f"X{i:03}" for i in range(200)) and lost["denial_reason_codes"] == "a" and lost["denial_dates"] == "same"
+    assert (lost["denied_amount_sum"], lost["denied_amount_max"], lost["appeal_filed_any"]) == (19900.0, 199.0, "No")
+    assert found["1"]["denial_ids"] == "D1|D2" and found["1"]["appeal_filed_any"] == "Yes"
+    assert {r["claim_id"] for r in G.claim_denials(df.where("claim_id is not null")).collect()} == {"1"}
+
+
+def test_duplicates_with_half_the_rows_on_one_key(spark):
+    """Against a loop over the claims, with and without spreading the hot groups."""
+    rng = random.Random(6)
+    rows = [(f"c{i:03}", "p" if i % 2 else f"q{i % 9}", rng.choice([None, "2024-01-01", "2024-01-02"]), rng.choice([None, 40.0, 60.0, 100.0, 119.0]), rng.choice([None, "2024-02-01", "2024-02-02"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "claim_id string, patient_id string, v string, billed_amount double, b string").select(
+        "claim_id", "patient_id", F.col("v").cast("date").alias("visit_dt"), "billed_amount", F.col("b").cast("date").alias("claim_billing_dt")
+    )
+    late, bucket = "9999", lambda x: None if x is None else round(x / 50) * 50
+    first = {}
+    for c, p, v, x, b in rows:
+        for key, order in ((("v", p, v), (b or late, c)), (("b", p, bucket(x)), (b or late, c)), (("a", p), (x is None, x or 0.0, c))):
+            if None not in key:
+                first[key] = min(first.get(key, (order, c, x)), (order, c, x))
+    expected = {}
+    for c, p, v, x, b in rows:
+        found = {}
+        if v is not None and first["v", p, v][1] != c:
+            found["dup_visit"] = first["v", p, v][1]
+        if x is not None and first["b", p, bucket(x)][1] != c:
+            found["dup_bucket"] = first["b", p, bucket(x)][1]
+        low = first["a", p]
+        if low[1] != c and x is not None and low[2] is not None and abs(x - low[2]) / max(low[2], 1) <= 0.2:
+            found["dup_similar"] = low[1]
+        if found:
+            expected[c] = found
+    for hot_rows in (1, 40, 1000):
+        table = duplicate_evidence_table(df, hot_rows).collect()
+        found = {r["claim_id"]: {n: r[n]["original_claim_id"] for n in ("dup_visit", "dup_bucket", "dup_similar") if r[n]} for r in table}
+        assert found == expected and len(table) == len(expected)
