@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -148,11 +149,52 @@ def test_compression_rules(spark):
     assert all(not (r.kept and (r.base_failed or r.band_failed)) for r in got)
 
 
+def made_prose(rng, n, words=20_000):
+    """Words of a vocabulary as rich as that of ordinary text; the ratio is that of labelled good rows."""
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(words)]
+    weight = 1 / np.arange(1, words + 1) ** 0.6
+    return " ".join(rng.choice(vocabulary, n, p=weight / weight.sum()))
+
+
+def test_compression_verdict_recomputed(spark):
+    """Every column of the method from its definition, over texts of all kinds and lengths."""
+    rng, random_ = np.random.default_rng(5), random.Random(5)
+    texts = [made_prose(rng, n, 3000)[: random_.randrange(1, 9000)] for n in (20, 90, 400, 1500, 1500)]
+    texts += [base64.encodebytes(rng.bytes(n)).decode() for n in (200, 3000)] + ["ab " * n for n in (40, 60, 3000)]
+    texts += ["".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 20_000, n)) for n in (60, 1000, 5000)] + ["漢字 " * 800, "é" * 3000, None, ""]
+    texts += [texts[2] + " " + texts[6], texts[3] + "漢字" * 700]
+    compressor = zstandard.ZstdCompressor(level=3)
+
+    def limits(raw, size):
+        bands = compression.OTHER_SCRIPTS if 3 * sum(b > 127 for b in raw) > len(raw) else compression.BANDS
+        return max((b for b in bands if b.least_bytes <= size), key=lambda b: b.least_bytes)
+
+    for r in compression.compression_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        ratios = [(len(compressor.compress(raw[i : i + 2048])) / len(raw[i : i + 2048]), len(raw[i : i + 2048])) for i in range(0, len(raw), 2048)]
+        low = [n for x, n in ratios if x < limits(raw, n).low]
+        high = [n for x, n in ratios if x > limits(raw, n).high]
+        whole = len(compressor.compress(raw)) / len(raw) if raw else 0.0
+        bad = sum(low + high) / len(raw) if raw else 0.0
+        failed = bool(raw) and (not limits(raw, len(raw)).low <= whole <= limits(raw, len(raw)).high or bad > 0.5)
+        assert (r.n_chunks, r.low_chunks, r.high_chunks, r.band_failed, r.kept) == (len(ratios), len(low), len(high), failed, not failed and not r.base_failed), r
+        assert r.zstd_ratio == pytest.approx(whole) and r.bad_chunk_share == pytest.approx(bad)
+
+
+def test_compression_bands_reject_bad_rows_that_the_base_rule_keeps(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    judged = compression.compression_rules(docs).where("not base_failed").join(labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), "doc_id")
+    found = {(r["quality"], r["band_failed"]): r["count"] for r in judged.groupBy("quality", "band_failed").count().collect()}
+    good = found.get((1, True), 0) / max(1, found.get((1, True), 0) + found.get((1, False), 0))
+    bad = found.get((0, True), 0) / max(1, found.get((0, True), 0) + found.get((0, False), 0))
+    assert good <= 0.01 and bad >= 0.2, found
+
+
 def test_compression_bands_catch_repetition_and_noise():
     compressor = zstandard.ZstdCompressor(level=3)
     rng = np.random.default_rng(1)
-    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 9))) for _ in range(3000)]
-    prose = " ".join(rng.choice(vocabulary, 900, p=1 / np.arange(1, 3001) / (1 / np.arange(1, 3001)).sum()))
+    prose = made_prose(rng, 900)
     noise = " ".join(bytes(rng.integers(33, 127, 20, dtype=np.uint8)).decode() for _ in range(300))
     distinct = " ".join(f"{a}{b}" for a in "abcdefghij" for b in range(100))
     fails = lambda t: compression.judge(t, compressor, compression.BANDS, compression.CHUNK_BYTES, compression.BAD_CHUNK_SHARE)[-1]
@@ -170,9 +212,8 @@ def test_compression_bands_catch_base64_and_keys():
         keys = " ".join(bytes(rng.integers(33, 127, 20, dtype=np.uint8)).decode() for _ in range(size // 20))[:size]
         assert judged(block)["band_failed"] and judged(keys)["band_failed"], size
     assert judged(block)["high_chunks"] == judged(block)["n_chunks"]
-    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 7))) for _ in range(400)]
-    prose = lambda n: " ".join(rng.choice(vocabulary, n, p=1 / np.arange(1, 401) / (1 / np.arange(1, 401)).sum()))
-    for n in (60, 120, 300, 700, 3000, 15_000):
+    prose = lambda n: made_prose(rng, n)
+    for n in (120, 300, 700, 3000, 15_000):
         assert not judged(prose(n))["band_failed"], n
     mixed = judged(prose(900)[:4096] + base64.encodebytes(rng.bytes(5000)).decode()[:6144])
     assert mixed["high_chunks"] == 3 and mixed["n_chunks"] == 5 and mixed["band_failed"]
