@@ -1,13 +1,12 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
 Every partition of the digest table is a run: its distinct digests with the smallest
-identifier and the number of rows. In each round `fan_in` neighbouring runs become one:
-equal digests meet, the smallest identifier stays. After ceil(log(runs) / log(fan_in))
-rounds one run is left. A digest only counts as equal if the byte length and a second
-hash agree as well, in every round.
+identifier and the number of rows. The runs are dealt once by ranges of digests and sorted, so that each task holds
+the same piece of every run. Then, in each round, run 2k and run 2k + 1 are merged in order: equal digests
+meet, and the smallest identifier stays. After log2(runs) rounds one sorted run is left. A digest only counts as
+equal if the byte length and a second hash agree as well, in every round. The rounds move no row between tasks.
 
-A run is never one task: it is spread by digest, and a digest that holds a third of all
-rows is one row per run after the first, map-side combined, round.
+A run is never one task, and a digest that holds a third of all rows is at most one row per run when it is dealt.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from claimspark.llm.bloom import drop_listed
 from claimspark.llm.common import materialize, text_of
 
-FAN_IN = 8
+FAN_IN = 2
 _KEY = ("digest", "n_bytes", "check")
 
 
@@ -44,21 +43,19 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def merge_runs(digests: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """One row per different text: the digest triple, the smallest (identifier, row) and the number of rows.
 
-    Ties on the identifier go to the smaller row number; a null identifier comes last.
+    Ties on the identifier go to the smaller row number; a null identifier comes last. `fan_in` neighbouring runs become one
+    per round.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
     runs = (digests.agg(F.max("run")).first()[0] or 0) + 1
     first = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("row").alias("row"))
-    level = digests.groupBy("run", *_KEY).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")).sortWithinPartitions(*_KEY)
+    level = digests.groupBy("run", *_KEY).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"))
+    # A range of digests is a subset of the grouping keys, so Spark needs no further exchange below.
+    level = level.repartitionByRange("digest").sortWithinPartitions(*_KEY, "run")
     while runs > 1:
         runs = -(-runs // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *_KEY)
-            .agg(F.min("first").alias("first"), F.sum("size").alias("size"))
-            .sortWithinPartitions(*_KEY)
-        )
+        level = level.groupBy(*_KEY, F.floor(F.col("run") / fan_in).cast("int").alias("run")).agg(F.min("first").alias("first"), F.sum("size").alias("size"))
     return level.select(*_KEY, F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "size")
 
 

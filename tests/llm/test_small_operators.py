@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimspark.llm import bloom, bpe, compression, exact_dedup, mixing, url_filter
@@ -42,6 +43,19 @@ def frame(spark, data=None):
     return spark.createDataFrame([(i, t, f"s{(i or 0) % 4}" if i != 2 else None, "d", 1, "k", 5, 0.5) for i, t in data], columns).repartition(5)
 
 
+def test_runs_are_merged_without_moving_rows(spark):
+    """However many rounds there are: one exchange for the distinct digests of the runs, one that deals them by range."""
+    digests = exact_dedup.digest_table(spark.range(400).selectExpr("id as doc_id", "cast(id % 90 as string) as text"))
+    for runs in (2, 5, 40):
+        dealt = digests.withColumn("run", (F.col("row") % runs).cast("int"))
+        merged = exact_dedup.merge_runs(dealt)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        rounds = int(np.ceil(np.log2(runs)))
+        assert plan.count("Exchange ") == 2 and plan.count("Exchange rangepartitioning") == 1 and plan.count("SortAggregate(") >= rounds + 1
+        assert merged.count() == 90 and merged.agg(F.sum("size")).first()[0] == 400
+        assert {r["size"] for r in merged.where("keep_id < 40").collect()} == {5} and merged.where("keep_id >= 90").count() == 0
+
+
 def test_exact_groups(spark):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = defaultdict(list)
