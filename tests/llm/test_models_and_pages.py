@@ -155,8 +155,81 @@ def test_unimportant_branches_go(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in site_tree.extract_text(df).collect()}
     assert got[5] == "Story topic5 about topic5\nMore on topic5"
-    tree = {r.path: r for r in site_tree.style_tree(df, site_tree.host_of(df.url), df.html).collect()}
-    assert tree["/body/div.a/div"].importance == 0 and tree["/body/div.body/div"].importance > 0.9
+    tree = {r.path: r for r in site_tree.style_tree(site_tree.site_values(df, site_tree.host_of(df.url), df.html)).collect()}
+    assert tree["/body/div.a/div"].importance < 0.1 and tree["/body/div.body/div"].importance > 0.9
+
+
+def empty_tree(page):
+    return site_tree.main_text(page)
+
+
+def test_importance_decides_both_ways(spark):
+    """A class-less notice on every page goes, also among the paragraphs of an article; varied text beside an article stays."""
+    notice = "Reading this costs you nothing, but tell your friends."
+    page = "<body><p>{notice}</p><article><h1>Title {0}</h1><p>{notice}</p><p>Story {0} of the day</p></article><div class=note>Editor's note on {0}</div><div class=box><i>Always the same box</i></div>"
+    rows = [(i, "http://s.org/x", page.format(f"topic{i}", notice=notice)) for i in range(60)]
+    # copies of one page don't make its story a notice
+    rows += [(100 + i, "http://s.org/y", page.format("copied", notice=notice)) for i in range(200)]
+    rows += [(400 + i, f"http://few{i}.org/", page.format("rare", notice=notice)) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.extract_text(df).collect()}
+    assert got[5] == "Title topic5\nStory topic5 of the day\nEditor's note on topic5"
+    assert got[100] == "Title copied\nStory copied of the day\nEditor's note on copied"
+    assert notice in empty_tree(rows[5][2]) and "same box" in empty_tree(rows[5][2])
+    assert got[400] == got[401] == empty_tree(rows[-1][2])  # nothing is known about a host with one page
+
+
+def test_tree_equals_a_plain_one(spark):
+    """Entropy, smoothing, blending and repeated prose against dictionaries."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    parts = ["<p>same</p>", "<p>v{0}</p>", "<ul><li>a</li><li>b{0}</li></ul>", "<div class='x y9'><div>menu</div></div>", "<nav>n</nav>", "<form><p>ask {0}</p></form>"]
+    pages = [(i, rng.choice(["http://a.org", "http://b.org", None]), "<body>" + "".join(rng.choice(parts) for _ in range(rng.randrange(5))).format(rng.randrange(4))) for i in range(90)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    uses, sizes, holding, different = {}, {}, {}, {}
+    for _, url, html in pages:
+        host = (url or "").partition("://")[2]
+        blocks, shapes = site_tree.parse(html)
+        blocks = site_tree.lifted(blocks)
+        page = tuple(b.text for b in blocks if not b.noise)
+        different.setdefault(host, set()).add(page)
+        for b in blocks:
+            if b.prose and not b.noise:
+                holding.setdefault((host, b.text), set()).add(page)
+            uses.setdefault((host, b.path, 1), set()).add((b.text, page))
+        for path, labels in shapes:
+            uses.setdefault((host, path, 0), set()).add((labels, page))
+    sizes = {host: len(pages_of) for host, pages_of in different.items()}
+    own = {}
+    for (host, path, kind), found in uses.items():
+        values, n = [v for v, _ in found], len(found)
+        h = -sum(values.count(v) / n * math.log(values.count(v) / n) for v in set(values)) / math.log(n) if n > 1 else 1.0
+        before = own.get((host, path), (0, 0.0))
+        own[host, path] = (max(n, before[0]), max(h, before[1]))
+    smooth = {k: (n * h + max(4, 0.005 * sizes[k[0]])) / (n + max(4, 0.005 * sizes[k[0]])) for k, (n, h) in own.items()}
+    found = {}
+    for key in sorted(smooth, key=lambda k: -k[1].count("/")):
+        below = [found[k] for k in smooth if k[0] == key[0] and k[1].rpartition("/")[0] == key[1] and k[1]]
+        share = 0.9 ** len(below)
+        found[key] = smooth[key] if not below else (1 - share) * smooth[key] + share * sum(below) / len(below)
+    values = site_tree.site_values(df, site_tree.host_of(df.url), df.html)
+    tree = {(r.host, r.path): r.importance for r in site_tree.style_tree(values).collect()}
+    assert set(tree) == set(found) and all(math.isclose(tree[k], found[k], abs_tol=1e-9) for k in tree)
+    repeated = {(h, site_tree._digest(t)) for (h, t), pages_with in holding.items() if (len(different[h]) - len(pages_with) + 4) / (len(different[h]) + 4) < 0.4}
+    assert {(r.host, r.value) for r in site_tree.repeated_prose(values, threshold=0.4).collect()} == repeated
+
+
+def test_a_page_wrapped_in_noise_keeps_its_text():
+    inner = "<h1>Head</h1><p>A long story of the page, told at length.</p><div class=comments><p>Nice!</p></div><nav>Menu</nav>"
+    for outer in ("<div class='page has-sidebar'>{}</div>", "<form id=f>{}</form>", "<div class=sidebar-left><form>{}</form></div>", "<div class=page-with-menu><article>{}</article></div>"):
+        assert site_tree.main_text("<body>" + outer.format(inner) + "<footer>Foot</footer>") == "Head\nA long story of the page, told at length."
+    assert site_tree.main_text("<nav>Home</nav><div class=ad>Buy</div><footer>Foot</footer>") == ""
+    assert site_tree.main_text("<article><p>One.</p><div class=notice-board>Two, which the name makes a notice.</div></article>") == "One."
+    assert site_tree.main_text("<article><p>Short.</p></article><h1>Real head</h1><div>Real text beside it</div>") == "Short.\nReal head\nReal text beside it"
+    deep = "<div>" * 60 + "<p>deep</p>" + "</div>" * 60
+    assert site_tree.main_text(deep) == "deep"
 
 
 def test_names_alone_do_not_drop_the_page():
