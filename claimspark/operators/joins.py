@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.operators.ordering import global_rank
+from claimspark.session import materialize
 
 HOT_ROWS = 1_000_000  # a key with more rows than this is spread over several tasks
 SPREAD = 64
+MOST_HOT = 100_000  # keys that a table of hot keys may hold, as it is sent to every task
 
 
 def suffix_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str) -> DataFrame:
@@ -33,11 +35,42 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
 def hot_keys_through(df: DataFrame, key: str, via: DataFrame, target: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hot values of `target` that the rows of `df` will get from `via` (one row per `key`).
 
-    Rows are counted per key before they meet `via`, so the detection itself has no hot key.
+    Rows are counted per key before they meet `via`, so the detection itself has no hot key. With their numbers of rows (`_n`).
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     met = counts.join(via.select(key, target), key, "left")
-    return met.groupBy(target).agg(F.sum("_n").alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    return met.groupBy(target).agg(F.sum("_n").alias("_n")).where(F.col("_n") > hot_rows)
+
+
+def checked_hot(counts: DataFrame, columns: Sequence[str], n: str = "_n") -> DataFrame | None:
+    """The hot keys of a table of keys and numbers of rows: None if there are none, the hottest if there are more than `MOST_HOT`.
+
+    The table is written once and counted, so what is broadcast later has a known size, and a join
+    without hot keys stays a plain one.
+    """
+    table = materialize(counts, "hot-keys")
+    size = table.count()
+    if not size:
+        return None
+    if size > MOST_HOT:
+        top = table.orderBy(F.col(n).desc()).limit(MOST_HOT)
+        return materialize(top.select(*columns), "hot-keys")
+    return table.select(*columns)
+
+
+def hot_keys_by_column(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[str, DataFrame | None]:
+    """Hot keys of several key columns from one pass: per column a table of its values, or None if no value is hot.
+
+    A null key counts like a value, for it gathers rows in one task too.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = df.select(F.explode(entries).alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = checked_hot(counts, ["column", "value"])
+    if hot is None:
+        return dict.fromkeys(columns)
+    found = {r["column"] for r in hot.select("column").distinct().collect()}  # one row per key column at most
+    types = dict(df.dtypes)
+    return {c: hot.where(F.col("column") == c).select(F.col("value").cast(types[c]).alias(c)) if c in found else None for c in columns}
 
 
 def lookup_join(
@@ -57,7 +90,7 @@ def lookup_join(
     keys that are unique on the left.
 
     `hot` comes from `hot_keys` of a table that is cheap to read, not of `left`: a chain of
-    lookups would otherwise run its first part once more per lookup.
+    lookups would otherwise run its first part once more per lookup. `hot_keys_by_column` and `checked_hot` know its size.
     """
     on = [on] if isinstance(on, str) else list(on)
     right = suffix_overlap(left, right, on, suffix)

@@ -20,7 +20,7 @@ from claimspark.functions.text import row_json
 from claimspark.functions.values import days_between, format_date, parse_date
 from claimspark.operators.aggregates import diagnosis_profile, max_numeric_suffix, procedure_profile
 from claimspark.operators.duplicates import duplicate_evidence_table
-from claimspark.operators.joins import HOT_ROWS, hot_keys, keep_first, lookup_join
+from claimspark.operators.joins import HOT_ROWS, hot_keys_by_column, keep_first, lookup_join
 from claimspark.operators.ordering import exact_quantiles, global_rank
 from claimspark.operators.quotas import Quotas, Take
 from claimspark.operators.rules import (
@@ -53,6 +53,7 @@ def encounter_profiles(tables: ClaimTables, z_prefix: str = "Z") -> DataFrame:
 
 def claim_features(tables: ClaimTables, z_prefix: str = "Z", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One wide row per claim: claim, encounter, patient and clinical summaries."""
+    hot = hot_keys_by_column(tables.claims, ["encounter_id", "patient_id"], hot_rows)
     claims = tables.claims.withColumn("claim_billing_dt", parse_date(F.col("claim_billing_date")))
     people = tables.patients.withColumn("registration_dt", parse_date(F.col("registration_date")))
     by_visit = lookup_join(
@@ -62,7 +63,7 @@ def claim_features(tables: ClaimTables, z_prefix: str = "Z", hot_rows: int = HOT
         "_enc",
         null_safe=True,
         spread_by=["claim_id"],
-        hot=hot_keys(tables.claims, ["encounter_id"], hot_rows),
+        hot=hot["encounter_id"],
     )
     joined = lookup_join(
         by_visit,
@@ -71,7 +72,7 @@ def claim_features(tables: ClaimTables, z_prefix: str = "Z", hot_rows: int = HOT
         "_pat",
         null_safe=True,
         spread_by=["claim_id"],
-        hot=hot_keys(tables.claims, ["patient_id"], hot_rows),
+        hot=hot["patient_id"],
     )
     return joined.withColumns(
         {
@@ -397,7 +398,7 @@ def apply_denials(claims: DataFrame, selected_ids: DataFrame, hot_rows: int = HO
         selected_ids.select("claim_id", F.lit(True).alias("_new")),
         "claim_id",
         spread_by=["encounter_id", "patient_id", "billed_amount"],
-        hot=hot_keys(claims, ["claim_id"], hot_rows),
+        hot=hot_keys_by_column(claims, ["claim_id"], hot_rows)["claim_id"],
     )
     return marked.withColumns(
         {

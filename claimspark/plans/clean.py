@@ -12,7 +12,8 @@ from claimspark.operators.aggregates import Child, child_profiles
 from claimspark.operators.joins import (
     HOT_ROWS,
     first_per_key,
-    hot_keys,
+    checked_hot,
+    hot_keys_by_column,
     hot_keys_through,
     lookup_join,
     merge_on_key,
@@ -71,11 +72,11 @@ def reconcile_reasons(
         mapping.select(F.col("long_value").alias("denial_reason_norm_denials"), "short_value"),
         "denial_reason_norm_denials",
         spread_by=["claim_id"],
-        hot=hot_keys(
+        hot=hot_keys_by_column(
             denials.select(F.col("denial_reason_norm").alias("denial_reason_norm_denials")),
             ["denial_reason_norm_denials"],
             hot_rows,
-        ),
+        )["denial_reason_norm_denials"],
     )
     joined = lookup_join(claims, first, "claim_id", null_safe=True)  # ids are unique on both sides
     other = F.coalesce(F.col("short_value"), F.col("denial_reason_norm_denials"), F.lit(""))
@@ -123,11 +124,10 @@ def star_join(
     `claims` should be a written table: its key columns are also counted for hot keys.
     """
     spread = ["claim_id"]
-    hot_encounters = hot_keys(claims, ["encounter_id"], hot_rows)
-    hot_patients = hot_keys(claims, ["patient_id"], hot_rows)
-    hot_providers = hot_keys_through(claims, "encounter_id", encounters, "provider_id", hot_rows)
-    joined = lookup_join(claims, encounters, "encounter_id", "_enc", spread_by=spread, hot=hot_encounters)
-    joined = lookup_join(joined, patients, "patient_id", "_pat", spread_by=spread, hot=hot_patients)
+    hot = hot_keys_by_column(claims, ["encounter_id", "patient_id"], hot_rows)
+    hot_providers = checked_hot(hot_keys_through(claims, "encounter_id", encounters, "provider_id", hot_rows), ["provider_id"])
+    joined = lookup_join(claims, encounters, "encounter_id", "_enc", spread_by=spread, hot=hot["encounter_id"])
+    joined = lookup_join(joined, patients, "patient_id", "_pat", spread_by=spread, hot=hot["patient_id"])
     return lookup_join(
         joined, providers, "provider_id", "_prov", null_safe=True, spread_by=spread, hot=hot_providers
     )

@@ -11,7 +11,8 @@ from claimspark.operators import aggregates as G
 from claimspark.operators import metrics as M
 from claimspark.operators.duplicates import duplicate_evidence_table
 from claimspark.operators.folds import with_group_folds, with_stratified_folds
-from claimspark.operators.joins import first_per_key, hot_keys, hot_keys_through, lookup_join, rank_aligned_mapping
+from claimspark.operators import joins as J
+from claimspark.operators.joins import first_per_key, hot_keys, hot_keys_by_column, hot_keys_through, lookup_join, rank_aligned_mapping
 from claimspark.operators.ordering import exact_quantiles_of, global_rank, running_totals
 from claimspark.operators.sampling import downsample_negatives, find_cut, sample_exact, split_by_group
 
@@ -38,7 +39,7 @@ def test_lookup_join_spreads_a_hot_key(spark):
     joined = lookup_join(left, right, "k", spread_by=["id"], hot=hot_keys(left, ["k"], 10))
     assert joined.where("name = 'a'").count() == 2000
     via = spark.createDataFrame([(1, "p")], "k int, p string")
-    assert [tuple(r) for r in hot_keys_through(left, "k", via, "p", 10).collect()] == [("p",)]
+    assert [tuple(r)[:1] for r in hot_keys_through(left, "k", via, "p", 10).collect()] == [("p",)]
 
 
 def test_suffix_only_on_overlap(spark):
@@ -205,6 +206,23 @@ def test_metrics(spark, rows):
     assert M.best_cost(M.cost_sweep(df, M.SWEEP_COARSE)).collect()[0]["threshold"] == cheapest["threshold"]
 
 
+def test_hot_keys_of_several_columns_and_their_bound(spark, monkeypatch):
+    rows = [("a" if i % 2 else None, i % 3, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, n int, id int")
+    found = hot_keys_by_column(df, ["k", "n", "id"], 30)
+    assert {r[0] for r in found["k"].collect()} == {"a", None} and found["n"] is None and found["id"] is None
+    assert dict(found["k"].dtypes) == {"k": "string"}
+    assert hot_keys_by_column(df, ["id"], 5) == {"id": None}
+    several = hot_keys_by_column(df, ["n"], 20)["n"]
+    assert {r[0] for r in several.collect()} == {0, 1, 2} and dict(several.dtypes) == {"n": "int"}
+    monkeypatch.setattr(J, "MOST_HOT", 1)
+    assert len(J.checked_hot(df.groupBy("k").agg(F.count("*").alias("_n")), ["k"]).collect()) == 1
+    right = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    for hot in (None, found["k"]):
+        joined = lookup_join(df, right, "k", null_safe=True, spread_by=["id"], hot=hot)
+        assert {(r["k"], r["v"]) for r in joined.collect()} == {("a", 1), (None, 2)} and joined.count() == 90
+
+
 def test_children_of_a_third_orphaned_and_of_wanted_keys(spark):
     """Four tables in two exchanges; rows without key are summarised only if the key is wanted."""
     rows = [(None if i % 3 == 0 else str(i % 20), f"c{i % 7}", " " if i % 5 == 0 else f"d{i % 4}") for i in range(3000)]
