@@ -299,7 +299,8 @@ def site_values(pages: DataFrame, host: Column, html: Column) -> DataFrame:
 def repeated_prose(values: DataFrame, threshold: float = PROSE_THRESHOLD, prior: float = PRIOR_USES) -> DataFrame:
     """(host, value) of texts that nearly all different pages of a host hold. At most as many per host as a few pages have blocks."""
     pages = values.where("kind = 3").groupBy("host").agg(F.sum("n").alias("pages"))
-    texts = values.where("kind = 2").select("host", "value", F.col("n").alias("holding"))
+    # a text on fewer pages can't pass below; most texts are on one page
+    texts = values.where((F.col("kind") == 2) & (F.col("n") > (1 - threshold) * prior)).select("host", "value", F.col("n").alias("holding"))
     lacking = (F.col("pages") - F.col("holding") + prior) / (F.col("pages") + prior)
     return texts.join(pages, "host").where(lacking < threshold).select("host", "value")
 
