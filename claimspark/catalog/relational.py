@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimspark.catalog.registry import query
@@ -478,9 +477,8 @@ def r08(spark, folder):
     from orders) where rn = 1""",
 )
 def r09(spark, folder):
-    by_customer = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
-    ranked = roles.read(spark, folder, "orders").withColumn("rn", F.row_number().over(by_customer))
-    return ranked.where("rn = 1").select("o_custkey", F.col("o_orderkey").alias("original"))
+    first = keep_first(roles.read(spark, folder, "orders"), ["o_custkey"], [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey")])
+    return first.select("o_custkey", F.col("o_orderkey").alias("original"))
 
 
 @query(

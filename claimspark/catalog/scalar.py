@@ -15,7 +15,7 @@ from claimspark.operators.aggregates import max_numeric_suffix
 from claimspark.operators.joins import suffix_overlap
 from claimspark.operators.ordering import exact_quantiles
 from claimspark.plans import augment as A
-from claimspark.plans.clean import LEAK_COLUMNS, PII_COLUMNS, paid_or_denied, with_labels
+from claimspark.plans.clean import LEAK_COLUMNS, PII_COLUMNS, paid_or_denied, reason_if_denied, with_labels
 from claimspark.plans.knowledge_base import denied_claims, without_self_pay
 from claimspark.plans.training import feature_columns
 from claimspark.sources import roles
@@ -127,8 +127,7 @@ def p11(spark, folder):
     "select claim_id, case when claim_status is not distinct from 'Denied' then denial_reason else '' end as denial_reason from claims",
 )
 def p12(spark, folder):
-    reason = F.when(R.not_denied(), "").otherwise(F.col("denial_reason"))
-    return roles.claims(spark, folder).select("claim_id", reason.alias("denial_reason"))
+    return roles.claims(spark, folder).select("claim_id", reason_if_denied(F.col("denial_reason")).alias("denial_reason"))
 
 
 @query("p13_column_pruning", "select claim_id, denial_reason_description from denials")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import normalize_text, strip
@@ -48,6 +48,11 @@ def paid_or_denied(claims: DataFrame) -> DataFrame:
     )
 
 
+def reason_if_denied(reason: Column, status: str = "claim_status") -> Column:
+    """Only a denied claim has a reason; others have the empty text."""
+    return F.when(F.col(status) == "Denied", reason).otherwise("")
+
+
 def reconcile_reasons(
     claims: DataFrame, denials: DataFrame, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +86,7 @@ def reconcile_reasons(
     joined = lookup_join(claims, first, "claim_id", null_safe=True)  # ids are unique on both sides
     other = F.coalesce(F.col("short_value"), F.col("denial_reason_norm_denials"), F.lit(""))
     reason = F.when(F.col("denial_reason_norm") != "", F.col("denial_reason_norm")).otherwise(other)
-    cleaned = joined.withColumn("denial_reason_clean", F.when(denied, reason).otherwise("")).drop("short_value")
+    cleaned = joined.withColumn("denial_reason_clean", reason_if_denied(reason)).drop("short_value")
     return cleaned, mapping
 
 
