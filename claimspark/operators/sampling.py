@@ -68,7 +68,10 @@ def find_cut(df: DataFrame, n: int, draw_col: str, key_col: str) -> Cut:
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows without replacement; all rows if there are not more, none if n <= 0."""
+    """Exactly n rows without replacement; all rows if there are not more, none if n <= 0.
+
+    `key` must be unique: rows that share a key, null too, are taken or left together.
+    """
     pool = materialize(df.select(draw(F.col(key), seed).alias("_draw"), key), "draws")
     cut = find_cut(pool, n, "_draw", key)
     return df.where(cut.takes(draw(F.col(key), seed), F.col(key).cast("string")))
