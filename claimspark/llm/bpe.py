@@ -26,8 +26,8 @@ from pyspark.sql.functions import pandas_udf
 
 from claimspark.llm.common import bounded_batches
 
-#: Words whose tokens a worker remembers; beyond it starts anew.
-WORD_CACHE = 120_000
+#: Words whose tokens a worker remembers: the newer half, and the half before it, from which words in use are taken over.
+WORD_CACHE = 300_000
 #: Slots of the table of compatible pairs (a power of two): 8 bytes each, and a later pair replaces an earlier one.
 PAIR_SLOTS = 1 << 20
 #: White space of the vocabulary's patterns: the Unicode property, without the separators 1C to 1F.
@@ -53,11 +53,13 @@ class WordTokens(dict):
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        tokens = array("I", self.encode(word)).tobytes()
+        tokens = self.older.get(word) or array("I", self.encode(word)).tobytes()
         if len(word) <= 64:
-            if len(self) >= WORD_CACHE:
+            if len(self) >= WORD_CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = tokens
         return tokens
@@ -139,9 +141,11 @@ class Vocabulary:
         """
         key = left << 32 | right
         slot = (left * 648_881 + right) & (PAIR_SLOTS - 1)
-        # a slot holds the pair, a bit that marks it as filled, and the answer
-        if under is None and self.fits[slot] >> 1 == key << 1 | 1:
-            return bool(self.fits[slot] & 1)
+        if under is None:
+            # a slot holds the pair, a bit that marks it as filled, and the answer
+            known = self.fits[slot]
+            if known >> 1 == key << 1 | 1:
+                return known & 1 == 1
         rank, parts, merged = self.rank, self.parts, self.merged
         limit = float("inf") if under is None else under
         a, b, answer = left, right, True
