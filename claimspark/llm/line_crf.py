@@ -7,8 +7,8 @@ are good; lines of bad documents start bad, later the chain's own marginals set
 worst line of each staying bad. The score is the length-weighted mean of the forward-backward
 marginals, passed through a logistic curve fitted on the same sample.
 
-The fit uses a bounded sample of labelled rows (`SAMPLE_DOCS`, and of each up to `SAMPLE_LINES`
-neighbouring lines); scoring reads every line of every text.
+The fit uses a bounded sample of labelled rows, each with its whole text: at most `SAMPLE_DOCS` rows with `SAMPLE_LINES`
+lines in all. Scoring reads every line of every text.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from claimspark.llm.common import bounded_batches, chunks, in_training
+from claimspark.llm.common import bounded_batches, chunks, in_training, materialize
 
 SAMPLE_DOCS = 6000
-SAMPLE_LINES = 64
+SAMPLE_LINES = 120_000
 ROUNDS = 3
 STEPS = 100
 RIDGE = 1e-3
@@ -236,21 +236,27 @@ def fit(own: np.ndarray, per_text: np.ndarray, words: np.ndarray, quality: np.nd
     return LineModel(weights, step, _fit_curve(weighted_mean(marginal, words, per_text)[has], quality[has]))
 
 
-_SAMPLE = "quality int, lines int, own binary, words binary"
-
-
-def _window(texts: pd.Series, ids: pd.Series) -> list[tuple[int, bytes, bytes]]:
+def _featured(texts: pd.Series) -> pd.DataFrame:
     rows = []
-    for text, key in zip(texts, ids):
-        lines = [line for line in (text or "").split("\n") if not line.isspace() and line]
-        start = int(key) % max(1, len(lines) - SAMPLE_LINES + 1)
-        own, per_text, words = line_features(["\n".join(lines[start : start + SAMPLE_LINES])])
+    for text in texts:
+        own, per_text, words = line_features([text or ""])
         rows.append((int(per_text[0]), own.tobytes(), words.astype(np.float64).tobytes()))
-    return rows
+    return pd.DataFrame(rows, columns=["lines", "own", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> LineModel | float:
-    """A model from at most `sample` labelled rows, those with the smallest hash of their identifier.
+def _last_within(lines: list[tuple[int, int]], most: int) -> int | None:
+    """Of (place, lines) the last place up to which the rows have at most `most` lines together."""
+    last, total = None, 0
+    for place, n in sorted(lines):
+        total += n
+        if total > most:
+            break
+        last = place
+    return last
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineModel | float:
+    """A model from at most `sample` labelled rows, those with the smallest hash of their identifier, and at most `sample_lines` lines.
 
     Gives the share of good rows instead (0.5 without any) if one of the two labels is missing.
     """
@@ -258,14 +264,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(sample)  # bounded, so it may be sent to every task
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    narrow = narrow.select("text", F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("key"), "quality")
-
-    @pandas_udf("lines int, own binary, words binary")
-    def windows(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_window(texts, keys), columns=["lines", "own", "words"])
-
-    rows = narrow.select("quality", windows("text", "key").alias("w")).select("quality", "w.*").collect()
-    rows = sorted((r for r in rows if r["lines"]), key=lambda r: (r["quality"], r["lines"], bytes(r["own"])))
+    features = pandas_udf(_featured, "lines int, own binary, words binary")("text").alias("w")
+    found = narrow.select(F.xxhash64(F.lit("quality"), "id").alias("place"), "quality", features).select("place", "quality", "w.*")
+    found = materialize(found, "quality-sample")
+    found = found.where((F.col("lines") > 0) & (F.col("lines") <= sample_lines // 10))  # no single text is the sample
+    last = _last_within([(r["place"], r["lines"]) for r in found.select("place", "lines").collect()], sample_lines)
+    rows = found.where(F.col("place") <= last).collect() if last is not None else []
+    rows = sorted(rows, key=lambda r: (r["quality"], r["lines"], bytes(r["own"])))
     quality = np.array([r["quality"] for r in rows], np.float64)
     if len(set(quality)) < 2:
         return float(quality.mean()) if len(quality) else 0.5
