@@ -7,6 +7,7 @@ id and a hash of the input text, so a rerun only asks for what is new or has cha
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.draws import draw
 from claimspark.functions.text import UNAVAILABLE, claim_description, claim_prompt, parse_reply, reasoning_text
 from claimspark.plans.training import CATEGORICAL, TrainingResult, TreeConfig, train_single
+from claimspark.session import shared_dir
 from claimspark.sources.tables import path_exists
 
 TRIES = 3
@@ -27,6 +29,7 @@ EMBED_BATCH = 64
 REQUEST_ROWS = 16  # prompts of one call
 IN_FLIGHT = 8  # calls that a task waits for at a time
 SHARE_ROWS = 50_000  # claims that are asked for and committed together
+SHARE_FILES = 16  # tasks that ask for a share
 
 Predict = Callable[[list[str]], list[str]]
 Encode = Callable[[list[str]], list[list[float]]]
@@ -93,14 +96,10 @@ def ask(
 
 
 def to_reasoning(replies: DataFrame) -> DataFrame:
-    """Replies as one reasoning text each; no reply gives the fallback text."""
-    return replies.select(
-        "claim_id",
-        "description_hash",
-        F.when(F.col("reply").isNull(), F.lit(UNAVAILABLE))
-        .otherwise(reasoning_text(parse_reply(F.col("reply"))))
-        .alias("reasoning"),
-    )
+    """Replies as one reasoning text each; no reply gives the fallback text. A reply is parsed once for all its fields."""
+    parsed = replies.withColumn("_parsed", parse_reply(F.col("reply")))
+    text = F.when(F.col("reply").isNull(), F.lit(UNAVAILABLE)).otherwise(reasoning_text(F.col("_parsed")))
+    return parsed.select("claim_id", "description_hash", text.alias("reasoning"))
 
 
 def _same_claim(left: DataFrame, right: DataFrame, text_hash: str):
@@ -122,19 +121,25 @@ def reasonings(
     """Reasoning per claim, also for claims without identifier.
 
     The open claims are asked for in shares of about `share_rows` (or in `rounds` shares), and each share is committed
-    on its own: a run that fails loses one share at most, and the next run asks for the rest.
+    on its own: a run that fails loses one share at most, and the next run asks for the rest. The open claims are
+    found once and written in a folder per share, so a share reads its own rows alone.
     """
     spark = claims.sparkSession
     texts = described(claims)
     if rounds is None:
         rounds = max(1, math.ceil(texts.count() / share_rows))
-    number = F.pmod(draw(F.col("description_hash")), F.lit(rounds))
+    work = texts.dropDuplicates(["claim_id", "description_hash"])
+    if path_exists(spark, cache_path):
+        done = spark.read.parquet(cache_path).select("claim_id", "description_hash").alias("done")
+        work = work.join(done, _same_claim(work, done, "description_hash"), "left_anti")
+    shared = work.withColumn("_share", F.pmod(draw(F.col("description_hash")), F.lit(rounds)).cast("int"))
+    part = F.pmod(F.xxhash64("description_hash"), F.lit(SHARE_FILES))
+    path = f"{shared_dir(spark)}/claimspark-{spark.sparkContext.applicationId}/shares-{uuid.uuid4().hex}"
+    shared.repartition("_share", part).write.partitionBy("_share").parquet(path)
+    open_work = spark.read.schema(shared.schema).parquet(path)
     for share in range(rounds):
-        work = texts.where(number == share).dropDuplicates(["claim_id", "description_hash"])
-        if path_exists(spark, cache_path):
-            done = spark.read.parquet(cache_path).select("claim_id", "description_hash").alias("done")
-            work = work.join(done, _same_claim(work, done, "description_hash"), "left_anti")
-        to_reasoning(ask(work, predict, tries, wait, request_rows, in_flight)).write.mode("append").parquet(cache_path)
+        asked = ask(open_work.where(F.col("_share") == share), predict, tries, wait, request_rows, in_flight)
+        to_reasoning(asked).write.mode("append").parquet(cache_path)
     cache = spark.read.parquet(cache_path).dropDuplicates(["claim_id", "description_hash"])
     return texts.join(cache, _same_claim(texts, cache, "description_hash")).select(texts["claim_id"], "reasoning")
 
