@@ -16,9 +16,11 @@ Rare words go, with the places that hold them, block by block to a join with the
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain as chained
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -37,8 +39,8 @@ ADDED = 0.1  # to every count
 #: The entry of the table of counts that counts the ends of texts; no word is empty.
 END = b""
 _FLUSH = 300_000  # distinct words a task counts before it hands them on
-_BLOCK = 450_000  # rare tokens of a block of texts
-_TOKENS = 200_000  # tokens of short texts whose recursions run side by side
+_BLOCK = 900_000  # rare tokens of a block of texts
+_TOKENS = 400_000  # tokens of short texts whose recursions run side by side
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -138,7 +140,7 @@ class _Reader:
 
     def __init__(self, known: Vocabulary) -> None:
         self.known = known
-        self._number = {w: i for i, w in enumerate(known.words)}
+        self._frequent = {w: i for i, w in enumerate(known.words)}
         classes = np.array([class_of(w, known.classes) for w in known.words], np.int64)
         own = np.arange(len(known.words)) < known.own_symbols
         self._symbol = np.where(own, 1 + np.arange(len(known.words)), 1 + known.own_symbols + classes).astype(np.uint16)
@@ -146,45 +148,39 @@ class _Reader:
         self._within = np.where(own, 0.0, np.log10((known.counts + ADDED) / known.class_mass[classes]) if len(classes) else 0.0)
         self._class_log = np.log10(known.class_mass)
         self._end_base = float(np.log10((known.ends + ADDED) / known.base_mass))
-        self._tails: dict[bytes, int] = {}
+        self._tails: dict[bytes, int] = {}  # classes by the last two bytes
         self._start_block(0)
 
     def _start_block(self, first: int) -> None:
         self.first = first
-        self._rare: dict[bytes, int] = {}
+        # one lookup per token: frequent words have their numbers, and a word that is new to the block gets the next one
+        self._numbers: defaultdict[bytes, int] = defaultdict(None, self._frequent)
+        self._numbers.default_factory = self._numbers.__len__
+        self._rare_class = np.zeros(0, np.int64)
         self._rare_word: list[np.ndarray] = []
         self._rare_row: list[np.ndarray] = []
         self._held = 0
 
     def texts(self, rows: list[int], about: list[pa.Array], raw: list[bytes]) -> pa.RecordBatch:
-        known, number, tails, rare_words = self.known, self._number, self._tails, self._rare
+        known, numbers, frequent = self.known, self._numbers, len(self._frequent)
         split = [words_of(t) for t in raw]
         sizes = np.array([len(s) for s in split], np.int64)
-        flat = [w for s in split for w in s]
-        get = number.get
-        codes = np.array([get(w, -1) for w in flat], np.int64)
+        codes = np.fromiter(map(numbers.__getitem__, chained.from_iterable(split)), np.int64, sizes.sum())
         text = np.repeat(np.arange(len(raw)), sizes)
-        rare = np.flatnonzero(codes < 0)
-        symbols = np.empty(len(flat), np.uint16)
-        common = codes >= 0
-        symbols[common] = self._symbol[codes[common]]
-        base, within = np.zeros(len(flat)), np.zeros(len(flat))
-        base[common], within[common] = self._base[codes[common]], self._within[codes[common]]
+        common = codes < frequent
+        tails = [w[-2:] for w in islice(numbers, frequent + len(self._rare_class), None)]
+        for tail in set(tails).difference(self._tails):
+            self._tails[tail] = class_of(tail, known.classes)
+        new = np.fromiter(map(self._tails.__getitem__, tails), np.int64, len(tails))
+        self._rare_class = np.concatenate([self._rare_class, new])
+        symbols = np.concatenate([self._symbol, (1 + known.own_symbols + self._rare_class).astype(np.uint16)])[codes]
+        base = np.concatenate([self._base, np.full(len(self._rare_class), -np.log10(known.base_mass))])[codes]
+        within = np.concatenate([self._within, -self._class_log[self._rare_class]])[codes]
+        rare = np.flatnonzero(~common)
         if len(rare):
-            words = [flat[i] for i in rare.tolist()]
-            ends = [w[-2:] for w in words]
-            for tail in set(ends).difference(tails):
-                tails[tail] = class_of(tail, known.classes)
-            classes = np.array([tails[t] for t in ends], np.int64)
-            symbols[rare] = 1 + known.own_symbols + classes
-            base[rare] = -np.log10(known.base_mass)
-            within[rare] = -self._class_log[classes]
-            put = rare_words.setdefault
-            self._rare_word.append(np.array([put(w, len(rare_words)) for w in words], np.int32))
+            self._rare_word.append((codes[rare] - frequent).astype(np.int32))
             self._rare_row.append((np.array(rows, np.int64)[text[rare]] - self.first).astype(np.int32))
             self._held += len(rare)
-        if len(tails) > 100_000:
-            tails.clear()
         # every text ends with END
         upto = np.cumsum(sizes)
         all_symbols = np.insert(symbols, upto, 0)
@@ -204,18 +200,17 @@ class _Reader:
             return None
         word, row = np.concatenate(self._rare_word), np.concatenate(self._rare_row)
         order = np.argsort(word, kind="stable")
-        sizes = np.bincount(word, minlength=len(self._rare))
+        sizes = np.bincount(word, minlength=len(self._rare_class))
         offsets = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
         places = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(row[order].tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(list(self._rare), pa.binary()), pa.array(np.full(len(sizes), self.first)), places], ["word", "first", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(list(islice(self._numbers, len(self._frequent), None)), pa.binary()), pa.array(np.full(len(sizes), self.first)), places], ["word", "first", "places"])
 
 
 def _read(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Rows of kind `text` and of kind `rare`; the columns of the other kind are null."""
+    """Rows of texts, which have symbols, and of rare words, which have a word; the other columns are null."""
 
-    def tagged(kind: str, batch: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
+    def widened(batch: pa.RecordBatch, id_type: pa.DataType) -> pa.RecordBatch:
         n, there = batch.num_rows, dict(zip(batch.schema.names, batch.columns))
-        there["kind"] = pa.array([kind] * n)
         return pa.RecordBatch.from_arrays([there[name] if name in there else pa.nulls(n, kept or id_type) for name, kept in _COLUMNS.items()], list(_COLUMNS))
 
     reader, id_type = _Reader(known), pa.null()
@@ -231,18 +226,18 @@ def _read(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.R
             if not reader._held:
                 reader._start_block(rows[start])
             about = [batch.column(i).slice(start, end - start) for i in (1, 2, 3)]
-            yield tagged("text", reader.texts(rows[start:end], about, raw[start:end]), id_type)
+            yield widened(reader.texts(rows[start:end], about, raw[start:end]), id_type)
             if reader._held >= _BLOCK:
-                yield tagged("rare", reader.block(), id_type)
+                yield widened(reader.block(), id_type)
                 reader._start_block(0)
             start = end
     if reader._held:
-        yield tagged("rare", reader.block(), id_type)
+        yield widened(reader.block(), id_type)
 
 
 #: Columns of the written rows; the identifier keeps its type.
 _COLUMNS = {
-    "kind": pa.string(), "row": pa.int64(), "id": None, "held_out": pa.bool_(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "within": pa.float64(),
+    "row": pa.int64(), "id": None, "held_out": pa.bool_(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "within": pa.float64(),
     "symbols": pa.binary(), "word": pa.binary(), "first": pa.int64(), "places": pa.binary(),
 }
 
@@ -251,12 +246,12 @@ def read_texts(texts: DataFrame, known: Vocabulary) -> tuple[DataFrame, DataFram
     """Texts (row, id, held_out, train, text) as symbols, and the rare words with the rows that hold them; one pass, written once."""
     spark = texts.sparkSession
     bounded_batches(spark)
-    schema = f"kind string, {_TEXTS}, {_RARE}".replace("{id}", texts.schema["id"].dataType.simpleString())
+    schema = f"{_TEXTS}, {_RARE}".replace("{id}", texts.schema["id"].dataType.simpleString())
     path = f"{shared_dir(spark)}/hidden-markov-{uuid.uuid4().hex}"
     read = texts.mapInArrow(lambda batches: _read(batches, known), schema)
-    read.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    read.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(schema).parquet(path)
-    return back.where("kind = 'text'").drop("kind", "word", "first", "places"), back.where("kind = 'rare'").select("word", "first", "places")
+    return back.where("symbols is not null").drop("word", "first", "places"), back.where("word is not null").select("word", "first", "places")
 
 
 # ---- the chain -----------------------------------------------------------------------
@@ -352,15 +347,16 @@ def add_expected(chain: Chain, symbols: np.ndarray, offsets: np.ndarray, into: E
         into.likelihood += float(np.log10(scale).sum())
         emitted /= scale[:, None]
         followed, back_step = np.zeros((states, states)), chain.step.T.copy()
-        later = np.ones_like(emitted)  # scaled backward probabilities; 1 at a text's end
+        later = np.empty((len(chosen), states))  # scaled backward probabilities at one time; none, so 1, where a text ends
         for t in range(len(bounds) - 2, 0, -1):
             at, end, before = bounds[t], bounds[t + 1], bounds[t - 1]
             behind = emitted[at:end]
-            behind *= later[at:end]
-            np.matmul(behind, back_step, out=later[before : before + end - at])
-            followed += ahead[before : before + end - at].T @ behind
+            reached = bounds[t + 2] - end if t + 2 < len(bounds) else 0
+            behind[:reached] *= later[:reached]
+            earlier = ahead[before : before + end - at]
+            followed += earlier.T @ behind
+            earlier *= np.matmul(behind, back_step, out=later[: end - at])  # now the posterior of each state
         into.step += chain.step * followed
-        ahead *= later  # now the posterior of each state
         into.first += ahead[: bounds[1]].sum(0)
         for s in range(states):
             into.emit[:, s] += np.bincount(own, ahead[:, s], n_symbols)

@@ -157,3 +157,17 @@ def test_nothing_to_learn_from(spark):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows) == [(1, 0, 0), (3, 0, 0)]
     assert all(r["base_score"] == pytest.approx(0) and math.isfinite(r["score"]) for r in rows)
     assert hm.score_texts(df.limit(0), rounds=1).count() == 0
+
+
+def test_texts_and_rare_words_are_written_in_one_pass_without_a_sort(spark):
+    texts = ["often often rare one", "often two rare", None, "rare often"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counts = hm.token_counts(docs)
+    known = hm.vocabulary(counts, symbol_share=4, frequent_share=4)
+    assert known.words == [b"often"]
+    rows = docs.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("id"), F.lit(False).alias("held_out"), F.lit(True).alias("train"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    read, rare = hm.read_texts(rows, known)
+    assert not any("kind=" in path for path in read.inputFiles())  # a folder per kind makes Spark sort every row by its kind
+    assert read.orderBy("row").select("row", "n_tokens", "n_known").collect() == [(0, 5, 3), (1, 4, 2), (2, 1, 1), (3, 3, 2)]
+    places = {bytes(r["word"]): (np.frombuffer(bytes(r["places"]), np.int32) + r["first"]).tolist() for r in rare.collect()}
+    assert places == {b"rare": [0, 1, 3], b"one": [0], b"two": [1]}
