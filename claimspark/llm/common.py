@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize, shared_dir
 
-__all__ = ["WORD", "bounded_batches", "chunks", "in_training", "materialize", "shared_dir", "table", "text_of"]
+__all__ = ["WORD", "bounded_batches", "chunks", "in_training", "materialize", "merged", "shared_dir", "table", "text_of"]
 
 #: A word of the contracts: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,15 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the data, so neither is ever broadcast.
+
+    Spark takes a row of an exploded array for no more than a row of its parent, and a column of a written table for its
+    share of the packed file, so it would collect tables on the driver that are 50 times the broadcast threshold.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def in_training(id_col: str = "doc_id") -> Column:
     """Rows whose labels may be learnt: crc32 of the identifier as text leaves 0 or 2 by 3."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import materialize
+from claimspark.llm.common import materialize, merged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour to its larger neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("least").alias("a"), "b").filter("a != b").distinct()
+    return merged(both.filter("b > a"), least, "a").select(F.col("least").alias("a"), "b").filter("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node joins its smaller neighbours to the smallest of them."""
     down = edges.select(F.col("b").alias("node"), F.col("a").alias("low"))
     least = down.groupBy("node").agg(F.min("low").alias("least"))
-    joined = down.join(least, "node")
+    joined = merged(down, least, "node")
     lows = joined.filter("low != least").select(F.col("least").alias("a"), F.col("low").alias("b"))
     return lows.unionByName(least.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from claimspark.llm.bloom import build_filter, drop_listed, possible_hits
-from claimspark.llm.common import WORD, bounded_batches, chunks, materialize, text_of
+from claimspark.llm.common import WORD, bounded_batches, chunks, materialize, merged, text_of
 from claimspark.llm.components import components
 
 SHINGLE = 5
@@ -205,7 +205,7 @@ def _verify(left: pd.Series, right: pd.Series) -> pd.Series:
 def _with_roots(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (bucket, node, ...) with the component of the node and of the hub so far."""
     hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    both = buckets.join(roots, "node", "left").join(hub_roots, "hub", "left")
+    both = merged(merged(buckets, roots, "node", "left"), hub_roots, "hub", "left")
     return both.withColumns({"root": F.coalesce("root", "node"), "hub_root": F.coalesce("hub_root", "hub")})
 
 
@@ -217,7 +217,7 @@ def _pairs(rooted: DataFrame) -> DataFrame:
 def _with_hub(rows: DataFrame, hub) -> DataFrame:
     """Rows (bucket, node, ...) of buckets with several nodes, with size and hub."""
     groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), hub.alias("hub")).filter("size > 1")
-    return rows.join(groups, "bucket")
+    return merged(rows, groups, "bucket")
 
 
 class _Verifier:
@@ -231,25 +231,25 @@ class _Verifier:
         """Rows (a, b) of at least the threshold; None if the signatures leave no pair to look at."""
         left = self.nodes.select(F.col("node").alias("a"), F.col("slots").alias("left"))
         right = self.nodes.select(F.col("node").alias("b"), F.col("slots").alias("right"))
-        close = pairs.join(left, "a").join(right, "b").filter(pandas_udf(_equal_slots, _EQUAL_SLOTS)("left", "right") >= LEAST_SLOTS)
+        close = merged(merged(pairs, left, "a"), right, "b").filter(pandas_udf(_equal_slots, _EQUAL_SLOTS)("left", "right") >= LEAST_SLOTS)
         close = materialize(close.select("a", "b"), "close-pairs")
         if not close.limit(1).count():
             return None
         sets = self.sets()
-        both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+        both = merged(close, sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+        both = merged(both, sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         return materialize(both.filter(pandas_udf(_verify, _VERIFY)("left", "right") >= self.threshold).select("a", "b"), "links")
 
     def sets(self) -> DataFrame:
         """(node, shingles) of every node that shares a bucket."""
         if self._sets is None:
             shared = self.buckets.select("node").distinct()
-            wanted = materialize(self.nodes.join(shared, "node", "left_semi").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
+            wanted = materialize(merged(self.nodes, shared, "node", "left_semi").select("node", "set_key", F.col("id_text").alias("key")), "wanted")
             # Texts that the filter holds back are certain not to be asked for.
             some = possible_hits(self.texts, build_filter(wanted, "key"), "key").filter("possible")
             # Not deterministic in name, so that no test of its result moves below the filter and runs it on every text.
             made = some.select(pandas_udf(_sets, _SETS).asNondeterministic()("text").alias("s")).select("s.*")
-            sets = made.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+            sets = merged(made, wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
             self._sets = materialize(sets, "shingle-sets")
         return self._sets
 
@@ -257,11 +257,11 @@ class _Verifier:
         """Links among the nodes beside the hub of buckets that still hold several components; None if there are no such buckets."""
         rows = _with_roots(buckets.filter("node != hub and size > 2"), roots).select("bucket", "band", "node", "root")
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-        rows = materialize(rows.join(mixed, "bucket").join(self.nodes.select("node", "n"), "node"), "mixed-buckets")
+        rows = materialize(merged(merged(rows, mixed, "bucket"), self.nodes.select("node", "n"), "node"), "mixed-buckets")
         if not rows.limit(1).count():
             return None
-        wide = self.nodes.select("node", "slots", "bands").join(rows.select("node").distinct(), "node", "left_semi").join(self.sets(), "node")
-        tasks = _tasks(rows).join(wide, "node").repartition("task").sortWithinPartitions("task", "side")
+        wide = merged(merged(self.nodes.select("node", "slots", "bands"), rows.select("node").distinct(), "node", "left_semi"), self.sets(), "node")
+        tasks = merged(_tasks(rows), wide, "node").repartition("task").sortWithinPartitions("task", "side")
         return materialize(tasks.mapInPandas(_task_links(self.threshold), "a long, b long").distinct(), "links")
 
 
@@ -275,7 +275,7 @@ def _tasks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = parts.groupBy("bucket", "own").agg(F.ceil(F.sum("weight") / block).cast("int").alias("parts"))
     each = sizes.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     others = each.groupBy("bucket").agg(F.collect_list(F.struct("own", "part")).alias("others"))
-    placed = rows.join(parts.select("bucket", "root", "own"), ["bucket", "root"]).join(sizes, ["bucket", "own"]).join(others, "bucket")
+    placed = merged(merged(merged(rows, parts.select("bucket", "root", "own"), ["bucket", "root"]), sizes, ["bucket", "own"]), others, "bucket")
     placed = placed.withColumn("mine", F.struct("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
     apart = F.filter("others", lambda o: (o["own"] != F.col("own")) | (F.col("own") == -1))
     met = placed.select("bucket", "band", "node", "root", "mine", F.explode(apart).alias("other"))
@@ -371,7 +371,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = materialize(sketch.select("id", "id_text", "row", "s.*"), "sketches")
     worded = sketch.filter("n > 0")
     owners = materialize(worded.groupBy("set_key").agg(F.min("row").alias("node")), "nodes")
-    nodes = worded.withColumnRenamed("row", "node").join(owners.select("node"), "node", "left_semi")
+    nodes = merged(worded.withColumnRenamed("row", "node"), owners.select("node"), "node", "left_semi")
     nodes = materialize(nodes.select("node", "id_text", "n", "set_key", "slots", "bands"), "node-sketches")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "mark")).select("node", "band", F.xxhash64("band", "mark").alias("bucket"))
     buckets = materialize(_with_hub(rows, F.min("node")), "buckets")
@@ -387,13 +387,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if more is not None:
             links = _grown(links, more)
             roots = materialize(components(links), "roots")
-    known = owners.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    placed = sketch.join(known, "set_key", "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")).otherwise(-1 - F.col("row")))
+    known = merged(owners, roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
+    placed = merged(sketch, known, "set_key", "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")).otherwise(-1 - F.col("row")))
     placed = materialize(placed.select("id", "row", "root"), "placed")
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("first")
     classes = placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
     several = classes.filter("class_size > 1").select("root", "class_size", F.col("first.id").alias("class_id"), F.col("first.row").alias("first_row"))
-    joined = placed.join(several, "root", "left")
+    joined = merged(placed, several, "root", "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
