@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.session import materialize, shared_dir
+from claimspark.session import BATCH_BYTES, bounded_batches, materialize, shared_dir
 
-__all__ = ["WORD", "bounded_batches", "chunks", "in_training", "materialize", "merged", "shared_dir", "table", "text_of"]
+__all__ = ["BATCH_BYTES", "WORD", "bounded_batches", "chunks", "in_training", "materialize", "merged", "shared_dir", "table", "text_of"]
 
 #: A word of the contracts: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,19 +38,6 @@ def in_training(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
 
 
-#: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 * 1024 * 1024
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keeps batches small enough for workers that hold several copies of one; smaller settings stay."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    digits = (now or "").rstrip("b")
-    if not digits.isdigit() or int(digits) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def chunks(texts: list[str], budget: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about `budget` characters, so that work on a batch has bounded memory.
 
